@@ -1,6 +1,8 @@
 """Cubes and feature tables over the star-schema tables.
 
-Coordinates are arithmetic on the keys, so that a cube is one aggregation of its fact table.
+Coordinates are arithmetic on the keys, so that a cube is one aggregation of its fact table.  Cell
+values are whole numbers (mean price in full units, mean quantity in tenths) made from exact integer
+sums, so that sums and means over cells do not depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ def _line_cube(spark, sf_dir, time, ny, nx, first_lat, first_lon, step) -> Cube:
         _grid("l_suppkey", first_lat, step, ny).alias("lat"),
         _grid("l_partkey", first_lon, step, nx).alias("lon"),
         "l_extendedprice", "l_quantity")
-    cells = rows.groupBy(*CELL).agg(F.avg("l_extendedprice").alias("price"),
-                                    F.avg("l_quantity").alias("qty"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    pieces = F.round(F.col("l_quantity")).cast("bigint")
+    totals = rows.groupBy(*CELL).agg(F.sum(cents).alias("cents"), F.sum(pieces).alias("pieces"),
+                                     F.count(F.lit(1)).alias("n"))
+    cells = totals.select(*CELL, F.expr("cents div (100 * n)").cast("double").alias("price"),
+                          F.expr("(10 * pieces) div n").cast("double").alias("qty"))
     return Cube.of(cells, CELL)
 
 
@@ -68,17 +74,20 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily mean per event type."""
+    """Daily mean per event type in whole hundredths."""
     return table(spark, sf_dir, "events").groupBy(
         day_start("ts").alias("time"), F.col("event_type").alias("kind")).agg(
-        F.avg("value").alias("value"))
+        F.expr("sum(CAST(round(value * 100) AS BIGINT)) div count(*)").cast("double")
+        .alias("value"))
 
 
 # The same views for the SQL checks.
 _CUBE_SQL = """SELECT date_trunc('{unit}', l_shipdate)::TIMESTAMP AS time,
   CAST({lat} + {step}*(l_suppkey % {ny}) AS DOUBLE) AS lat,
   CAST({lon} + {step}*(l_partkey % {nx}) AS DOUBLE) AS lon,
-  avg(l_extendedprice) AS price, avg(l_quantity) AS qty FROM lineitem GROUP BY 1,2,3"""
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // (100 * count(*)) AS DOUBLE) AS price,
+  CAST((10 * sum(CAST(round(l_quantity) AS BIGINT))) // count(*) AS DOUBLE) AS qty
+  FROM lineitem GROUP BY 1,2,3"""
 
 VIEWS_SQL = {
     "cube_coarse": _CUBE_SQL.format(unit="month", lat=-75, lon=-165, step=30, ny=6, nx=12),
@@ -89,7 +98,8 @@ VIEWS_SQL = {
   CAST(-90 AS DOUBLE) + CAST(c_custkey*17 % 1800 AS DOUBLE)/CAST(10 AS DOUBLE) AS lat
   FROM customer""",
     "series": """SELECT date_trunc('day', ts)::TIMESTAMP AS time, event_type AS kind,
-  avg(value) AS value FROM events GROUP BY 1,2""",
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) // count(*) AS DOUBLE) AS value
+  FROM events GROUP BY 1,2""",
 }
 
 
