@@ -68,13 +68,15 @@ class Cube:
 
     ``axes`` may hold one-column label tables per dimension.  They are read from the cube's own
     storage when it has them (see ``sources.cubes``) so that axis questions never scan the cells;
-    otherwise labels are derived from the cells.
+    otherwise labels are derived from the cells.  ``known`` remembers the axis facts already found
+    (``AxisInfo`` per dimension), so that operators in a row do not ask for them again.
     """
 
     parts: tuple[Part, ...]
     attrs: Mapping[str, object] = field(default_factory=dict)
     var_attrs: Mapping[str, Mapping[str, object]] = field(default_factory=dict)
     axes: Mapping[str, DataFrame] = field(default_factory=dict)
+    known: dict[str, object] = field(default_factory=dict, compare=False)
 
     @classmethod
     def of(cls, df: DataFrame, dims: Iterable[str], variables: Iterable[str] | None = None, *,
@@ -128,19 +130,29 @@ class Cube:
             raise ValidationError(f"the dataset has no dimension '{dim}'")
         return reduce(DataFrame.unionByName, frames).where(F.col(dim).isNotNull()).distinct()
 
+    def with_parts(self, parts: Iterable[Part], keep: Iterable[str] = ()) -> Cube:
+        """The same dataset with other cells; ``keep`` names dims whose labels stay the same."""
+        keep = set(keep)
+        return replace(self, parts=tuple(parts),
+                       axes={d: a for d, a in self.axes.items() if d in keep},
+                       known={d: i for d, i in self.known.items() if d in keep})
+
     def map(self, fn: Callable[[Part], Part], *, having: Iterable[str] = (),
-            keep_axes: bool = False) -> Cube:
+            keep: Iterable[str] = ()) -> Cube:
         """Apply ``fn`` to each part that has all dims in ``having``; leave other parts alone."""
         need = set(having)
-        parts = tuple(fn(p) if need <= set(p.dims) else p for p in self.parts)
-        return replace(self, parts=parts, axes=self.axes if keep_axes else {})
-
-    def where_label(self, dim: str, condition: Column) -> Cube:
-        """Filter by a condition on one dimension's label; its stored axis is filtered too."""
-        out = self.map(lambda p: p.where(condition), having=[dim], keep_axes=True)
-        if dim not in self.axes:
-            return out
-        return replace(out, axes={**self.axes, dim: self.axes[dim].where(condition)})
+        return self.with_parts((fn(p) if need <= set(p.dims) else p for p in self.parts), keep)
+
+    def where_label(self, dim: str, condition: Column, info: object = None) -> Cube:
+        """Filter by a condition on one dimension's label; its stored axis is filtered too.
+
+        ``info`` is what is known about the axis that is left.
+        """
+        others = [d for d in self.dims if d != dim]
+        out = self.map(lambda p: p.where(condition), having=[dim], keep=others)
+        if dim in self.axes:
+            out = replace(out, axes={**out.axes, dim: self.axes[dim].where(condition)})
+        return out if info is None else replace(out, known={**out.known, dim: info})
 
     def with_attrs(self, **updates) -> Cube:
         attrs = {**self.attrs, **updates}

@@ -55,8 +55,8 @@ def reduce(cube: Cube, var=None, dim: str | Iterable[str] | None = None,
         if rest:
             parts.append(part.select(variables=rest))
         parts.append(_reduced(cube, part, hit, gone, method))
-    return replace(cube, parts=tuple(parts), axes={}).stamped("reduce", var=var, dim=dim,
-                                                              method=method)
+    kept = [d for d in cube.dims if d not in dims]
+    return cube.with_parts(parts, keep=kept).stamped("reduce", var=var, dim=dim, method=method)
 
 
 def _reduced(cube: Cube, part: Part, variables: list[str], gone: list[str], method: str) -> Part:
@@ -120,7 +120,8 @@ def _daily(cube: Cube) -> Cube:
         return Part(rows.select("dayofyear", *rest, *part.variables), ("dayofyear", *rest),
                     part.variables)
 
-    return cube.map(apply, having=["time"]).stamped("long_term_average")
+    rest = [d for d in cube.dims if d != "time"]
+    return cube.map(apply, having=["time"], keep=rest).stamped("long_term_average")
 
 
 def _climatology(cube: Cube, keys: list[Column], label: Column, time: AxisInfo) -> Cube:
@@ -130,7 +131,7 @@ def _climatology(cube: Cube, keys: list[Column], label: Column, time: AxisInfo)
         rows = _mean_by(part, [label.alias("time")], rest)
         return Part(rows.select("time", *rest, *part.variables), ("time", *rest), part.variables)
 
-    out = cube.map(apply, having=["time"])
+    out = cube.map(apply, having=["time"], keep=[d for d in cube.dims if d != "time"])
     out = out.with_attrs(climatology_bounds=(time.first, time.last),
                          time_coverage_resolution="P1M" if len(keys) == 1 else None)
     methods = {v: {**out.var_attrs.get(v, {}), "cell_methods": " ".join(filter(None, [
@@ -183,17 +184,20 @@ def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
             rows = rows.unionByName(_empty_bins(cube, part, rest, parsed, label, time))
         return Part(rows, ("time", *rest), part.variables)
 
-    out = cube.map(apply, having=["time"])
-    return out.with_attrs(**_binned_attrs(cube, parsed, label)).stamped(
+    out = cube.map(apply, having=["time"], keep=[d for d in cube.dims if d != "time"])
+    return out.with_attrs(**_binned_attrs(cube, parsed, time)).stamped(
         "temporal_aggregation", method=method, period=period)
 
 
-def _binned_attrs(cube: Cube, period: Period, label: Column) -> dict:
-    """Temporal attributes of the result; its axis has every label from the first to the last."""
-    ends = cube.axis("time").agg(F.min(label).alias("low"), F.max(label).alias("high"))
-    labels = ends.select(F.explode(period.labels(F.col("low"), F.col("high"))).alias("time"))
-    bins = replace(cube, parts=(Part(labels, ("time",), ()),), axes={})
-    return dict(adjust_temporal_attrs(bins).attrs)
+def _binned_attrs(cube: Cube, period: Period, time: AxisInfo) -> dict:
+    """Temporal attributes of the result; its axis has every label from the first to the last.
+
+    Bins follow the order of times, so the ends of the axis are enough and no cell is read.
+    """
+    spark = cube.parts[0].df.sparkSession
+    low, high = (period.bin(ntz(end), time.first) for end in (time.first, time.last))
+    labels = spark.range(1).select(F.explode(period.labels(low, high)).alias("time"))
+    return dict(adjust_temporal_attrs(Cube((Part(labels, ("time",), ()),), cube.attrs)).attrs)
 
 
 def _order_in_bin(cube: Cube, label: Column, time: AxisInfo) -> DataFrame:
@@ -253,4 +257,4 @@ def tseries_mean(cube: Cube, var=None, std_suffix: str = "_std",
             names += [v + std_suffix for v in part.variables]
         return Part(part.df.groupBy("time").agg(*columns), ("time",), tuple(names))
 
-    return chosen.map(apply, having=["time"]).stamped("tseries_mean", var=var)
+    return chosen.map(apply, having=["time"], keep=["time"]).stamped("tseries_mean", var=var)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +45,7 @@ def anomaly_external(cube: Cube, climatology: Cube, transform: str | None = None
             found = _less_reference(part, ref, months, slices)
             if found is not None:
                 parts.append(found)
-    return replace(cube, parts=tuple(parts), axes={}).stamped("anomaly_external",
-                                                              transform=transform)
+    return cube.with_parts(parts).stamped("anomaly_external", transform=transform)
 
 
 def _less_reference(part: Part, ref: Part, months: DataFrame, slices) -> Part | None:
@@ -80,7 +77,7 @@ def anomaly_internal(cube: Cube, time_range=None, region=None) -> Cube:
         base = ref.part_of(part.variables[0]).df
         return part.select({v: F.col(v) - base.agg(F.avg(v)).scalar() for v in part.variables})
 
-    return cube.map(apply, keep_axes=True).stamped("anomaly_internal", time_range=time_range,
+    return cube.map(apply, keep=cube.dims).stamped("anomaly_internal", time_range=time_range,
                                                    region=region)
 
 

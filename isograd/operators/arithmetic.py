@@ -28,7 +28,7 @@ def ds_arithmetics(cube: Cube, op: str) -> Cube:
         return part.select({v: reduce(lambda value, step: step(value), steps, F.col(v))
                             for v in part.variables})
 
-    return cube.map(apply, keep_axes=True).stamped("ds_arithmetics", op=op)
+    return cube.map(apply, keep=cube.dims).stamped("ds_arithmetics", op=op)
 
 
 def _step(item: str):
@@ -86,7 +86,7 @@ def diff(cube: Cube, other: Cube) -> Cube:
             found = _subtract(left, right, on, rows)
             if found is not None:
                 parts.append(found)
-    return replace(cube, parts=tuple(parts), axes={}).stamped("diff")
+    return cube.with_parts(parts).stamped("diff")
 
 
 def _drop_dim(cube: Cube, dim: str) -> Cube:
@@ -188,7 +188,7 @@ def compute_dataset(cube: Cube | None, script: str, copy: bool = False,
     if copy and cube is not None:
         kept = [v for v in cube.variables if v not in kept] + kept
     part = Part(out.select(*base.dims, *kept), base.dims, tuple(kept))
-    return replace(cube, parts=(part,), axes={}) if cube is not None else Cube((part,))
+    return cube.with_parts((part,)) if cube is not None else Cube((part,))
 
 
 JOINS = ("outer", "inner", "left", "right", "exact")
@@ -224,7 +224,7 @@ def merge(*cubes: Cube | None, join: str = "outer", compat: str = "no_conflicts"
     _one_home(merged)
     out = distinct[0]
     attrs = reduce(lambda a, c: {**c.attrs, **a}, distinct, {})
-    return replace(out, parts=tuple(merged.values()), attrs=attrs, axes={}).stamped(
+    return replace(out.with_parts(merged.values()), attrs=attrs).stamped(
         "merge", join=join, compat=compat)
 
 
@@ -240,24 +240,40 @@ def _one_home(merged: dict) -> None:
 def _aligned(cubes: list[Cube], join: str) -> list[Cube]:
     if join == "outer":
         return cubes
-    shared = [d for d in cubes[0].dims if sum(d in c.dims for c in cubes) > 1]
-    for dim in shared:
-        having = [c for c in cubes if dim in c.dims]
-        sizes = [axis_info(c, dim)[dim].size for c in having]
-        if join == "exact":
-            first = having[0].axis(dim)
-            for size, cube in zip(sizes[1:], having[1:]):
-                if size != sizes[0] or first.join(cube.axis(dim), dim, "left_anti").limit(1).count():
-                    raise ValidationError(f"labels along dimension '{dim}' are not equal")
+    infos = [axis_info(c, *c.dims) for c in cubes]
+    for dim in [d for d in cubes[0].dims if sum(d in c.dims for c in cubes) > 1]:
+        having = [(c, i[dim]) for c, i in zip(cubes, infos) if dim in c.dims]
+        if _same_labels(having, dim):
             continue
-        keep = {"inner": having, "left": having[:1], "right": having[-1:]}[join]
-        labels = reduce(lambda a, b: a.join(b, dim, "left_semi"), [c.axis(dim) for c in keep])
-        small = hint_small(labels, min(sizes))
-        cubes = [c.map(lambda p: replace(p, df=p.df.join(small, dim, "left_semi").select(
-            *p.dims, *p.variables)), having=[dim]) if dim in c.dims else c for c in cubes]
+        if join == "exact":
+            raise ValidationError(f"labels along dimension '{dim}' are not equal")
+        chosen = {"inner": having, "left": having[:1], "right": having[-1:]}[join]
+        labels = reduce(lambda a, b: a.join(b, dim, "left_semi"), [c.axis(dim) for c, _ in chosen])
+        small = hint_small(labels, min(i.size for _, i in chosen))
+        cubes = [_with_labels(c, dim, small) if dim in c.dims else c for c in cubes]
     return cubes
 
 
+def _same_labels(having, dim: str) -> bool:
+    """Whether all cubes share an axis; regular axes are compared by their facts alone."""
+    (cube, first), others = having[0], having[1:]
+    for other, info in others:
+        if (first.size, first.first, first.last) != (info.size, info.first, info.last):
+            return False
+        regular = not info.temporal and first.equidistant(1e-9) and info.equidistant(1e-9)
+        if not regular and cube.axis(dim).join(other.axis(dim), dim, "left_anti").limit(1).count():
+            return False
+    return True
+
+
+def _with_labels(cube: Cube, dim: str, labels: DataFrame) -> Cube:
+    def apply(part: Part) -> Part:
+        rows = part.df.join(labels, dim, "left_semi")
+        return Part(rows.select(*part.dims, *part.variables), part.dims, part.variables)
+
+    return cube.map(apply, having=[dim], keep=[d for d in cube.dims if d != dim])
+
+
 def _combine(left: Part, right: Part, compat: str) -> Part:
     common = [v for v in left.variables if v in right.variables]
     added = [v for v in right.variables if v not in common]

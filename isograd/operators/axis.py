@@ -7,6 +7,7 @@ DataFrames; they are broadcast only when their counted size is within ``BROADCAS
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -51,6 +52,25 @@ class AxisInfo:
             return (self.second - self.first) / dt.timedelta(microseconds=1)
         return abs(self.second - self.first)
 
+    def between(self, low: float, high: float) -> AxisInfo | None:
+        """The axis cut to [low, high], or None when only the labels themselves can tell.
+
+        That is the case on irregular axes, and when an end falls next to a label.
+        """
+        if self.temporal or self.size < 2 or not self.equidistant(1e-6):
+            return None
+        step = (self.last - self.first) / (self.size - 1)
+        ends = ((low - self.first) / step, (high - self.first) / step)
+        if any(abs(e - round(e)) < 1e-6 for e in ends):
+            return None
+        start, stop = max(math.ceil(ends[0]), 0), min(math.floor(ends[1]), self.size - 1)
+        size = stop - start + 1
+        if size < 2:
+            return None
+        first = self.first + start * step
+        return AxisInfo(self.name, size, first, first + step, self.first + stop * step,
+                        self.min_step, self.max_step, False)
+
     def equidistant(self, rel: float = 1e-3) -> bool:
         if self.step is None:
             return False
@@ -93,6 +113,13 @@ def axis_info(cube: Cube, *dims: str) -> dict[str, AxisInfo]:
     """
     for dim in dims:
         cube.dim_type(dim)
+    missing = [d for d in dims if d not in cube.known]
+    if missing:
+        cube.known.update(_scan_axes(cube, missing))
+    return {d: cube.known[d] for d in dims}
+
+
+def _scan_axes(cube: Cube, dims: list[str]) -> dict[str, AxisInfo]:
     order = Window.partitionBy("dim").orderBy("label")
     stepped = _labels(cube, dims).withColumn("next", F.lead("label").over(order)).withColumn(
         "pos", F.row_number().over(order))

@@ -41,7 +41,7 @@ def _renamed(cube: Cube, old: str, new: str) -> Cube:
     axes = {new if d == old else d: a.withColumnRenamed(old, new) if d == old else a
             for d, a in cube.axes.items()}
     attrs = {new if k == old else k: v for k, v in cube.var_attrs.items()}
-    return replace(cube.map(apply), axes=axes, var_attrs=attrs)
+    return replace(cube.map(apply), axes=axes, known={}, var_attrs=attrs)
 
 
 def _rename_coords(cube: Cube) -> Cube:
@@ -53,7 +53,7 @@ def _rename_coords(cube: Cube) -> Cube:
                 cube = _renamed(cube, name, short)
                 columns = (*cube.dims, *cube.variables)
     if "time" in cube.variables and "time" not in cube.dims:
-        cube = replace(cube, parts=tuple(
+        cube = cube.with_parts(tuple(
             Part(p.df, (*p.dims, "time"), tuple(v for v in p.variables if v != "time"))
             if "time" in p.variables else p for p in cube.parts))
     return cube
@@ -73,7 +73,7 @@ def _drop_grid_indices(cube: Cube) -> Cube:
         names = tuple(v for v in p.variables if v not in ("lat", "lon"))
         return Part(p.df.select(*dims, *names), dims, names)
 
-    return replace(cube.map(apply, having=["y", "x"]), axes={})
+    return cube.map(apply, having=["y", "x"])
 
 
 def _wrap_lon(cube: Cube) -> Cube:
@@ -89,7 +89,8 @@ def _wrap_lon(cube: Cube) -> Cube:
         shift = info.step / 2
     lon = F.col("lon") - F.lit(shift)
     wrapped = F.when(lon > 180, lon - 360).otherwise(lon)
-    cube = cube.map(lambda p: replace(p, df=p.df.withColumn("lon", wrapped)), having=["lon"])
+    cube = cube.map(lambda p: replace(p, df=p.df.withColumn("lon", wrapped)), having=["lon"],
+                    keep=[d for d in cube.dims if d != "lon"])
     if "geospatial_lon_min" in attrs and "geospatial_lon_max" in attrs:
         if float(attrs["geospatial_lon_max"]) > 180:
             cube = cube.with_attrs(geospatial_lon_min=-180.0, geospatial_lon_max=180.0)
@@ -124,7 +125,7 @@ def _add_time(cube: Cube) -> Cube:
         df = part.df.select(ntz(middle).alias("time"), *part.dims, *part.variables)
         return Part(df, ("time", *part.dims), part.variables)
 
-    return replace(cube.map(apply, having=["lat", "lon"]), axes={}).with_attrs(
+    return cube.map(apply, having=["lat", "lon"], keep=cube.dims).with_attrs(
         time_bnds=(start, end))
 
 
@@ -135,7 +136,7 @@ def _order_dims(cube: Cube) -> Cube:
         dims = tuple(sorted(part.dims, key=lambda d: rank.get(d, 1)))
         return Part(part.df.select(*dims, *part.variables), dims, part.variables)
 
-    return cube.map(apply, keep_axes=True)
+    return cube.map(apply, keep=cube.dims)
 
 
 def _iso(value: dt.datetime) -> str:

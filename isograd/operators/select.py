@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +23,7 @@ def select_var(cube: Cube, var: str | Iterable[str] | None = None) -> Cube:
                   for p in cube.parts if keep & set(p.variables))
     if not parts:
         parts = tuple(p.select(variables=()) for p in cube.parts)
-    return replace(cube, parts=parts)
+    return cube.with_parts(parts, keep=cube.dims)
 
 
 def select_features(table: DataFrame, var: dict) -> DataFrame:
@@ -51,7 +50,7 @@ def fix_labels(cube: Cube, labels: dict, *, drop: bool = True) -> Cube:
         dims = tuple(d for d in part.dims if d not in own) if drop else part.dims
         return Part(rows.select(*dims, *part.variables), dims, part.variables)
 
-    return replace(cube, parts=tuple(apply(p) for p in cube.parts), axes={})
+    return cube.map(apply, keep=[d for d in cube.dims if d not in labels])
 
 
 def sel(cube: Cube, point=None, time=None, indexers=None, method: str = "nearest") -> Cube:

@@ -183,7 +183,7 @@ def detect_outliers(cube: Cube, var, threshold_low: float = 0.05, threshold_high
         names = (*part.variables, *masks)
         return part.select(masks, names)
 
-    out = cube.map(apply, keep_axes=True)
+    out = cube.map(apply, keep=cube.dims)
     if mask:
         out = replace(out, var_attrs=reduce(_mask_attrs, chosen, dict(out.var_attrs)))
     return out.stamped("detect_outliers", var=var)

@@ -102,7 +102,8 @@ def subset_spatial(cube: Cube, region, mask: bool = True, keep_axis: bool = True
         return _over_antimeridian(cube, box, keep_axis)
     box = Box(*padded)
     _require_labels(cube, info, box)
-    inside = cube.where_label("lat", box.lat_test).where_label("lon", box.lon_test)
+    inside = cube.where_label("lat", box.lat_test, info["lat"].between(box.south, box.north))
+    inside = inside.where_label("lon", box.lon_test, info["lon"].between(box.west, box.east))
     if simple or not mask:
         return inside
     left = axis_info(inside, "lon", "lat")
@@ -116,7 +117,7 @@ def subset_spatial(cube: Cube, region, mask: bool = True, keep_axis: bool = True
     def masked(part: Part) -> Part:
         return part.select({v: F.when(keep, F.col(v)) for v in part.variables})
 
-    return inside.map(masked, having=("lon", "lat"), keep_axes=True)
+    return inside.map(masked, having=("lon", "lat"), keep=cube.dims)
 
 
 def any_corner_inside(dx: float, dy: float, ring) -> Column:
@@ -129,11 +130,12 @@ def any_corner_inside(dx: float, dy: float, ring) -> Column:
 
 
 def _over_antimeridian(cube: Cube, box: Box, keep_axis: bool) -> Cube:
-    rows = cube.where_label("lat", box.lat_test)
+    lat = axis_info(cube, "lat")["lat"].between(box.south, box.north)
+    rows = cube.where_label("lat", box.lat_test, lat)
     if not keep_axis:
         return rows.where_label("lon", box.lon_test)
     return rows.map(lambda p: p.select({v: F.when(box.lon_test, F.col(v)) for v in p.variables}),
-                    having=("lon", "lat"), keep_axes=True)
+                    having=("lon", "lat"), keep=cube.dims)
 
 
 def _require_labels(cube: Cube, info: dict[str, AxisInfo], box: Box) -> None:

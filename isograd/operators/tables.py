@@ -183,7 +183,7 @@ def animation_range(cube: Cube, var: str, animate_dim: str = "time", true_range:
     if true_range:
         rows = part.df
     else:
-        chosen = replace(cube, parts=(part,))
+        chosen = cube.with_parts((part,), keep=cube.dims)
         first = fix_labels(chosen, {animate_dim: label_at(chosen, animate_dim, 0)})
         wanted = {k: v for k, v in (literals.dictionary(indexers) or {}).items()
                   if k != animate_dim}

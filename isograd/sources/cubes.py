@@ -90,7 +90,7 @@ def prune_by_time(cube: Cube, time_range) -> Cube:
         return part.where(F.col(YEAR).between(low.year, high.year) & months.between(
             low.year * 12 + low.month, high.year * 12 + high.month))
 
-    return subset_temporal(cube.map(apply, having=["time"], keep_axes=True), time_range)
+    return subset_temporal(cube.map(apply, having=["time"], keep=cube.dims), time_range)
 
 
 def open_dataset(spark: SparkSession, catalog: DataFrame, ds_id: str, time_range=None, region=None,
