@@ -64,11 +64,14 @@ def _close_in(rows: DataFrame, keys: list[str], probabilities, limit: int,
         .select(*keys, "n", "lo", "hi", F.inline(wanted))
         .withColumn("rank", F.least("rank", F.col("n") - 1))
         .withColumn("left", F.col("n")))
+    before = None
     while True:
         targets, largest = spans.agg(
             F.count(F.lit(1)), F.max(F.when(F.col("lo") < F.col("hi"), F.col("left")))).first()
-        if largest is None or largest <= limit:
+        # values that no bucket can part (infinities) are left to the last step, which counts them
+        if largest is None or largest <= limit or largest == before:
             break
+        before = largest
         spans = checkpoint(_narrow(rows, keys, spans, targets, buckets))
     # rank counts from the span's own lowest value
     mark = [*keys, "i", "side"]

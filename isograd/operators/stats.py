@@ -20,7 +20,7 @@ from isograd.operators.select import select_var
 def _r(sxy: Column, sxx: Column, syy: Column) -> Column:
     """Coefficient from centred sums, clamped against rounding; NULL without variation."""
     raw = F.try_divide(sxy, F.sqrt(sxx * syy))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def _map_moments() -> Column:

@@ -57,26 +57,31 @@ def slice_table(cube: Cube, var: str, indexers=None, dims=("lat", "lon")) -> Dat
     return slice_for(cube, indexers, list(dims), var).df
 
 
-def _span(df: DataFrame, name: str) -> Column:
-    """(lo, hi) of a column as a one-row subquery."""
-    return df.agg(F.struct(F.min(name).alias("lo"), F.max(name).alias("hi"))).scalar()
+def _span(df: DataFrame, *names: str) -> Column:
+    """(lo_<name>, hi_<name>) of columns as a one-row subquery; a single value gets a width of 1."""
+    ends = []
+    for name in names:
+        low, high = F.min(name), F.max(name)
+        half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
+        ends += [(low - half).alias(f"lo_{name}"), (high + half).alias(f"hi_{name}")]
+    return df.agg(F.struct(*ends)).scalar()
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based bin of equal width; the last bin is closed; no width means the middle bin."""
-    place = F.floor((value - low) / F.nullif((high - low) / bins, F.lit(0.0)))
-    return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(bins // 2)).cast("bigint")
+def _bin(name: str, bins: int) -> Column:
+    """0-based bin of equal width over the column's span; the last bin is closed."""
+    low, high = F.col(f"span.lo_{name}"), F.col(f"span.hi_{name}")
+    place = F.floor((F.col(name) - low) / ((high - low) / bins))
+    return F.least(place, F.lit(bins - 1)).cast("bigint")
 
 
 def histogram(cube: Cube, var: str, indexers=None, bins: int = 10) -> DataFrame:
     """(bin, low, high, count) of a slice's values over [min, max]; empty bins have no row."""
     rows = slice_for(cube, indexers, None, var).df.where(F.col(var).isNotNull())
     spread = rows.select(F.col(var).cast("double").alias("v"))
-    binned = spread.withColumn("s", _span(spread, "v"))
-    lo, hi = F.col("s.lo"), F.col("s.hi")
-    width = (hi - lo) / bins
-    counted = binned.groupBy(_bin(F.col("v"), lo, hi, bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"), F.min(lo).alias("lo"), F.min(width).alias("width"))
+    low = F.col("span.lo_v")
+    width = (F.col("span.hi_v") - low) / bins
+    counted = spread.withColumn("span", _span(spread, "v")).groupBy(_bin("v", bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.min(low).alias("lo"), F.min(width).alias("width"))
     return counted.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"),
                           (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("high"),
                           "count")
@@ -113,12 +118,8 @@ def _complete(pairs: DataFrame) -> DataFrame:
 
 def histogram_2d(pairs: DataFrame, bins: tuple[int, int] = (256, 256)) -> DataFrame:
     """(bx, by, count) of pairs over the range of each side's own values."""
-    spans = pairs.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                               F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
-    rows = _complete(pairs).withColumn("s", spans)
-    return rows.groupBy(
-        _bin(F.col("x"), F.col("s.x0"), F.col("s.x1"), bins[0]).alias("bx"),
-        _bin(F.col("y"), F.col("s.y0"), F.col("s.y1"), bins[1]).alias("by")).agg(
+    rows = _complete(pairs).withColumn("span", _span(pairs, "x", "y"))
+    return rows.groupBy(_bin("x", bins[0]).alias("bx"), _bin("y", bins[1]).alias("by")).agg(
         F.count(F.lit(1)).alias("count"))
 
 
