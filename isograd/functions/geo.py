@@ -24,12 +24,15 @@ ALMOST = 0.5e-6
 
 
 def _edges(rings: tuple[Ring, ...]) -> list[tuple[float, float, float, float]]:
-    return [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:]) if a != b]
+    return [(float(a[0]), float(a[1]), float(b[0]), float(b[1]))
+            for ring in rings for a, b in zip(ring, ring[1:]) if a != b]
 
 
 def _edge_array(edges) -> Column:
-    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(e, ("x0", "y0", "x1", "y1"))])
-                     for e in edges])
+    """One constant array, spelled as text because thousands of Column calls would take seconds."""
+    return F.expr("array(" + ", ".join(
+        f"named_struct('x0', {a!r}D, 'y0', {b!r}D, 'x1', {c!r}D, 'y1', {d!r}D)"
+        for a, b, c, d in edges) + ")")
 
 
 def _crossing(x: Column, y: Column, x0, y0, x1, y1) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isograd.operators.axis import BROADCAST_ROWS, hint_small
+from isograd.operators.axis import hint_small
 from isograd.session import checkpoint
 
 #: Largest number of rows of one group that ``percentile`` is used for.
@@ -43,12 +43,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
     return _close_in(rows, keys, probabilities, limit, buckets)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    if not keys:
-        # the right side has one row per wanted rank
-        return left.join(F.broadcast(right), F.lit(True)) if rows <= BROADCAST_ROWS \
-            else left.join(right, F.lit(True))
-    return left.join(hint_small(right, rows), keys)
+def _with_spans(rows: DataFrame, keys: list[str], spans: DataFrame, count: int) -> DataFrame:
+    """Each row with the spans of its group that it lies in.
+
+    Without keys there are two spans per quantile, which are then constants of the plan.
+    """
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    if keys:
+        return rows.join(hint_small(spans, count), keys).where(inside)
+    fixed = [F.struct(*(F.lit(value).alias(name) for name, value in row.asDict().items()))
+             for row in spans.collect()]
+    return rows.select("v", F.inline(F.array(*fixed))).where(inside)
 
 
 def _close_in(rows: DataFrame, keys: list[str], probabilities, limit: int,
@@ -75,8 +80,7 @@ def _close_in(rows: DataFrame, keys: list[str], probabilities, limit: int,
         spans = checkpoint(_narrow(rows, keys, spans, targets, buckets))
     # rank counts from the span's own lowest value
     mark = [*keys, "i", "side"]
-    inside = _join(rows, spans, keys, targets).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    counted = inside.groupBy(*mark, "rank", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+    counted = _with_spans(rows, keys, spans, targets).groupBy(*mark, "rank", "n", "v").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy(*mark).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     found = counted.withColumn("upto", F.sum("c").over(upto)).where(
         (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
@@ -98,8 +102,7 @@ def _narrow(rows: DataFrame, keys: list[str], spans: DataFrame, targets: int,
     width = (F.col("hi") - F.col("lo")) / buckets
     bucket = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))),
                      F.lit(buckets - 1))
-    inside = _join(rows, spans, keys, targets).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    counts = inside.groupBy(*mark, "n", "rank", F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(
+    counts = _with_spans(rows, keys, spans, targets).groupBy(*mark, "n", "rank", F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(
         F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     upto = Window.partitionBy(*mark).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     below = F.col("upto") - F.col("c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 from dataclasses import replace
 from functools import reduce as fold
@@ -132,6 +133,10 @@ def _climatology(cube: Cube, keys: list[Column], label: Column, time: AxisInfo)
         return Part(rows.select("time", *rest, *part.variables), ("time", *rest), part.variables)
 
     out = cube.map(apply, having=["time"], keep=[d for d in cube.dims if d != "time"])
+    if len(keys) == 1 and time.labels is not None:
+        months = sorted({t.month for t in time.labels})
+        out.known["time"] = AxisInfo.of("time", (dt.datetime(time.first.year, m, 1)
+                                                 for m in months), True)
     out = out.with_attrs(climatology_bounds=(time.first, time.last),
                          time_coverage_resolution="P1M" if len(keys) == 1 else None)
     methods = {v: {**out.var_attrs.get(v, {}), "cell_methods": " ".join(filter(None, [
@@ -234,14 +239,14 @@ def _resampler(method: str, name: str) -> Column:
 
 def _empty_bins(cube: Cube, part: Part, rest: list[str], period: Period, label: Column,
                 time: AxisInfo) -> DataFrame:
-    bins = cube.axis("time").select(label.alias("b")).distinct()
-    used = [r.b for r in bins.orderBy("b").limit(time.size).collect()]
-    every = period.labels(ntz(used[0]), ntz(used[-1]))
-    free = F.array_except(every, F.array(*map(ntz, used)))
+    """Every cell at every bin that holds no time label; the bins are an expression, not data."""
+    low, high = (period.bin(ntz(end), time.first) for end in (time.first, time.last))
     cells = part.df.select(*rest).distinct() if rest else part.df.sparkSession.range(1)
-    return cells.select(F.explode(free).alias("time"), *rest,
-                        *(F.lit(None).cast(part.df.schema[v].dataType).alias(v)
-                          for v in part.variables))
+    every = cells.select(F.explode(period.labels(low, high)).alias("time"), *rest)
+    used = cube.axis("time").select(label.alias("time")).distinct()
+    free = every.join(hint_small(used, time.size), "time", "left_anti")
+    return free.select("time", *rest, *(F.lit(None).cast(part.df.schema[v].dataType).alias(v)
+                                        for v in part.variables))
 
 
 def tseries_mean(cube: Cube, var=None, std_suffix: str = "_std",

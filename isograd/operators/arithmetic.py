@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isograd.model import Cube, Part, ValidationError
-from isograd.operators.axis import axis_info, hint_small, with_position
+from isograd.operators.axis import AxisInfo, axis_info, hint_small, with_position
 
 UNARY = {"log": F.ln, "log10": F.log10, "log2": F.log2, "log1p": F.log1p, "exp": F.exp}
 
@@ -56,7 +56,9 @@ def _subtract(left: Part, right: Part, on: Sequence[str], rows: int | None = Non
     extra = [d for d in right.dims if d not in left.dims]
     if extra:
         raise ValidationError(f"the subtrahend has more dimensions: {', '.join(extra)}")
-    joined = left.df.join(other, list(on)) if on else left.df.join(F.broadcast(other), F.lit(True))
+    if not on:
+        return left.select({v: F.col(v) - other.select(f"__r_{v}").scalar() for v in common}, common)
+    joined = left.df.join(other, list(on))
     return Part(joined.select(*left.dims, *((F.col(v) - F.col(f"__r_{v}")).alias(v)
                                             for v in common)), left.dims, tuple(common))
 
@@ -70,8 +72,7 @@ def diff(cube: Cube, other: Cube) -> Cube:
     timed = "time" in cube.dims and "time" in other.dims
     if timed:
         mine, theirs = (axis_info(c, "time")["time"] for c in (cube, other))
-        if mine.size == theirs.size and not cube.axis("time").join(
-                other.axis("time"), "time", "left_semi").limit(1).count():
+        if mine.size == theirs.size and not _share_labels(cube, other, mine, theirs):
             cube, other = (_by_position(c, i) for c, i in ((cube, mine), (other, theirs)))
         elif theirs.size == 1:
             other = _drop_dim(other, "time")
@@ -89,6 +90,13 @@ def diff(cube: Cube, other: Cube) -> Cube:
     return cube.with_parts(parts).stamped("diff")
 
 
+def _share_labels(cube: Cube, other: Cube, mine: AxisInfo, theirs: AxisInfo) -> bool:
+    if mine.labels is not None and theirs.labels is not None:
+        return bool(set(mine.labels) & set(theirs.labels))
+    common = cube.axis("time").join(other.axis("time"), "time", "left_semi")
+    return bool(common.limit(1).count())
+
+
 def _drop_dim(cube: Cube, dim: str) -> Cube:
     def apply(part: Part) -> Part:
         dims = tuple(d for d in part.dims if d != dim)
@@ -260,6 +268,10 @@ def _same_labels(having, dim: str) -> bool:
     for other, info in others:
         if (first.size, first.first, first.last) != (info.size, info.first, info.last):
             return False
+        if first.labels is not None and info.labels is not None:
+            if first.labels != info.labels:
+                return False
+            continue
         regular = not info.temporal and first.equidistant(1e-9) and info.equidistant(1e-9)
         if not regular and cube.axis(dim).join(other.axis(dim), dim, "left_anti").limit(1).count():
             return False

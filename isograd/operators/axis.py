@@ -1,7 +1,8 @@
 """Coordinate axes: sizes, steps, nearest labels and positions.
 
-Only scalars about an axis reach the driver (one row per dimension).  Label tables stay
-DataFrames; they are broadcast only when their counted size is within ``BROADCAST_ROWS``.
+One row per dimension reaches the driver: scalars, and the labels of axes up to ``KEPT_LABELS``
+long.  Longer axes stay DataFrames, broadcast only when their counted size is within
+``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
@@ -14,12 +15,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DateType,
+    DoubleType,
+    FloatType,
+    LongType,
+    StructField,
+    StructType,
+)
 
 from isograd.model import NUMERIC, TEMPORAL, Cube, ValidationError, literal
 
 #: Largest counted number of rows of a table that is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
+#: Longest axis whose labels are kept on the driver, where they become literals of later plans.
+KEPT_LABELS = 4096
+
 LON_NAMES = ("lon", "longitude", "long")
 LAT_NAMES = ("lat", "latitude")
 EPOCH = dt.datetime(1970, 1, 1)
@@ -42,6 +54,17 @@ class AxisInfo:
     min_step: float | None
     max_step: float | None
     temporal: bool
+    labels: tuple | None = None
+
+    @classmethod
+    def of(cls, name: str, labels: Iterable, temporal: bool) -> AxisInfo:
+        """The facts of an axis whose labels are at hand, in order."""
+        labels = tuple(labels)
+        unit = dt.timedelta(microseconds=1)
+        steps = [(b - a) / unit if temporal else b - a for a, b in zip(labels, labels[1:])]
+        return cls(name, len(labels), labels[0] if labels else None,
+                   labels[1] if len(labels) > 1 else None, labels[-1] if labels else None,
+                   min(steps, default=None), max(steps, default=None), temporal, labels)
 
     @property
     def step(self) -> float | None:
@@ -53,10 +76,13 @@ class AxisInfo:
         return abs(self.second - self.first)
 
     def between(self, low: float, high: float) -> AxisInfo | None:
-        """The axis cut to [low, high], or None when only the labels themselves can tell.
+        """The axis cut to [low, high], or None when only labels that are not at hand can tell.
 
-        That is the case on irregular axes, and when an end falls next to a label.
+        That is the case on long irregular axes, and when an end falls next to a label.
         """
+        if self.labels is not None:
+            return AxisInfo.of(self.name, (v for v in self.labels if low <= v <= high),
+                               self.temporal)
         if self.temporal or self.size < 2 or not self.equidistant(1e-6):
             return None
         step = (self.last - self.first) / (self.size - 1)
@@ -78,39 +104,25 @@ class AxisInfo:
                    for s in (self.min_step, self.max_step))
 
 
-def _as_double(cube: Cube, dim: str) -> Column:
-    kind = cube.dim_type(dim)
-    if isinstance(kind, TEMPORAL):
-        return F.unix_micros(F.col(dim).cast("timestamp")).cast("double")
-    if isinstance(kind, NUMERIC):
-        return F.col(dim).cast("double")
-    return F.lit(None).cast("double")
-
-
 def _labels(cube: Cube, dims: Iterable[str]) -> DataFrame:
-    """(dim, label, text) of the wanted axes: each part is scanned once for all its dims."""
-    def entry(dim: str) -> Column:
-        return F.struct(F.lit(dim).alias("dim"), _as_double(cube, dim).alias("label"),
-                        F.when(_as_double(cube, dim).isNull(), F.col(dim).cast("string"))
-                        .alias("text"))
-
-    frames = [cube.axes[d].select(F.inline(F.array(entry(d)))) for d in dims if d in cube.axes]
-    pending = [d for d in dims if d not in cube.axes]
-    for part in cube.parts:
-        own = [d for d in pending if d in part.dims]
-        if own:
-            frames.append(part.df.select(F.inline(F.array(*map(entry, own)))))
-    if not frames:
-        raise ValidationError(f"the dataset has none of the dimensions {', '.join(dims)}")
-    both = reduce(DataFrame.unionByName, frames)
-    return both.where(F.col("label").isNotNull() | F.col("text").isNotNull()).distinct()
+    """(dim, label, text): distinct labels first, each from its own column, then made alike."""
+    frames = []
+    for dim in dims:
+        kind, label = cube.dim_type(dim), F.col(dim)
+        if isinstance(kind, TEMPORAL):
+            number = F.unix_micros(label.cast("timestamp")).cast("double")
+        elif isinstance(kind, NUMERIC):
+            number = label.cast("double")
+        else:
+            number = F.lit(None).cast("double")
+        frames.append(cube.axis(dim).select(
+            F.lit(dim).alias("dim"), number.alias("label"),
+            F.when(number.isNull(), label.cast("string")).alias("text")))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def axis_info(cube: Cube, *dims: str) -> dict[str, AxisInfo]:
-    """Size, ends and step range of the given axes in one job; one row per dim is collected.
-
-    The window holds the labels of one axis, never its cells, and streams through a sort.
-    """
+    """Facts of the given axes, found once per cube in one job; one row per dim is collected."""
     for dim in dims:
         cube.dim_type(dim)
     missing = [d for d in dims if d not in cube.known]
@@ -120,6 +132,7 @@ def axis_info(cube: Cube, *dims: str) -> dict[str, AxisInfo]:
 
 
 def _scan_axes(cube: Cube, dims: list[str]) -> dict[str, AxisInfo]:
+    """The window holds the labels of one axis, never its cells, and streams through a sort."""
     order = Window.partitionBy("dim").orderBy("label")
     stepped = _labels(cube, dims).withColumn("next", F.lead("label").over(order)).withColumn(
         "pos", F.row_number().over(order))
@@ -128,7 +141,9 @@ def _scan_axes(cube: Cube, dims: list[str]) -> dict[str, AxisInfo]:
         F.min("label").alias("first"), F.max("label").alias("last"),
         F.max(F.when(F.col("pos") == 1, F.col("next"))).alias("second"),
         F.min(F.col("next") - F.col("label")).alias("min_step"),
-        F.max(F.col("next") - F.col("label")).alias("max_step")).collect()
+        F.max(F.col("next") - F.col("label")).alias("max_step"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") <= KEPT_LABELS, F.col("label"))))
+        .alias("labels")).collect()
     found = {}
     for row in rows:
         temporal = isinstance(cube.dim_type(row.dim), TEMPORAL)
@@ -138,8 +153,9 @@ def _scan_axes(cube: Cube, dims: list[str]) -> dict[str, AxisInfo]:
                 return value
             return EPOCH + dt.timedelta(microseconds=int(value))
 
+        kept = tuple(map(label, row.labels)) if len(row.labels) == row.size else None
         found[row.dim] = AxisInfo(row.dim, row.size, label(row.first), label(row.second),
-                                  label(row.last), row.min_step, row.max_step, temporal)
+                                  label(row.last), row.min_step, row.max_step, temporal, kept)
     empty = AxisInfo("", 0, None, None, None, None, None, False)
     return {d: found.get(d, empty) for d in dims}
 
@@ -165,8 +181,12 @@ def nearest_label(cube: Cube, wanted: Mapping[str, object], method: str = "neare
     """
     if method not in ("nearest", "ffill", "bfill"):
         raise ValidationError(f"unknown selection method '{method}'")
-    picks = []
+    picks, found = [], {}
     for dim, value in wanted.items():
+        info = cube.known.get(dim)
+        if info is not None and info.labels is not None:
+            found[dim] = _pick(info.labels, value, method)
+            continue
         label, target = F.col(dim), literal(value)
         if isinstance(cube.dim_type(dim), TEMPORAL):
             away = F.abs(F.unix_micros(label.cast("timestamp"))
@@ -191,7 +211,6 @@ def nearest_label(cube: Cube, wanted: Mapping[str, object], method: str = "neare
             source = next(p.df for p in cube.parts if dim in p.dims)
         by_source.setdefault(id(source), []).append(pick)
         sources[id(source)] = source
-    found: dict = {}
     for key, columns in by_source.items():
         found.update(sources[key].agg(*columns).first().asDict())
     lost = [d for d, v in found.items() if v is None]
@@ -200,18 +219,49 @@ def nearest_label(cube: Cube, wanted: Mapping[str, object], method: str = "neare
     return found
 
 
+def _pick(labels: tuple, value, method: str):
+    if method == "nearest":
+        return min(reversed(labels), key=lambda v: abs(v - value), default=None)
+    if method == "ffill":
+        return max((v for v in labels if v <= value), default=None)
+    return min((v for v in labels if v >= value), default=None)
+
+
 def label_at(cube: Cube, dim: str, position: int):
     """The label at a 0-based axis position, or None past the end."""
+    info = cube.known.get(dim)
+    if info is not None and info.labels is not None:
+        return info.labels[position] if position < info.size else None
     row = cube.axis(dim).orderBy(dim).offset(position).limit(1).first()
     return row[0] if row else None
 
 
 def positions(cube: Cube, dim: str, name: str) -> DataFrame:
-    """(label, 0-based position) of one axis; the sort sees axis labels only, never cells."""
+    """(label, 0-based position) of one axis; labels at hand need no further scan.
+
+    Otherwise the sort sees the labels of the axis only, never cells.
+    """
+    info = cube.known.get(dim)
+    if info is not None and info.labels is not None:
+        spark = cube.parts[0].df.sparkSession
+        kind = cube.dim_type(dim)
+        cast = (lambda v: v) if info.temporal or isinstance(kind, (DoubleType, FloatType)) else int
+        if not isinstance(kind, DateType):
+            rows = [(cast(v), i) for i, v in enumerate(info.labels)]
+            return spark.createDataFrame(rows, StructType([
+                StructField(dim, kind), StructField(name, LongType())]))
     order = Window.orderBy(dim)
     return cube.axis(dim).withColumn(name, (F.row_number().over(order) - 1).cast("bigint"))
 
 
+def label_of(info: AxisInfo, position: Column) -> Column | None:
+    """The label at a position as a constant lookup, when the labels are at hand."""
+    if info.labels is None or info.temporal:
+        return None
+    labels = F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in info.labels) + ")")
+    return F.element_at(labels, (position + 1).cast("int"))
+
+
 def with_position(df: DataFrame, cube: Cube, info: AxisInfo, name: str) -> DataFrame:
     """Add the 0-based axis position of each row's label.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isograd import literals
-from isograd.functions.quantile import GROUP_ROWS, quantiles
+from isograd.functions.quantile import GROUP_ROWS, percentile_columns, quantiles
 from isograd.functions.special import correlation_p_value
 from isograd.model import Cube, Part, ValidationError
 from isograd.operators.axis import AxisInfo, axis_info, hint_small, with_position
@@ -81,7 +81,9 @@ def _same_grid(x: Cube, y: Cube, ix, iy) -> None:
     for dim in ("lat", "lon"):
         a, b = ix[dim], iy[dim]
         same = (a.size, a.first, a.second, a.last) == (b.size, b.first, b.second, b.last)
-        if same and not (a.equidistant(1e-6) and b.equidistant(1e-6)):
+        if same and a.labels is not None and b.labels is not None:
+            same = a.labels == b.labels
+        elif same and not (a.equidistant(1e-6) and b.equidistant(1e-6)):
             same = not x.axis(dim).join(y.axis(dim), dim, "left_anti").limit(1).count()
         if not same:
             raise ValidationError("the datasets must have the same lat/lon definition; "
@@ -160,15 +162,13 @@ def detect_outliers(cube: Cube, var, threshold_low: float = 0.05, threshold_high
     ``<var>_outlier_mask`` is 1 for outliers and missing values.
     """
     chosen = literals.match(var, cube.variables)
-    bounds = {}
-    for name in chosen:
-        bounds[name] = (threshold_low, threshold_high)
-        if quantiles_given:
-            part = cube.part_of(name)
-            size = prod(i.size for i in axis_info(replace(cube, parts=(part,)), *part.dims).values())
-            rows = size if size <= GROUP_ROWS else None
-            bounds[name] = tuple(quantiles(part.df, [], name, [threshold_low, threshold_high],
-                                           group_rows=rows).first().q or (None, None))
+    ends = (threshold_low, threshold_high)
+    bounds = {name: ends for name in chosen}
+    if quantiles_given:
+        bounds = {}
+        for part in cube.parts:
+            bounds.update(_quantile_bounds(cube, part, [v for v in part.variables if v in chosen],
+                                           ends))
 
     def inside(name: str) -> Column:
         low, high = (F.lit(b).cast("double") for b in bounds[name])
@@ -189,6 +189,17 @@ def detect_outliers(cube: Cube, var, threshold_low: float = 0.05, threshold_high
     return out.stamped("detect_outliers", var=var)
 
 
+def _quantile_bounds(cube: Cube, part: Part, names: list[str], ends) -> dict:
+    """Exact quantiles of each variable; together in one pass while one task can hold them."""
+    if not names:
+        return {}
+    size = prod(i.size for i in axis_info(cube, *part.dims).values())
+    if size <= GROUP_ROWS:
+        row = part.df.agg(*percentile_columns({v: ends for v in names})).first()
+        return {v: tuple(row[v] or (None, None)) for v in names}
+    return {v: tuple(quantiles(part.df, [], v, ends).first().q or (None, None)) for v in names}
+
+
 def _mask_attrs(attrs: dict, name: str) -> dict:
     """CF attributes that tie a flag variable to its variable."""
     own, flag = attrs.get(name, {}), f"{name}_outlier_mask"

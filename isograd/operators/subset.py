@@ -21,11 +21,14 @@ def subset_temporal(cube: Cube, time_range) -> Cube:
     if "time" not in cube.dims or not isinstance(cube.dim_type("time"), TEMPORAL):
         raise ValidationError("a temporal subset needs a time coordinate of a timestamp type")
     low, high = found
-    return cube.where_label("time", F.col("time").between(literal(low), literal(high)))
+    known = cube.known.get("time")
+    return cube.where_label("time", F.col("time").between(literal(low), literal(high)),
+                            known.between(low, high) if known is not None else None)
 
 
 def subset_temporal_index(cube: Cube, time_ind_min: int, time_ind_max: int) -> Cube:
     """Cells whose time stands at the positions min..max (inclusive) of the time axis."""
+    axis_info(cube, "time")
     low, high = label_at(cube, "time", time_ind_min), label_at(cube, "time", time_ind_max)
     if low is None:
         return cube.where_label("time", F.lit(False))

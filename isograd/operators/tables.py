@@ -67,6 +67,16 @@ def _span(df: DataFrame, *names: str) -> Column:
     return df.agg(F.struct(*ends)).scalar()
 
 
+def _widened(span: DataFrame) -> Column:
+    """A one-row span as a subquery; a single value gets a width of 1."""
+    ends = []
+    for name in ("x", "y"):
+        low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
+        half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
+        ends += [(low - half).alias(f"lo_{name}"), (high + half).alias(f"hi_{name}")]
+    return span.select(F.struct(*ends)).scalar()
+
+
 def _bin(name: str, bins: int) -> Column:
     """0-based bin of equal width over the column's span; the last bin is closed."""
     low, high = F.col(f"span.lo_{name}"), F.col(f"span.hi_{name}")
@@ -111,14 +121,32 @@ def scatter_pairs(x: Cube, y: Cube, var_x: str, var_y: str, indexers_x=None,
     return positional_pairs(*cubes, *infos, var_x, var_y)
 
 
+def pair_range(x: Cube, y: Cube, var_x: str, var_y: str, indexers_x=None,
+               indexers_y=None) -> DataFrame:
+    """One row with the span of each side, read from the variables without pairing them."""
+    sides = []
+    for cube, var, indexers in ((x, var_x, indexers_x), (y, var_y, indexers_y)):
+        rows = slice_for(cube, literals.dictionary(indexers) or {}, None, var).df
+        sides.append(rows.agg(F.min(var).cast("double").alias("lo"),
+                              F.max(var).cast("double").alias("hi")))
+    spark = x.parts[0].df.sparkSession
+    return spark.range(1).select(*(side.select(end).scalar().alias(f"{end}_{name}")
+                                   for side, name in zip(sides, "xy") for end in ("lo", "hi")))
+
+
 def _complete(pairs: DataFrame) -> DataFrame:
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     return pairs.where(both).select("x", "y")
 
 
-def histogram_2d(pairs: DataFrame, bins: tuple[int, int] = (256, 256)) -> DataFrame:
-    """(bx, by, count) of pairs over the range of each side's own values."""
-    rows = _complete(pairs).withColumn("span", _span(pairs, "x", "y"))
+def histogram_2d(pairs: DataFrame, bins: tuple[int, int] = (256, 256),
+                 span: DataFrame | None = None) -> DataFrame:
+    """(bx, by, count) of pairs over the range of each side's own values.
+
+    ``span`` (see ``pair_range``) saves a second pairing just to find the range.
+    """
+    span = _span(pairs, "x", "y") if span is None else _widened(span)
+    rows = _complete(pairs).withColumn("span", span)
     return rows.groupBy(_bin("x", bins[0]).alias("bx"), _bin("y", bins[1]).alias("by")).agg(
         F.count(F.lit(1)).alias("count"))
 

@@ -16,14 +16,31 @@ from isograd.session import prepare
 CELL = ("time", "lat", "lon")
 
 
+# Given schemas spare the reader a look into the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def month_start(column: str) -> Column:
-    c = F.col(column)
-    return F.make_date(F.year(c), F.month(c), F.lit(1)).cast("timestamp_ntz")
+    return F.trunc(F.col(column).cast("date"), "month").cast("timestamp_ntz")
 
 
 def day_start(column: str) -> Column:
@@ -40,8 +57,9 @@ def _line_cube(spark, sf_dir, time, ny, nx, first_lat, first_lon, step) -> Cube:
         _grid("l_suppkey", first_lat, step, ny).alias("lat"),
         _grid("l_partkey", first_lon, step, nx).alias("lon"),
         "l_extendedprice", "l_quantity")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    pieces = F.round(F.col("l_quantity")).cast("bigint")
+    # floor stays on doubles, round would go through decimals
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    pieces = F.floor(F.col("l_quantity") + 0.5)
     totals = rows.groupBy(*CELL).agg(F.sum(cents).alias("cents"), F.sum(pieces).alias("pieces"),
                                      F.count(F.lit(1)).alias("n"))
     cells = totals.select(*CELL, F.expr("cents div (100 * n)").cast("double").alias("price"),
@@ -77,7 +95,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean per event type in whole hundredths."""
     return table(spark, sf_dir, "events").groupBy(
         day_start("ts").alias("time"), F.col("event_type").alias("kind")).agg(
-        F.expr("sum(CAST(round(value * 100) AS BIGINT)) div count(*)").cast("double")
+        F.expr("sum(floor(value * 100 + 0.5D)) div count(*)").cast("double")
         .alias("value"))
 
 
@@ -85,8 +103,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUBE_SQL = """SELECT date_trunc('{unit}', l_shipdate)::TIMESTAMP AS time,
   CAST({lat} + {step}*(l_suppkey % {ny}) AS DOUBLE) AS lat,
   CAST({lon} + {step}*(l_partkey % {nx}) AS DOUBLE) AS lon,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // (100 * count(*)) AS DOUBLE) AS price,
-  CAST((10 * sum(CAST(round(l_quantity) AS BIGINT))) // count(*) AS DOUBLE) AS qty
+  CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) // (100 * count(*)) AS DOUBLE) AS price,
+  CAST((10 * sum(CAST(floor(l_quantity + 0.5) AS BIGINT))) // count(*) AS DOUBLE) AS qty
   FROM lineitem GROUP BY 1,2,3"""
 
 VIEWS_SQL = {
@@ -98,7 +116,7 @@ VIEWS_SQL = {
   CAST(-90 AS DOUBLE) + CAST(c_custkey*17 % 1800 AS DOUBLE)/CAST(10 AS DOUBLE) AS lat
   FROM customer""",
     "series": """SELECT date_trunc('day', ts)::TIMESTAMP AS time, event_type AS kind,
-  CAST(sum(CAST(round(value * 100) AS BIGINT)) // count(*) AS DOUBLE) AS value
+  CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) // count(*) AS DOUBLE) AS value
   FROM events GROUP BY 1,2""",
 }
 

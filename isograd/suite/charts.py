@@ -58,7 +58,8 @@ SELECT CAST(least(floor((price - x0) / wx), 255) AS BIGINT) AS bx,
 FROM cube_coarse, r GROUP BY 1, 2""", COARSE)
 def histogram_2d(spark, sf_dir):
     cube = cube_coarse(spark, sf_dir)
-    return tables.histogram_2d(tables.scatter_pairs(cube, cube, "price", "qty"))
+    return tables.histogram_2d(tables.scatter_pairs(cube, cube, "price", "qty"),
+                               span=tables.pair_range(cube, cube, "price", "qty"))
 
 
 @case("a13_hexbin", """WITH r AS (SELECT min(price) - 1e-9 * (max(price) - min(price)) AS x0,
