@@ -132,9 +132,13 @@ def test_axis_info(make, spark):
     text = Cube.of(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), ["k"])
     assert axis_info(text, "k")["k"].size == 2
     regular = axis_info(make(np.arange(10) * 10.0, [5], first=1.0), "lat")["lat"]
-    cut = regular.between(15, 44)
+    cut = regular.between(20, 44)
     assert (cut.size, cut.first, cut.last) == (3, 20, 40)
-    assert regular.between(20, 44) is None and info["lat"].between(0.5, 2) is None
+    long = replace(regular, labels=None)
+    cut = long.between(15, 44)
+    assert (cut.size, cut.first, cut.last) == (3, 20, 40)
+    assert long.between(20, 44) is None
+    assert replace(info["lat"], labels=None).between(0.5, 2) is None
 
 
 def test_history(make):
