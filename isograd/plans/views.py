@@ -54,7 +54,7 @@ def _grid(key: str, first: float, step: float, n: int) -> Column:
 def _line_cube(spark, sf_dir, time, ny, nx, first_lat, first_lon, step) -> Cube:
     rows = table(spark, sf_dir, "lineitem").select(
         time.alias("time"),
-        _grid("l_suppkey", first_lat, step, ny).alias("lat"),
+        _grid("l_orderkey", first_lat, step, ny).alias("lat"),
         _grid("l_partkey", first_lon, step, nx).alias("lon"),
         "l_extendedprice", "l_quantity")
     # floor stays on doubles, round would go through decimals
@@ -101,7 +101,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same views for the SQL checks.
 _CUBE_SQL = """SELECT date_trunc('{unit}', l_shipdate)::TIMESTAMP AS time,
-  CAST({lat} + {step}*(l_suppkey % {ny}) AS DOUBLE) AS lat,
+  CAST({lat} + {step}*(l_orderkey % {ny}) AS DOUBLE) AS lat,
   CAST({lon} + {step}*(l_partkey % {nx}) AS DOUBLE) AS lon,
   CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) // (100 * count(*)) AS DOUBLE) AS price,
   CAST((10 * sum(CAST(floor(l_quantity + 0.5) AS BIGINT))) // count(*) AS DOUBLE) AS qty
