@@ -15,14 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DateType,
-    DoubleType,
-    FloatType,
-    LongType,
-    StructField,
-    StructType,
-)
 
 from isograd.model import NUMERIC, TEMPORAL, Cube, ValidationError, literal
 
@@ -243,22 +235,28 @@ def positions(cube: Cube, dim: str, name: str) -> DataFrame:
     """
     info = cube.known.get(dim)
     if info is not None and info.labels is not None:
-        spark = cube.parts[0].df.sparkSession
-        kind = cube.dim_type(dim)
-        cast = (lambda v: v) if info.temporal or isinstance(kind, (DoubleType, FloatType)) else int
-        if not isinstance(kind, DateType):
-            rows = [(cast(v), i) for i, v in enumerate(info.labels)]
-            return spark.createDataFrame(rows, StructType([
-                StructField(dim, kind), StructField(name, LongType())]))
+        kind = cube.dim_type(dim).simpleString()
+        labels = _constant_labels(info, kind)
+        # one row that a single task unfolds: the labels are constants of the plan
+        return cube.parts[0].df.sparkSession.range(0, 1, 1, 1).select(
+            F.posexplode(labels).alias("__pos", dim)).select(
+            dim, F.col("__pos").cast("bigint").alias(name))
     order = Window.orderBy(dim)
     return cube.axis(dim).withColumn(name, (F.row_number().over(order) - 1).cast("bigint"))
 
 
+def _constant_labels(info: AxisInfo, kind: str) -> Column:
+    """The labels as a constant array, spelled as text to spare a call per label."""
+    texts = (f"TIMESTAMP_NTZ'{v.isoformat(sep=' ')}'" if info.temporal else f"{float(v)!r}D"
+             for v in info.labels)
+    return F.expr(f"array({', '.join(texts)})").cast(f"array<{kind}>")
+
+
 def label_of(info: AxisInfo, position: Column) -> Column | None:
     """The label at a position as a constant lookup, when the labels are at hand."""
     if info.labels is None or info.temporal:
         return None
-    labels = F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in info.labels) + ")")
+    labels = _constant_labels(info, "double")
     return F.element_at(labels, (position + 1).cast("int"))
 
 
