@@ -87,7 +87,7 @@ def reordered(spark, sf_dir):
 
 def _row(spark, attrs: dict, names: list[str]):
     """The derived attributes as one row."""
-    return spark.createDataFrame([tuple(attrs[n] for n in names)], names)
+    return spark.range(1).select(*(F.lit(attrs[n]).alias(n) for n in names))
 
 
 @case("n9_temporal_attributes", """SELECT strftime(a, '%Y-%m-%dT%H:%M:%S') AS time_coverage_start,
