@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +18,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it names none and the executors run on this machine, as in tests, is one made here.
+    Where it names none, as in tests, one folder per application is used inside the warehouse folder,
+    which driver and executors share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the executors")
-    return tempfile.mkdtemp(prefix=f"isograd-{os.getpid()}-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch/{spark.sparkContext.applicationId}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
