@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
+from isograd.llm import mixing
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
+from isograd.llm.toxicity import toxicity_scores
 from isograd.suite.registry import Case
 
 CASES: dict[str, Case] = {}
@@ -26,6 +28,16 @@ def op1(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
 
 
+@case("op4_mixing", mixing.SQL)
+def op4(spark, sf_dir):
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 @case("op6_quality_classifier")
 def op6(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@case("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
