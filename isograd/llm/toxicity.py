@@ -23,7 +23,9 @@ from isograd.llm.common import labelled_sample, logistic, remainder, share_of_on
 
 #: Bounds of the learning sample: texts of a label, and bytes of a text.
 PER_CLASS, LONGEST = 3000, 16_000
-LANDMARKS = 300
+LANDMARKS = 400
+#: Clean words to learn from at a time, and the total cost of either side.
+NEGATIVES, COST = 8000, 3000.0
 #: Letters a subsequence may span, and what each letter of a gap costs.
 SPAN, DECAY = 6, 0.5
 #: Longer words are read by overlapping parts of this length.
@@ -97,24 +99,42 @@ class Machine(dict):
         return max(map(self.__getitem__, tokens)) if tokens else self.model.bias
 
 
-def _witnesses(bags: list[tuple[set[str], int]]) -> tuple[list[str], list[str]]:
-    """Words that sentences of toxic texts owe their label to, and words of clean sentences."""
-    counts = [Counter(), Counter()]
-    for words, label in bags:
-        counts[label].update(words)
-    n = [max(1, sum(1 for _, y in bags if y == side)) for side in (0, 1)]
+def _witnesses(texts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
+    """Words that toxic texts owe their label to, and the words of clean ones, commonest first.
+
+    A telling word follows many different words in toxic texts and hardly occurs in clean ones. Words
+    of a passage that many texts copy follow the same word each time, so they don't count as telling.
+    """
+    after: dict[str, set[str]] = {}
+    found = [Counter(), Counter()]
+    for text, label in texts:
+        words: set[str] = set()
+        for sentence in _SENTENCE.split(text):
+            before = ""
+            for token in words_of(sentence):
+                own = parts(token)
+                words.update(own)
+                if label:
+                    for w in own:
+                        after.setdefault(w, set()).add(before)
+                before = token
+        found[label].update(words)
+    n = [max(1, sum(1 for _, y in texts if y == side)) for side in (0, 1)]
     least = max(2, 0.01 * n[1])
-    telling = [w for w, k in counts[1].items()
-               if k >= least and k / n[1] > 20 * counts[0][w] / n[0] and len(w) > 2]
-    telling.sort(key=lambda w: (-counts[1][w], w))
-    clean = sorted(counts[0], key=lambda w: (-counts[0][w], w))
-    return telling, clean
+    telling = [w for w, seen in after.items() if len(w) > 2 and len(seen) >= least
+               and found[1][w] / n[1] > 20 * found[0][w] / n[0]]
+    telling.sort(key=lambda w: (-found[1][w], w))
+    return telling, sorted(found[0], key=lambda w: (-found[0][w], w))
+
+
+def _evenly(items: list[str], most: int) -> list[str]:
+    return items[::max(1, -(-len(items) // most))]
 
 
 def _machine(positive: list[str], negative: list[str]) -> tuple[dict[str, float], float]:
     """Landmarks, Nyström map, squared-hinge machine; folded into weights per subsequence."""
-    spread = negative[:: max(1, len(negative) // (LANDMARKS // 2))][:LANDMARKS // 2]
-    marks = list(dict.fromkeys([*positive[:LANDMARKS // 2], *spread]))
+    marks = list(dict.fromkeys([*_evenly(positive, LANDMARKS // 2),
+                                *_evenly(negative, LANDMARKS // 2)]))
     words = positive + negative
     index: dict[str, int] = {}
     vectors = [phi(w) for w in words]
@@ -137,9 +157,7 @@ def _machine(positive: list[str], negative: list[str]) -> tuple[dict[str, float]
             kernel[row] = basis[:, at] @ np.array(x)
     z = np.c_[kernel @ root, np.ones(len(words))]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    cost = np.where(y > 0, 2.0 * len(negative) / len(words) / max(1, len(positive)) * 200,
-                    len(positive) / len(words) / max(1, len(negative)) * 2000)
-    cost = np.maximum(cost, 0.05)
+    cost = np.where(y > 0, COST / len(positive), COST / len(negative))
     w = np.zeros(z.shape[1])
     for _ in range(50):  # Newton steps on the points inside the margin
         inside = y * (z @ w) < 1
@@ -157,15 +175,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train) -> Model:
     """A machine on labelled sentences, then a logistic fit of the texts' largest decisions."""
     prior = share_of_ones(labels, label, train)
     sample = labelled_sample(docs, labels, label, train, PER_CLASS, LONGEST)
-    bags = [({p for t in set(words_of(text)) for p in parts(t)}, y) for text, y in sample]
-    positive, negative = _witnesses(bags)
-    if not positive or not negative:
-        return Model({}, 0.0, (0.0, 0.0), 0.0 if prior is None else prior)
-    # every word of a clean sentence counts against; the commonest, and an even share of the others
-    negative = negative[:6000] + negative[6000::max(1, len(negative) // 6000)]
+    positive, negative = _witnesses(sample)
     chosen = set(positive)
     negative = [w for w in negative if w not in chosen]
-    weights, bias = _machine(positive, negative)
+    if not positive or not negative:
+        return Model({}, 0.0, (0.0, 0.0), 0.0 if prior is None else prior)
+    # the commonest clean words and an even share of the rest; then those too that it takes for toxic
+    start = list(dict.fromkeys(negative[:NEGATIVES // 2] + _evenly(negative, NEGATIVES // 2)))
+    weights, bias = _machine(positive, start)
+    machine = Machine(Model(weights, bias, (0.0, 0.0)))
+    hard = sorted(negative, key=lambda w: (-machine[w], w))[:NEGATIVES // 2]
+    weights, bias = _machine(positive, list(dict.fromkeys(hard + start)))
     machine = Machine(Model(weights, bias, (0.0, 0.0)))
     x = np.array([[np.clip(machine.decide(t), -3, 3)] for t, _ in sample])
     slope = logistic(x, np.array([y for _, y in sample]), prior)
