@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
-from isograd.llm import mixing
+from isograd.llm import mixing, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -33,6 +33,11 @@ def op4(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+@case("op5_warc_bundles", warc.SQL)
+def op5(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @case("op6_quality_classifier")
 def op6(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
