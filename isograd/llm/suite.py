@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
-from isograd.llm import mixing, voronoi, warc
+from isograd.llm import decontaminate, mixing, voronoi, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -51,3 +51,9 @@ def op3(spark, sf_dir):
 @case("op10_voronoi_top_k", voronoi.SQL)
 def op10(spark, sf_dir):
     return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@case("op8_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"),
+                                  table(spark, sf_dir, "benchmark"))
