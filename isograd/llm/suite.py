@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
-from isograd.llm import decontaminate, mixing, voronoi, warc
+from isograd.llm import decontaminate, mixing, neardup, voronoi, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -28,6 +28,12 @@ def op1(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
 
 
+@case("op2_minhash_near_duplicates", neardup.SQL)
+def op2(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"),
+                                   neardup.Similar(words=3, percent=85))
+
+
 @case("op4_mixing", mixing.SQL)
 def op4(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
