@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
-from isograd.llm import decontaminate, mixing, neardup, voronoi, warc
+from isograd.llm import decontaminate, mixing, neardup, suffixes, voronoi, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -63,3 +63,8 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"),
                                   table(spark, sf_dir, "benchmark"))
+
+
+@case("op9_suffix_repeats")
+def op9(spark, sf_dir):
+    return suffixes.repeat_digest(table(spark, sf_dir, "documents"))
