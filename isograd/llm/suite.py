@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
-from isograd.llm import decontaminate, mixing, neardup, suffixes, voronoi, warc
+from isograd.llm import decontaminate, licenses, mixing, neardup, suffixes, voronoi, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -68,3 +68,8 @@ def op8(spark, sf_dir):
 @case("op9_suffix_repeats")
 def op9(spark, sf_dir):
     return suffixes.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@case("op7_license_scan", licenses.brute_sql())
+def op7(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
