@@ -98,10 +98,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int):
     value = mix(value)
     for text in np.flatnonzero((counts > 0) & (counts < size)):
         low, high = first[text], first[text + 1]
-        total = np.uint64(high - low)
+        total = np.full(1, high - low, np.uint64)
         for h in hashes[low:high]:
-            total = mix(np.array([total * np.uint64(_BASE) ^ h]))[0]
-        value[low], whole[low] = total, True
+            total = mix(total * np.uint64(_BASE) ^ h)
+        value[low], whole[low] = total[0], True
     value, owner = value[whole], owner[whole]
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isograd.llm.common import table
+import corpus_pipeline
 from isograd.llm import decontaminate, licenses, mixing, neardup, suffixes, voronoi, warc
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
@@ -73,3 +74,8 @@ def op9(spark, sf_dir):
 @case("op7_license_scan", licenses.brute_sql())
 def op7(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@case("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
