@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from isograd import literals
 from isograd.functions.periods import Period
-from isograd.functions.quantile import GROUP_ROWS, quantiles
+from isograd.functions.quantile import GROUP_ROWS, join_null_safe, quantiles
 from isograd.model import TEMPORAL, Cube, Part, ValidationError, ntz
 from isograd.operators.axis import AxisInfo, axis_info, hint_small, positions
 from isograd.operators.normalize import adjust_temporal_attrs, temporal_attrs
@@ -80,7 +80,8 @@ def medians(cube: Cube, df: DataFrame, keys, gone, variables) -> DataFrame:
     if not keys:
         return df.sparkSession.range(1).select(*(f.scalar().alias(v)
                                                  for f, v in zip(frames, variables)))
-    return fold(lambda a, b: a.join(b, list(keys), "full_outer"), frames)
+    # every frame has all groups
+    return fold(lambda a, b: join_null_safe(a, b, list(keys), "left"), frames)
 
 
 def _need_time(cube: Cube, what: str) -> None:

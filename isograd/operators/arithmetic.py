@@ -263,17 +263,13 @@ def _aligned(cubes: list[Cube], join: str) -> list[Cube]:
 
 
 def _same_labels(having, dim: str) -> bool:
-    """Whether all cubes share an axis; regular axes are compared by their facts alone."""
+    """Whether all cubes share an axis."""
     (cube, first), others = having[0], having[1:]
     for other, info in others:
-        if (first.size, first.first, first.last) != (info.size, info.first, info.last):
-            return False
-        if first.labels is not None and info.labels is not None:
-            if first.labels != info.labels:
-                return False
-            continue
-        regular = not info.temporal and first.equidistant(1e-9) and info.equidistant(1e-9)
-        if not regular and cube.axis(dim).join(other.axis(dim), dim, "left_anti").limit(1).count():
+        same = first.agrees(info)
+        if same is None:
+            same = not cube.axis(dim).join(other.axis(dim), dim, "left_anti").limit(1).count()
+        if not same:
             return False
     return True
 

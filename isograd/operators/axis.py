@@ -89,6 +89,30 @@ class AxisInfo:
         return AxisInfo(self.name, size, first, first + step, self.first + stop * step,
                         self.min_step, self.max_step, False)
 
+    def agrees(self, other: AxisInfo, rel: float = 1e-6) -> bool | None:
+        """Whether two axes have the same labels, None when only the labels themselves can tell.
+
+        Numbers agree within a fraction of the step: the facts of a cut axis may be computed.
+        """
+        if self.size != other.size or self.temporal != other.temporal:
+            return False
+        if self.size == 0:
+            return True
+
+        def close(a, b) -> bool:
+            if self.temporal:
+                return a == b
+            return abs(a - b) <= rel * (self.step or max(1.0, abs(a)))
+
+        if not (close(self.first, other.first) and close(self.last, other.last)):
+            return False
+        if self.labels is not None and other.labels is not None:
+            return all(map(close, self.labels, other.labels))
+        if self.size <= 2 or (not self.temporal and self.equidistant(rel)
+                              and other.equidistant(rel)):
+            return True
+        return None
+
     def equidistant(self, rel: float = 1e-3) -> bool:
         if self.step is None:
             return False

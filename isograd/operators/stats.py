@@ -79,11 +79,8 @@ def pearson_correlation(x: Cube, y: Cube, var_x: str, var_y: str) -> Cube:
 
 def _same_grid(x: Cube, y: Cube, ix, iy) -> None:
     for dim in ("lat", "lon"):
-        a, b = ix[dim], iy[dim]
-        same = (a.size, a.first, a.second, a.last) == (b.size, b.first, b.second, b.last)
-        if same and a.labels is not None and b.labels is not None:
-            same = a.labels == b.labels
-        elif same and not (a.equidistant(1e-6) and b.equidistant(1e-6)):
+        same = ix[dim].agrees(iy[dim])
+        if same is None:
             same = not x.axis(dim).join(y.axis(dim), dim, "left_anti").limit(1).count()
         if not same:
             raise ValidationError("the datasets must have the same lat/lon definition; "

@@ -5,6 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from isograd.functions import quantile
+from isograd.functions.quantile import quantiles
 from isograd.operators import aggregate, anomaly, arithmetic, axis, regrid, select, stats, subset
 from isograd.operators.fill import fillna
 
@@ -80,3 +82,49 @@ def test_hot_series_is_split(spark):
         expected[i] = last[k]
     assert {r.i: r.v for r in out.collect()} == expected
     assert "__bucket" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_keep_every_group(spark):
+    """NULL keys, groups without values and infinities are the same on both ways."""
+    inf = float("inf")
+    data = ([("a", float(i % 7) / 3) for i in range(60)] + [(None, float(i)) for i in range(40)]
+            + [("gone", None)] * 30 + [("ends", v) for v in [-inf, inf, 1.0, 2.5] * 9 + [0.1] * 9]
+            + [("one", 4.0)])
+    df = spark.createDataFrame(data, "k string, v double")
+    for keys in (["k"], []):
+        small = {tuple(r[:-1]): r.q for r in quantiles(df, keys, "v", [0, 0.1, 0.5, 0.83, 1]).collect()}
+        large = {tuple(r[:-1]): r.q for r in quantiles(df, keys, "v", [0, 0.1, 0.5, 0.83, 1],
+                                                       limit=3, buckets=4).collect()}
+        assert repr(sorted(small.items(), key=str)) == repr(sorted(large.items(), key=str))
+        assert len(small) == (5 if keys else 1)
+    none = quantiles(df.where("k = 'gone'"), [], "v", [0.5], group_rows=10, limit=3).collect()
+    assert [r.q for r in none] == [None]
+
+
+def test_medians_keep_missing_groups(make, monkeypatch):
+    values = np.arange(24.0).reshape(3, 2, 4)
+    values[:, 0, 1] = np.nan
+    cube = make([-10, 10], [0, 1, 2, 3], TIMES[:3], first=values, second=values * 2)
+    small = rows(aggregate.reduce(cube, dim="time", method="median"))
+    monkeypatch.setattr(aggregate, "GROUP_ROWS", 1)
+    monkeypatch.setattr(quantile, "GROUP_ROWS", 1)
+    assert rows(aggregate.reduce(cube, dim="time", method="median")) == small
+    assert ((-10.0, 1.0), (None, None)) in small
+
+
+def test_a_cut_axis_is_still_the_same_axis(make, monkeypatch):
+    """Facts of a long axis that was cut are computed, and need not be equal to the last bit."""
+    monkeypatch.setattr(axis, "KEPT_LABELS", 0)
+    lats, lons = np.arange(-44.7, 45, 0.3), np.arange(0.1, 3, 0.7)
+    values = np.random.default_rng(1).random((4, len(lats), len(lons)))
+
+    def whole():
+        return make(lats, lons, TIMES[:4], first=values)
+
+    box = "0, -29.9, 3, 29.9"  # padded by half a pixel
+    cut = subset.subset_spatial(whole(), box)
+    keep = np.abs(lats) < 30.05
+    anew = make(lats[keep], lons, TIMES[:4], first=values[:, keep])
+    axis.axis_info(anew, "lat", "lon")
+    out = stats.pearson_correlation(cut, anew, "first", "first")
+    assert out.df.count() == keep.sum() * len(lons)
