@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isograd.model import Cube, Part, ValidationError
+from isograd.functions.quantile import quantiles
+from isograd.model import Cube, Part, ValidationError, null_if_nan
 from isograd.operators.axis import AxisInfo, axis_info, hint_small, with_position
 
 UNARY = {"log": F.ln, "log10": F.log10, "log2": F.log2, "log1p": F.log1p, "exp": F.exp}
@@ -138,36 +139,81 @@ def _is_aggregate(df: DataFrame, expression: str) -> bool:
         return True
 
 
-def _assign(df: DataFrame, script: str) -> tuple[DataFrame, list[str], set[str]]:
-    """Run the statements in order; aggregates become one-row scalar subqueries."""
-    new, scalars = [], set()
+_MEDIAN = re.compile(r"median\(([^()]*(?:\([^()]*\)[^()]*)*)\)", re.IGNORECASE)
+
+
+def _aggregates(df: DataFrame, batch: list[tuple[str, str]]) -> dict[str, Column]:
+    """Scalar columns of aggregates of one table: one subquery, and one per median.
+
+    A median is closed in on by value ranges, so that no task holds the table.
+    """
+    out, plain = {}, []
+    for name, text in batch:
+        whole = _MEDIAN.fullmatch(text.strip())
+        if whole:
+            value = df.select(F.expr(whole[1]).cast("double").alias("v"))
+            found = quantiles(value.select(null_if_nan(value, "v")), [], "v", [0.5])
+            out[name] = found.select(F.col("q")[0]).scalar()
+        else:
+            plain.append(F.expr(text).alias(name))
+    if plain:
+        row = df.agg(F.struct(*plain).alias("__row")).scalar()
+        out.update({name: row[name] for name, _ in batch if name not in out})
+    return out
+
+
+def _assign(df: DataFrame, script: str) -> tuple[DataFrame, DataFrame, list[str], set[str]]:
+    """Run the statements in order, on the rows and on a one-row table of what is equal on all rows.
+
+    Aggregates that follow each other are computed together. NaN is missing, as everywhere.
+    """
+    one = df.sparkSession.range(1).select()
+    new: list[str] = []
+    scalars: set[str] = set()
+    batch: list[tuple[str, str]] = []
+
+    def put(table: DataFrame, name: str, value: Column) -> DataFrame:
+        table = table.withColumn(name, value)
+        return table.withColumn(name, null_if_nan(table, name))
+
+    def settle() -> None:
+        nonlocal df, one
+        for name, value in _aggregates(df, batch).items():
+            df, one = put(df, name, value), put(one, name, value)
+        batch.clear()
+
     for name, text in statements(script):
+        used = set(re.findall(r"[A-Za-z_]\w*", text))
+        if used & {n for n, _ in batch} or name in {n for n, _ in batch}:
+            settle()
         if _is_aggregate(df, text):
-            df = df.withColumn(name, df.agg(F.expr(text)).scalar())
+            batch.append((name, text))
             scalars.add(name)
         else:
-            used = set(re.findall(r"[A-Za-z_]\w*", text))
-            if used & set(df.columns) and not (used & set(df.columns)) - scalars:
+            settle()
+            df = put(df, name, F.expr(text))
+            if (used & set(df.columns)) - {name} <= scalars and not (
+                    name in used and name not in scalars):
+                one = put(one, name, F.expr(text))
                 scalars.add(name)
-            df = df.withColumn(name, F.expr(text))
+            else:
+                scalars.discard(name)
         new = [n for n in new if n != name] + [name]
-    return df, new, scalars
+    settle()
+    return df, one, new, scalars
 
 
 def compute_data_frame(df: DataFrame, script: str, copy: bool = False) -> DataFrame:
     """New columns from ``name = expression`` lines; names starting with ``_`` are temporary.
 
-    Without ``copy`` only the new columns are kept, and when all of them are aggregates the result
-    is one row.
+    Without ``copy`` only the new columns are kept, and when all of them are aggregates or constants
+    the result is one row, also of an empty table.
     """
-    out, new, scalars = _assign(df, script)
+    out, one, new, scalars = _assign(df, script)
     kept = [n for n in new if not n.startswith("_")]
     if copy:
         return out.select(*[c for c in df.columns if c not in kept], *kept)
-    if set(kept) <= scalars:
-        # the values are the same on every row
-        return out.select(*kept).limit(1)
-    return out.select(*kept)
+    return (one if set(kept) <= scalars else out).select(*kept)
 
 
 def compute_dataset(cube: Cube | None, script: str, copy: bool = False,
@@ -191,7 +237,7 @@ def compute_dataset(cube: Cube | None, script: str, copy: bool = False,
         raise ValidationError("no dataset given")
     for resource, name in named:
         script = re.sub(rf"\b{resource}\.{name}\b", f"{resource}__{name}", script)
-    out, new, _ = _assign(base.df, script)
+    out, _, new, _ = _assign(base.df, script)
     kept = [n for n in new if not n.startswith("_")]
     if copy and cube is not None:
         kept = [v for v in cube.variables if v not in kept] + kept

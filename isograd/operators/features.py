@@ -15,7 +15,6 @@ from isograd.model import ValidationError, null_if_nan
 
 GEOMETRY = ("lon", "lat", "geometry")
 STATISTICS = ("count", "mean", "median", "sum", "std", "min", "max")
-MULTIPOINT_ROWS = 100_000
 
 
 def data_frame_min(df: DataFrame, var: str, order: str) -> DataFrame:
@@ -81,8 +80,8 @@ def data_frame_aggregate(df: DataFrame, var_names=None, aggregate_geometry: bool
                          group_limit: int | None = None) -> DataFrame:
     """One row ``<col>_<statistic>`` of count, mean, median, sum, std (sample), min and max.
 
-    With ``aggregate_geometry`` a column ``geometry`` holds the distinct points as a multi-point,
-    provided there are few of them; ``geometry_union`` gives the same set as a table of any size.
+    With ``aggregate_geometry`` the result is the union of the geometries as a table, a row per
+    distinct point (``lon``, ``lat``) with the statistics next to it; without points it has no row.
     """
     usable = [f.name for f in df.schema.fields
               if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
@@ -97,7 +96,7 @@ def data_frame_aggregate(df: DataFrame, var_names=None, aggregate_geometry: bool
         df.schema[c].dataType, T.FractionalType) else F.col(c).cast("bigint").alias(c)
         for c in chosen))
     plain = [c for name in chosen for c in _statistics(name)]
-    if flat.limit(limit + 1).count() <= limit:
+    if flat.count() <= limit:
         whole = flat.agg(*plain, *(F.percentile(c, F.lit(0.5)).alias(f"{c}_median")
                                    for c in chosen))
     else:
@@ -108,12 +107,8 @@ def data_frame_aggregate(df: DataFrame, var_names=None, aggregate_geometry: bool
     names = [f"{c}_{s}" for c in chosen for s in STATISTICS]
     if not aggregate_geometry:
         return whole.select(*names)
-    union = geometry_union(df)
-    if union.limit(MULTIPOINT_ROWS + 1).count() > MULTIPOINT_ROWS:
-        raise ValidationError("too many points for one geometry; use geometry_union")
-    points = union.agg(F.array_sort(F.collect_list(F.struct(F.col("lon").alias("x"),
-                                                            F.col("lat").alias("y")))))
-    return whole.select(*names, points.scalar().alias("geometry"))
+    row = whole.select(F.struct(*names).alias("__s")).scalar()
+    return geometry_union(df).withColumn("__s", row).select("__s.*", "lon", "lat")
 
 
 def _statistics(name: str) -> list[Column]:

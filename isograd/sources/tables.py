@@ -127,9 +127,25 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return df.limit(rows)
 
 
-def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
-    return (reader.option("encoding", encoding) if encoding else reader).json(path)
+def read_json(spark: SparkSession, path: str, encoding: str | None = None,
+              multi_line: bool = False, schema: str | None = None) -> DataFrame:
+    """JSON as a table: one object per line, or with ``multi_line`` one document per file.
+
+    A document may be an array of objects. Lines that are no objects raise an error rather than being
+    left out.
+    """
+    reader = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST")
+    if encoding:
+        reader = reader.option("encoding", encoding).option("lineSep", "\n")
+    if schema:
+        reader = reader.schema(schema)
+    try:
+        return reader.json(path)
+    except Exception as error:
+        if multi_line or "MALFORMED_RECORD" not in str(error):
+            raise
+        raise ValidationError("not one JSON object per line; multi_line reads single documents"
+                              ) from error
 
 
 def write_json(df: DataFrame, path: str, encoding: str | None = None,
@@ -172,12 +188,17 @@ def _runs_from_json(kind: Column, text: Column) -> Column:
 
 
 def read_geo_data_frame(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON (a feature collection, or one feature per line) as a feature table.
+    """GeoJSON (one feature or feature collection per line, or one per file) as a feature table.
 
-    Properties become columns; point features get ``lon`` and ``lat`` as well.
+    The content tells the layouts apart: only where a line is no JSON value of its own are files read as
+    one document each. Properties become columns; point features get ``lon`` and ``lat`` as well.
     """
-    reader = spark.read.option("multiLine", str(not path.endswith("l")).lower())
+    reader = spark.read
     inferred = reader.json(path).schema
+    if "_corrupt_record" in inferred.fieldNames():
+        reader = spark.read.option("multiLine", "true")
+        inferred = reader.json(path).schema
+    reader = reader.option("mode", "FAILFAST")
     collection = "features" in inferred.fieldNames()
     feature = inferred["features"].dataType.elementType if collection else inferred
     properties = feature["properties"].dataType if "properties" in feature.fieldNames() \

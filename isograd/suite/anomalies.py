@@ -95,6 +95,24 @@ def computed_copy(spark, sf_dir):
     return rounded(out, 4, "off")
 
 
+@case("m5_compute_empty", """SELECT count(*) AS n, avg(value) AS mean,
+  quantile_cont(value, 0.5) AS middle, 5 AS five FROM points WHERE id < 0""", ("points",))
+def computed_of_nothing(spark, sf_dir):
+    return arithmetic.compute_data_frame(points(spark, sf_dir).where("id < 0"),
+                                         "n = count(1)\nmean = avg(value)\nmiddle = median(value)\n"
+                                         "five = 5")
+
+
+@case("m6_compute_nan", """WITH m AS (SELECT avg(price) AS m FROM cube_coarse)
+SELECT lat, lon, round(avg(CASE WHEN price >= m THEN sqrt(price - m) END), 6) AS root
+FROM cube_coarse, m GROUP BY 1, 2""", COARSE)
+def computed_roots(spark, sf_dir):
+    # roots of negative numbers are missing and don't spoil the means
+    roots = arithmetic.compute_dataset(cube_coarse(spark, sf_dir),
+                                       "_m = avg(price)\nroot = sqrt(price - _m)")
+    return rounded(aggregate.reduce(roots, dim="time", method="mean").df, 6, "root")
+
+
 @case("m6_compute_cube", """SELECT c.time, lat, lon, c.price / 10 + x.qty AS score
 FROM cube_coarse c JOIN (SELECT lat, lon, max(qty) AS qty FROM cube_coarse GROUP BY 1, 2) x
   USING (lat, lon)""", COARSE)

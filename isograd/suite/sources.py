@@ -98,8 +98,9 @@ def csv_cube(spark, sf_dir):
 @case("s10_json", "SELECT kind, value FROM series", ("series",))
 def json_rows(spark, sf_dir):
     path = scratch(spark, "series") + ".json"
-    tables.write_json(series(spark, sf_dir).select("kind", "value"), path)
-    return spark.read.schema("kind string, value double").json(path)
+    # several part files, each of many lines
+    tables.write_json(series(spark, sf_dir).select("kind", "value").repartition(4), path)
+    return tables.read_json(spark, path, schema="kind string, value double")
 
 
 @case("s11_text", "SELECT p_name AS value FROM part")
@@ -116,6 +117,33 @@ def geojson(spark, sf_dir):
     return tables.read_geo_data_frame(spark, path).drop("geometry")
 
 
+@case("s12_geojson_document", "SELECT id, value, kind, lon, lat FROM points", POINTS)
+def geojson_document(spark, sf_dir):
+    path = scratch(spark, "points") + ".geojson"
+    # four documents over several lines each, a feature collection of a quarter of the points
+    features = tables.feature_json(points(spark, sf_dir))
+    part = F.get_json_object("value", "$.properties.id").cast("bigint") % 4
+    whole = features.groupBy(part.alias("part")).agg(F.concat(
+        F.lit('{"type": "FeatureCollection",\n"features": [\n'),
+        F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]}")).alias("value"))
+    whole.write.partitionBy("part").text(path)
+    return tables.read_geo_data_frame(spark, path).drop("geometry")
+
+
+@case("s14_object_json", "SELECT id, value, kind, lon, lat FROM points", POINTS)
+def json_object(spark, sf_dir):
+    path = scratch(spark, "points") + ".json"
+    tables.write_object(points(spark, sf_dir).repartition(4), path)
+    return tables.read_object(spark, path)
+
+
+@case("s14_object_geojson", "SELECT id, value, kind, lon, lat FROM points", POINTS)
+def geojson_object(spark, sf_dir):
+    path = scratch(spark, "points") + ".geojson"
+    tables.write_object(points(spark, sf_dir).repartition(4), path)
+    return tables.read_object(spark, path).drop("geometry")
+
+
 @case("s14_object_formats", "SELECT id, value, kind, lon, lat FROM points", POINTS)
 def objects(spark, sf_dir):
     path = scratch(spark, "points") + ".parquet"

@@ -114,8 +114,10 @@ def test_aggregate(spark):
         assert len(row) == 21
         assert (row.lat_count, row.lat_median, row.ok_sum) == (3, 46.0, 2)
         assert row.lat_std == pytest.approx(1.2583057)
-    shaped = features.data_frame_aggregate(df, "lat", aggregate_geometry=True).first()
-    assert len(shaped.geometry) == 3
+    twice = df.unionAll(df.limit(1)).selectExpr("name", "lat", "lat - 100 AS lon", "ok")
+    shaped = features.data_frame_aggregate(twice, "lat", aggregate_geometry=True).collect()
+    assert sorted(r.lon for r in shaped) == [-55.0, -54.0, -52.5]
+    assert {r.lat_count for r in shaped} == {4}
     for bad in ("asdc, lat", "name, lat"):
         with pytest.raises(ValidationError):
             features.data_frame_aggregate(df, bad)
