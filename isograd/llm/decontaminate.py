@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isograd.llm.bitmaps import bitmap, held
 from isograd.llm.common import blocks, utf8, written
 from isograd.llm.hashing import mix, words
 
@@ -27,8 +28,6 @@ SHORTEST = 5
 MASKS = ("####-###", "##--#--####", "#-####-#--#")
 #: For items too short for a stretch.
 PLAIN = "#####"
-#: Bits of the bitmap: by hash, at least, at most.
-BITS, LEAST_BITS, MOST_BITS = 256, 1 << 24, 1 << 28
 
 
 def _hashes(h: np.ndarray, number: int, mask: str) -> np.ndarray:
@@ -52,10 +51,6 @@ def seeds(h: np.ndarray, first: np.ndarray):
     return np.concatenate(found), np.concatenate(where)
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return h & np.uint64(bits - 1), (h >> np.uint64(34)) & np.uint64(bits - 1)
-
-
 def _item_seeds(items: DataFrame) -> DataFrame:
     kind = items.schema["item_id"].dataType.simpleString()
 
@@ -79,27 +74,12 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, f"h long, item_id {kind}, item_at int")
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for slot in _slots(batch.column(0).to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(own, (slot >> np.uint64(3)).astype(np.int64),
-                                 np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["b"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for row in hashes.select("h").coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
-        out |= np.frombuffer(row.b, np.uint8)
-    return out
-
-
 _PIECE = "key long, h long, at int, low int, words binary"
 
 
-def _doc_seeds(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+def _doc_seeds(docs: DataFrame, known: np.ndarray) -> DataFrame:
     """Rows of two kinds: (key, h, at) per hash in the bitmap, (key, low, words) per stretch around."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -110,10 +90,7 @@ def _doc_seeds(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
                 span = offsets[low:high + 1]
                 h, first = words(data[span[0]:span[-1]], span - span[0])
                 found, where = seeds(h, first)
-                hit = np.ones(len(found), bool)
-                for slot in _slots(found, bits):
-                    hit &= (known[(slot >> np.uint64(3)).astype(np.int64)]
-                            >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                hit = held(known, found)
                 found, where = found[hit], where[hit]
                 if not len(found):
                     continue
@@ -185,12 +162,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFram
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull())
     kind = items.schema["item_id"].dataType.simpleString()
     tests = written(_item_seeds(items), "test-seeds")
-    n = tests.count()
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, n * BITS):
-        bits *= 2
     rows = docs.select(F.col(key).cast("long").alias("key"), "text").where(F.col(key).isNotNull())
-    pieces = written(_doc_seeds(rows, _bitmap(tests, bits), bits), "doc-seeds")
+    pieces = written(_doc_seeds(rows, bitmap(tests, "h")), "doc-seeds")
     meets = (pieces.where("h IS NOT NULL").select("key", "h", "at").join(tests, "h")
              .groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
              .agg(F.min("at").alias("at"), F.max("at").alias("last")))

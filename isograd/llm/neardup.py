@@ -20,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isograd.llm.bitmaps import bitmap, held
 from isograd.llm.common import blocks, utf8, written
 from isograd.llm.components import components
 from isograd.llm.hashing import mix, shingles, words
 
 #: Signature values in a band, values compared at a time, documents of a block.
 ROWS, BATCH, BLOCK = 4, 16, 512
+#: A band's name ends in its number, one of so many at most.
+NUMBERS = 256
+#: Shingles by which 32 bits of the hashes may differ from all, at least.
+ROOM = 3
 
 
 @dataclass(frozen=True)
@@ -115,6 +120,7 @@ def banded(classes: DataFrame, rule: Similar) -> DataFrame:
                 name = np.full(len(s), b + 1, np.uint64)
                 for j in range(b * ROWS, (b + 1) * ROWS):
                     name = mix(name * np.uint64(0x9E3779B97F4A7C15) + s[:, j])
+                name = name & ~np.uint64(NUMBERS - 1) | np.uint64(b)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), batch.column(0)], names=["band", "doc_id"])
 
@@ -144,19 +150,44 @@ def survivors(pairs: DataFrame, classes: DataFrame, rule: Similar) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, rule: Similar) -> DataFrame:
-    """The (a, b) pairs whose full sets are similar enough."""
+def full_sets(docs: DataFrame, needed: DataFrame, rule: Similar, short: bool = False) -> DataFrame:
+    """(doc_id, set) with the sorted hashes of the needed documents' sets, and of few others.
+
+    A bitmap of the needed ids goes to the scan, so that texts aren't shuffled. ``short`` keeps 32 bits
+    of each hash.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(needed, "doc_id"))
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(held(known.value, batch.column(0).to_numpy())))
             data, offsets = utf8(batch.column(1))
             for low, high in blocks(offsets):
                 span = offsets[low:high + 1]
                 value, start = shingles(*words(data[span[0]:span[-1]], span - span[0]), rule.words)
+                if short:
+                    value = value.astype(np.uint32)
+                pieces = (value[a:b] for a, b in zip(start[:-1], start[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low),
-                     pa.array([value[a:b].tobytes() for a, b in zip(start[:-1], start[1:])],
+                     pa.array([(np.unique(x) if short else x).tobytes() for x in pieces],
                               pa.binary())], names=["doc_id", "set"])
 
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    return rows.mapInArrow(build, "doc_id long, set binary")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, rule: Similar) -> DataFrame:
+    """The (a, b) pairs whose full sets are similar enough."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -165,20 +196,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Similar) -> DataFrame:
                 least, most = sorted((len(x), len(y)))
                 if 100 * least < rule.percent * most:
                     continue
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * common >= rule.percent * (len(x) + len(y) - common):
+                k = common(x, y)
+                if 100 * k >= rule.percent * (len(x) + len(y) - k):
                     good.append(row)
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
     pairs = written(pairs.distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(build, "doc_id long, set binary"), "sets")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    sets = written(full_sets(docs, needed, rule), "sets")
     one, two = (sets.select(F.col("doc_id").alias(n), F.col("set").alias(f"s{n}"))
                 for n in ("a", "b"))
-    return (pairs.join(one, "a").join(two, "b")
-            .select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct())
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+            .mapInArrow(compare, "a long, b long").distinct())
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -199,8 +228,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def across(bands: DataFrame, labels: DataFrame, classes: DataFrame, rule: Similar) -> DataFrame:
-    """Surviving (a, b) pairs of one band but different components."""
+def across(docs: DataFrame, bands: DataFrame, labels: DataFrame, classes: DataFrame,
+           rule: Similar) -> DataFrame:
+    """(a, b) pairs of one band but different components that may be similar enough.
+
+    Signatures are compared first; for what survives, the sets are compared here too, with 32 bits of
+    each hash and so much room that no similar pair is lost. A pair comes from the first band it
+    shares.
+    """
     named = (bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
              .select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
     named = written(named, "named-bands")
@@ -211,9 +246,11 @@ def across(bands: DataFrame, labels: DataFrame, classes: DataFrame, rule: Simila
             .withColumn("own", F.pmod(F.xxhash64("doc_id"), "g").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
             .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                    "doc_id", "label", "own")
-            .join(classes.select("doc_id", "signature"), "doc_id")
-            .select("band", "x", "y", "doc_id", "label", "own", "signature"))
+                    "doc_id", "label", "own"))
+    rows = written(rows, "open-rows")
+    rows = (rows.join(classes.select("doc_id", "signature"), "doc_id")
+            .join(written(full_sets(docs, rows, rule, short=True), "short-sets"), "doc_id")
+            .select("band", "x", "y", "doc_id", "label", "own", "signature", "set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches):
@@ -221,13 +258,28 @@ def across(bands: DataFrame, labels: DataFrame, classes: DataFrame, rule: Simila
             s = _signatures(group["signature"], rule)
             x, y = group["x"][0].as_py(), group["y"][0].as_py()
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+            sets = [np.frombuffer(v.as_py(), np.uint32) for v in group["set"]]
+            sizes = np.array([len(v) for v in sets])
+            number = group["band"][0].as_py() & (NUMBERS - 1)
+            earlier = s[:, :number * ROWS].reshape(len(s), number, ROWS)
             found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row in left:
                 to = right[label[right] != label[row]]
                 if x == y:
                     to = to[to > row]
+                # hashes of 32 bits may coincide, the more the larger the sets
+                room = ROOM + (sizes * sizes[row] >> 30)
+                least, most = np.minimum(sizes[to], sizes[row]), np.maximum(sizes[to], sizes[row])
+                to = to[100 * (least + room[to]) >= rule.percent * most]
+                to = to[~(earlier[to] == earlier[row]).all(axis=2).any(axis=1)]
                 if len(to):
-                    on = to[likely(np.broadcast_to(s[row], (len(to), rule.values)), s[to], rule)]
+                    to = to[likely(np.broadcast_to(s[row], (len(to), rule.values)), s[to], rule)]
+                on = []
+                for other in to:
+                    k = common(sets[row], sets[other]) + int(room[other])
+                    if 100 * k >= rule.percent * (sizes[row] + sizes[other] - k):
+                        on.append(other)
+                if on:
                     found[0].append(np.minimum(ids[row], ids[on]))
                     found[1].append(np.maximum(ids[row], ids[on]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found],
@@ -261,7 +313,7 @@ def near_duplicates(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
              .select("a", F.col("doc_id").alias("b")).distinct())
     first = written(confirmed(survivors(pairs, classes, rule), docs, rule), "links")
     labels = components(first)
-    rest = written(across(bands, labels, classes, rule), "open-pairs")
+    rest = written(across(docs, bands, labels, classes, rule), "open-pairs")
     if rest.limit(1).count():
         labels = components(first.union(confirmed(rest, docs, rule)))
     reached = written(names.join(labels, F.col("rep") == F.col("node"), "left")
