@@ -8,40 +8,49 @@ from isograd.functions.geo import great_circle_distance, point_predicate
 from isograd.operators import features, geometry
 
 
+# A, B, C, D, lon, lat: a slanted row of stations and three more
+STATIONS = [(1, "kim", True, 2.5, -3.0, 40.0), (2, "lea", False, 0.9, 1.0, 42.0),
+            (3, "mo", False, 1.7, 5.0, 44.0), (4, "nia", True, 0.2, 9.0, 46.0),
+            (5, "ole", True, 0.9, 1.0, 47.0), (6, "pia", False, 0.2, 7.5, 40.5),
+            (7, "qi", True, 3.1, -3.0, 48.0)]
+
+
 @pytest.fixture(scope="module")
-def six(spark):
-    rows = [(1, "a", False, 0.4, 10.0, 10.0), (2, "b", False, 0.5, 10.0, 20.0),
-            (3, "c", True, 0.3, 10.0, 30.0), (4, "x", False, 0.3, 20.0, 30.0),
-            (5, "y", True, 0.1, 20.0, 20.0), (6, "z", True, 0.4, 20.0, 10.0)]
+def seven(spark):
     return spark.createDataFrame(
-        rows, "A int, B string, C boolean, D double, lon double, lat double")
+        STATIONS, "A int, B string, C boolean, D double, lon double, lat double")
 
 
 def ids(df):
     return sorted(r.A for r in df.collect())
 
 
-@pytest.mark.parametrize("query, expected", [
-    ("D >= 0.4 and B != 'b'", [1, 6]),
-    ("not C and @almost_equals('10,10')", [1]),
-    ("not C and @contains('10,10')", [1]),
-    ("not C and @crosses('10,10')", []),
-    ("not C and @disjoint('10,10')", [2, 4]),
-    ("not C and @intersects('19, 9, 21, 31')", [4]),
-    ("not C and @touches('10, 10, 20, 30')", [1, 2, 4]),
-    ("@within('19, 9, 21, 31')", [4, 5, 6]),
-    ('not C and @within("POLYGON((19 9, 21 9, 21 31, 19 31, 19 9))")', [4]),
-    ("@intersects('LINESTRING (10 10, 10 25)')", [1, 2]),
-    ("@touches('LINESTRING (10 10, 10 25)')", [1]),
-    ("@within('LINESTRING (10 10, 10 25)')", [2]),
+def chosen(test):
+    return [s[0] for s in STATIONS if test(*s)]
+
+
+@pytest.mark.parametrize("query, test", [
+    ("D >= 0.9 and B != 'mo'", lambda a, b, c, d, x, y: d >= 0.9 and b != "mo"),
+    ("C and @almost_equals('9,46')", lambda a, b, c, d, x, y: (x, y) == (9, 46)),
+    ("@contains('1,42')", lambda a, b, c, d, x, y: (x, y) == (1, 42)),
+    ("@crosses('1,42')", lambda *s: False),
+    ("not C and @disjoint('5,44')", lambda a, b, c, d, x, y: not c and (x, y) != (5, 44)),
+    ("@intersects('0, 41, 8, 47')", lambda a, b, c, d, x, y: 0 <= x <= 8 and 41 <= y <= 47),
+    ("@within('0, 41, 8, 47')", lambda a, b, c, d, x, y: 0 < x < 8 and 41 < y < 47),
+    ("@touches('0, 41, 8, 47')", lambda a, b, c, d, x, y: a == 5),
+    ('C and @within("POLYGON((0 39, 12 39, 12 50, 0 39))")',
+     lambda a, b, c, d, x, y: c and 0 < x < 12 and 39 < y < 39 + 11 * x / 12),
+    ("@intersects('LINESTRING (-3 40, 9 46)')", lambda a, b, c, d, x, y: a <= 4),
+    ("@touches('LINESTRING (-3 40, 9 46)')", lambda a, b, c, d, x, y: a in (1, 4)),
+    ("@within('LINESTRING (-3 40, 9 46)')", lambda a, b, c, d, x, y: a in (2, 3)),
 ])
-def test_query(six, query, expected):
-    assert ids(features.data_frame_query(six, query)) == expected
+def test_query(seven, query, test):
+    assert ids(features.data_frame_query(seven, query)) == chosen(test)
 
 
-def test_query_rejects_unknown_tests(six):
+def test_query_rejects_unknown_tests(seven):
     with pytest.raises(ValidationError):
-        features.data_frame_query(six, "@near('10,10')")
+        features.data_frame_query(seven, "@near('10,10')")
     with pytest.raises(ValidationError):
         point_predicate("near", F.col("lon"), F.col("lat"), "10,10")
 
@@ -70,29 +79,38 @@ def test_long_rings_are_folded(spark):
     assert wrong.count() == 0 and df.where(inside).count() > 250
 
 
-def test_subset(six):
-    region = "POLYGON((-10 0, 25 0, 25 30, -10 0))"
-    assert len(ids(features.data_frame_subset(six, region=region))) == 3
-    out = features.data_frame_subset(six, region=region, var_names="A, C")
+def test_subset(seven):
+    region = "POLYGON((-5 39, 10 39, 10 45.5, -5 39))"
+    under = chosen(lambda a, b, c, d, x, y: -5 < x < 10 and 39 < y < 39 + 6.5 * (x + 5) / 15)
+    assert under and ids(features.data_frame_subset(seven, region=region)) == under
+    out = features.data_frame_subset(seven, region=region, var_names="A, C")
     assert out.columns == ["lon", "lat", "A", "C"]
-    away = "POLYGON((30 30, 40 30, 40 40, 30 30))"
-    assert features.data_frame_subset(six, region=away).count() == 0
+    away = "POLYGON((20 20, 30 20, 25 31, 20 20))"
+    assert features.data_frame_subset(seven, region=away).count() == 0
+
+
+def test_min_max_take_the_first(seven):
+    assert features.data_frame_min(seven, "D", "A").first().A == 4
+    assert features.data_frame_max(seven, "D", "A").first().A == 7
+    assert features.data_frame_min(seven.where("D = 0.9"), "D", "A").first().A == 2
 
 
-def test_min_max_take_the_first(six):
-    assert features.data_frame_min(six, "D", "A").first().A == 5
-    assert features.data_frame_max(six, "D", "A").first().A == 2
-    assert features.data_frame_min(six.where("D = 0.3"), "D", "A").first().A == 3
+def angle(x0, y0, x1, y1):
+    """Great-circle degrees by the spherical law of cosines."""
+    a, b, c, d = map(math.radians, (x0, y0, x1, y1))
+    return math.degrees(math.acos(math.sin(b) * math.sin(d)
+                                  + math.cos(b) * math.cos(d) * math.cos(a - c)))
 
 
-def test_closest(six):
-    assert features.data_frame_find_closest(six, "POINT(20 30)", "A").first().distance == 0
-    rows = features.data_frame_find_closest(six, "POINT(21 28)", "A", 3, dist_col_name="d").collect()
-    assert [r.A for r in rows] == [4, 5, 3]
-    assert [r.d for r in rows] == pytest.approx([2.1828435, 8.0518568, 9.8221713], abs=1e-7)
-    near = features.data_frame_find_closest(six, "POINT(21 28)", "A", 3, 9.0)
-    assert near.count() == 2
-    assert features.data_frame_find_closest(six, "POINT(21 28)", "A", 3, 0.1).count() == 0
+def test_closest(seven):
+    assert features.data_frame_find_closest(seven, "POINT(5 44)", "A").first().distance == 0
+    far = sorted((angle(4, 43, s[4], s[5]), s[0]) for s in STATIONS)
+    rows = features.data_frame_find_closest(seven, "POINT(4 43)", "A", 3, dist_col_name="d").collect()
+    assert [r.A for r in rows] == [a for _, a in far[:3]]
+    assert [r.d for r in rows] == pytest.approx([d for d, _ in far[:3]], abs=1e-7)
+    limit = (far[1][0] + far[2][0]) / 2
+    assert features.data_frame_find_closest(seven, "POINT(4 43)", "A", 3, limit).count() == 2
+    assert features.data_frame_find_closest(seven, "POINT(4 43)", "A", 3, 0.1).count() == 0
 
 
 @pytest.mark.parametrize("a, b, expected", [
