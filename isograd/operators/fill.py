@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isograd.model import TEMPORAL, ValidationError, null_if_nan
+from isograd.model import ValidationError, null_if_nan
 
 # Names of the two directions.
 FORWARD = ("ffill", "pad")
@@ -37,18 +37,13 @@ def fillna(df: DataFrame, value=None, method: str | None = None, limit: int | No
     return _carry(clean, names, order, list(partition_by), method in BACKWARD, limit)
 
 
-def _order_buckets(df: DataFrame, order: str) -> Column:
-    """Ranges of the order column with about equal row counts; the counts only steer balance."""
-    key = F.col(order)
-    if isinstance(df.schema[order].dataType, TEMPORAL):
-        key = F.unix_micros(key.cast("timestamp"))
-    key = key.cast("double")
+def in_ranges(df: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt to ranges of the order column of about equal size, numbered by ``__bucket``.
+
+    The series key breaks ties, so that a value of the order column that many series share is split.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    edges = df.select(key.alias("k")).approxQuantile("k", shares, 0.01) if shares else []
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < key))
+    return df.repartitionByRange(n, order, *keys).withColumn("__bucket", F.spark_partition_id())
 
 
 def _carry(df: DataFrame, names: list[str], order: str, keys: list[str], backward: bool,
@@ -56,7 +51,7 @@ def _carry(df: DataFrame, names: list[str], order: str, keys: list[str], backwar
     """Fill inside each range of the order column, then carry one value per range across."""
     sort = F.col(order).desc() if backward else F.col(order).asc()
     bucket_sort = F.col("__bucket").desc() if backward else F.col("__bucket").asc()
-    rows = df.withColumn("__bucket", _order_buckets(df, order))
+    rows = in_ranges(df, order, keys)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(sort).rowsBetween(
         Window.unboundedPreceding, 0)
     rows = rows.withColumn("__row", F.row_number().over(

@@ -8,7 +8,7 @@ import pytest
 from isograd.functions import quantile
 from isograd.functions.quantile import quantiles
 from isograd.operators import aggregate, anomaly, arithmetic, axis, regrid, select, stats, subset
-from isograd.operators.fill import fillna
+from isograd.operators.fill import fillna, in_ranges
 
 TIMES = [dt.datetime(2000 + i // 12, i % 12 + 1, 1) for i in range(24)]
 
@@ -128,3 +128,18 @@ def test_a_cut_axis_is_still_the_same_axis(make, monkeypatch):
     axis.axis_info(anew, "lat", "lon")
     out = stats.pearson_correlation(cut, anew, "first", "first")
     assert out.df.count() == keep.sum() * len(lons)
+
+
+def test_ranges_are_even_at_many_partitions(spark):
+    """A thousand ranges of a skewed order column, a tenth of it one value."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(500_000).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN 77.0D ELSE pow(rand(5), 3) * 1000 END AS i", "id AS k")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        ranged = in_ranges(df, "i", ["k"])
+        sizes = [r["count"] for r in ranged.groupBy("__bucket").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) == 1000 and max(sizes) <= 2 * 500
+    assert "Filter(" not in ranged._jdf.queryExecution().optimizedPlan().toString()
