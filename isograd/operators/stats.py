@@ -43,6 +43,7 @@ def pearson_correlation(x: Cube, y: Cube, var_x: str, var_y: str) -> Cube:
 
     Two 3-D variables on the same grid, or a 3-D variable and a time series.
     """
+    own = one_table(x, y, var_x, var_y)
     px, py = (select_var(c, v).part_of(v) for c, v in ((x, var_x), (y, var_y)))
     for part in (px, py):
         if set(part.dims) not in ({"time", "lat", "lon"}, {"time"}):
@@ -58,6 +59,8 @@ def pearson_correlation(x: Cube, y: Cube, var_x: str, var_y: str) -> Cube:
     if steps < 3:
         raise ValidationError("the time dimension should not be shorter than three")
     both = len(px.dims) == len(py.dims) == 3
+    if own is not None:
+        return _map_of(own, steps, var_x, var_y)
     if both:
         _same_grid(x, y, ix, iy)
     tx = with_position(px.df, x, ix["time"], "__t")
@@ -71,6 +74,19 @@ def pearson_correlation(x: Cube, y: Cube, var_x: str, var_y: str) -> Cube:
     else:
         pairs = ty.join(hint_small(tx.select("__t", F.col(var_x).alias("x")), steps), "__t").select(
             "lat", "lon", "x", F.col(var_y).alias("y"))
+    return _map_of(pairs, steps, var_x, var_y)
+
+
+def one_table(x: Cube, y: Cube, var_x: str, var_y: str) -> DataFrame | None:
+    """(dims, x, y) where both variables are columns of one table, else None."""
+    part = x.part_of(var_x)
+    if part is not y.part_of(var_y):
+        return None
+    return part.df.select(*part.dims, F.col(var_x).cast("double").alias("x"),
+                          F.col(var_y).cast("double").alias("y"))
+
+
+def _map_of(pairs: DataFrame, steps: int, var_x: str, var_y: str) -> Cube:
     rows = pairs.groupBy("lat", "lon").agg(_map_moments().alias("corr_coef"))
     out = rows.withColumn("p_value", correlation_p_value("corr_coef", F.lit(steps - 2.0)))
     return Cube((Part(out, ("lat", "lon"), ("corr_coef", "p_value")),)).stamped(
@@ -104,7 +120,11 @@ def _paired(tx: DataFrame, ty: DataFrame, var_x: str, var_y: str, cells: int) ->
 
 
 def pearson_correlation_scalar(x: Cube, y: Cube, var_x: str, var_y: str) -> DataFrame:
-    """One row (corr_coef, p_value) over all cells, which are paired by axis positions."""
+    """One row (corr_coef, p_value) over all cells, which are paired by axis positions.
+
+    Two variables of one table are paired as they stand, without moving a row.
+    """
+    own = one_table(x, y, var_x, var_y)
     px, py = (select_var(c, v).part_of(v) for c, v in ((x, var_x), (y, var_y)))
     if set(px.dims) != set(py.dims):
         raise ValidationError("both variables should have the same dimensions")
@@ -115,7 +135,7 @@ def pearson_correlation_scalar(x: Cube, y: Cube, var_x: str, var_y: str) -> Data
             raise ValidationError(f"dimension {dim} of both variables must have the same length")
     if prod(i.size for i in ix.values()) < 3:
         raise ValidationError("there should be no less than 3 values in both variables")
-    pairs = positional_pairs(x, y, ix, iy, var_x, var_y)
+    pairs = positional_pairs(x, y, ix, iy, var_x, var_y) if own is None else own
     pair = F.col("x").isNotNull() & F.col("y").isNotNull()
     kept = pairs.where(pair)
     n = F.count(F.lit(1))

@@ -13,7 +13,7 @@ from isograd.model import Cube, ValidationError
 from isograd.operators.aggregate import REDUCERS, medians, reducer
 from isograd.operators.axis import axis_info, label_at
 from isograd.operators.select import fix_labels, select_var, sel, slice_for
-from isograd.operators.stats import positional_pairs
+from isograd.operators.stats import one_table, positional_pairs
 
 # Attributes that no longer hold for a series at one point.
 SPATIAL_ATTRS = (
@@ -101,9 +101,19 @@ def scatter_pairs(x: Cube, y: Cube, var_x: str, var_y: str, indexers_x=None,
                   indexers_y=None) -> DataFrame:
     """(dims, x, y) of two variables' cells at equal axis positions.
 
-    After the indexers both variables must have the same dims and the same lengths.
+    After the indexers both variables must have the same dims and the same lengths. Variables of one
+    table that are cut alike are paired as they stand.
     """
     cubes, infos = [], []
+    alike = (literals.dictionary(indexers_x) or {}) == (literals.dictionary(indexers_y) or {})
+    if alike and one_table(x, y, var_x, var_y) is not None:
+        part = x.part_of(var_x)
+        wanted = literals.dictionary(indexers_x) or {}
+        if wanted and not set(wanted) < set(part.dims):
+            raise ValidationError(f'indexers must be a subset of the dimensions of "{var_x}"')
+        only = replace(x, parts=(part.select(variables=list(dict.fromkeys((var_x, var_y)))),))
+        cut = slice_for(only, wanted)
+        return one_table(cut, cut, var_x, var_y)
     for cube, var, indexers in ((x, var_x, indexers_x), (y, var_y, indexers_y)):
         wanted = literals.dictionary(indexers) or {}
         part = cube.part_of(var)
@@ -151,11 +161,20 @@ def histogram_2d(pairs: DataFrame, bins: tuple[int, int] = (256, 256),
         F.count(F.lit(1)).alias("count"))
 
 
-def hexbin(pairs: DataFrame, grid: tuple[int, int] = (64, 64)) -> DataFrame:
-    """(lattice, hx, hy, count): each pair belongs to the nearer centre of two shifted lattices."""
+def hexbin(pairs: DataFrame, grid: tuple[int, int] = (64, 64),
+           span: DataFrame | None = None) -> DataFrame:
+    """(lattice, hx, hy, count): each pair belongs to the nearer centre of two shifted lattices.
+
+    ``span`` (see ``pair_range``) saves a second pairing just to find the range.
+    """
     rows = _complete(pairs)
-    spans = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                              F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
+    if span is None:
+        ends = rows.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                                 F.min("y").alias("y0"), F.max("y").alias("y1")).alias("s"))
+    else:
+        ends = span.select(F.struct(F.col("lo_x").alias("x0"), F.col("hi_x").alias("x1"),
+                                    F.col("lo_y").alias("y0"), F.col("hi_y").alias("y1")).alias("s"))
+    spans = ends.scalar()
     s = rows.withColumn("s", spans)
     pad = (F.col("s.x1") - F.col("s.x0")) * HEX_PADDING
     x0, x1 = F.col("s.x0") - pad, F.col("s.x1") + pad

@@ -50,13 +50,14 @@ def correlation_map(spark, sf_dir):
 @case("c2_correlation_map_series", f"""WITH s AS (SELECT time, sum(qty) AS y FROM cube_coarse
   GROUP BY 1),
 axis AS (SELECT lat, lon, time FROM (SELECT DISTINCT lat, lon FROM cube_coarse), s),
-pairs AS (SELECT lat, lon, price AS x, y FROM cube_coarse JOIN s USING (time)), {R_SQL}
-SELECT lat, lon, round(corr_coef, 9) AS corr_coef FROM r""", COARSE)
+pairs AS (SELECT lat, lon, price AS x, y FROM cube_coarse JOIN s USING (time)), {R_SQL}, {P_SQL}
+SELECT lat, lon, round(corr_coef, 9) AS corr_coef, round(p_value, 8) AS p_value
+FROM r LEFT JOIN p USING (lat, lon)""", COARSE)
 def map_against_series(spark, sf_dir):
     cube = cube_coarse(spark, sf_dir)
     line = aggregate.reduce(cube, "qty", "lat, lon", "sum")
     out = stats.pearson_correlation(cube, line, "price", "qty").df
-    return rounded(out.drop("p_value"), 9, "corr_coef")
+    return rounded(rounded(out, 9, "corr_coef"), 8, "p_value")
 
 
 @case("w1_regional_correlation", f"""WITH fine AS (SELECT time,
@@ -65,12 +66,13 @@ def map_against_series(spark, sf_dir):
   FROM cube_fine WHERE lat BETWEEN -60 AND 60 AND lon BETWEEN -90 AND 90 GROUP BY 1, 2, 3),
 coarse AS (SELECT time, lat, lon, price AS x FROM cube_coarse
   WHERE lat BETWEEN -60 AND 60 AND lon BETWEEN -90 AND 90),
-pairs AS (SELECT lat, lon, x, y FROM coarse FULL JOIN fine USING (time, lat, lon)), {R_SQL}
-SELECT lat, lon, round(corr_coef, 9) AS corr_coef FROM r""", ("cube_coarse", "cube_fine"))
+pairs AS (SELECT lat, lon, x, y FROM coarse FULL JOIN fine USING (time, lat, lon)), {R_SQL}, {P_SQL}
+SELECT lat, lon, round(corr_coef, 9) AS corr_coef, round(p_value, 8) AS p_value
+FROM r LEFT JOIN p USING (lat, lon)""", ("cube_coarse", "cube_fine"))
 def correlation_in_region(spark, sf_dir):
     out = regional_correlation(cube_coarse(spark, sf_dir), cube_fine(spark, sf_dir), "price",
                                "qty", "-75, -45, 75, 45").df
-    return rounded(out.drop("p_value"), 9, "corr_coef")
+    return rounded(rounded(out, 9, "corr_coef"), 8, "p_value")
 
 
 _BOUNDS = """b AS (SELECT quantile_cont(price, 0.05) AS pl, quantile_cont(price, 0.95) AS ph,

@@ -173,3 +173,16 @@ def test_fillna_constant(spark):
                 {"method": "ffill"}):
         with pytest.raises(ValidationError):
             fill.fillna(df, **bad)
+
+
+def test_variables_of_one_table_are_paired_without_an_exchange(make):
+    from isograd.operators import tables
+
+    rng = np.random.default_rng(4)
+    cube = make([-10, 10], [0, 20, 40], [1, 2, 3], first=rng.random((3, 2, 3)),
+                second=rng.random((3, 2, 3)))
+    for pairs in (stats.one_table(cube, cube, "first", "second"),
+                  tables.scatter_pairs(cube, cube, "first", "second")):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and pairs.count() == 18
+    assert stats.one_table(cube, make([0], [0], [1], first=1.0), "first", "first") is None
