@@ -33,36 +33,52 @@ PART = 16
 ACCEPT = 0.3
 MEMORY = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_=/\\"
-_SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,3}\w(?!\w)){2,}")
+_PAIRS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
+def _norm(length: int) -> float:
+    """Root of the squared weights of all subsequences of a marked word of a length."""
+    return sum(DECAY ** (2 * (k - 2)) * max(0, length - k) for _, k in _PAIRS) ** 0.5 or 1.0
+
+
 def phi(word: str) -> dict[str, float]:
-    """Weights of the subsequences of a word, its ends marked; length 1."""
+    """Weights of the subsequences of a word, its ends marked, by the norm of its length."""
     s = f"^{word}$"
     out: dict[str, float] = {}
-    for i in range(len(s) - 2):
-        last = min(len(s), i + SPAN)
-        a = s[i]
-        for j in range(i + 1, last - 1):
-            ab = a + s[j]
-            for k in range(j + 1, last):
-                u = ab + s[k]
-                out[u] = out.get(u, 0.0) + DECAY ** (k - i - 2)
-    norm = sum(v * v for v in out.values()) ** 0.5
-    return {u: v / norm for u, v in out.items()} if norm else out
+    for j, k in _PAIRS:
+        for i in range(len(s) - k):
+            u = s[i] + s[i + j] + s[i + k]
+            out[u] = out.get(u, 0.0) + DECAY ** (k - 2)
+    norm = _norm(len(s))
+    return {u: v / norm for u, v in out.items()}
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case, and runs of single letters with marks or blanks between, joined."""
-    low = text.lower()
-    return low.split() + [re.sub(r"\W+", "", m) for m in _SPELLED.findall(low)]
+    """Words in lower case, and runs of three or more single letters, joined."""
+    tokens = text.lower().split()
+    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    if len(single) > 2:
+        run = [single[0]]
+        for i in [*single[1:], -1]:
+            if i == run[-1] + 1:
+                run.append(i)
+                continue
+            if len(run) > 2:
+                tokens.append("".join(tokens[k] for k in run))
+            run = [i]
+    return tokens
 
 
 def parts(token: str) -> list[str]:
+    """What is scored of a token: its core, its letters alone, overlapping pieces of long ones."""
     core = token.strip(_EDGE)
+    if not core:
+        return []
     if len(core) <= PART + PART // 2:
-        return [core] if core else []
+        if not core.isalnum() and len(letters := re.sub(r"[\W_]+", "", core)) > 2:
+            return [core, letters]
+        return [core]
     return [core[i:i + PART] for i in range(0, len(core) - PART // 2, PART // 2)]
 
 
@@ -74,29 +90,63 @@ class Model:
     fixed: float | None = None
 
 
-class Machine(dict):
-    """Decision value per token, remembered."""
+class Machine:
+    """Decision value per token; those of common tokens are remembered."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, token: str) -> float:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = max(map(self._value, parts(token)), default=self.model.bias)
-        if len(token) < 64:
-            self[token] = value
-        return value
-
-    def _value(self, word: str) -> float:
-        weights = self.model.weights
-        return self.model.bias + sum(v * weights.get(u, 0.0) for u, v in phi(word).items())
-
-    def decide(self, text: str | None) -> float:
-        """The largest decision of any sentence, which is that of its most telling word."""
-        tokens = words_of(text or "")
-        return max(map(self.__getitem__, tokens)) if tokens else self.model.bias
+        self.bias = model.bias
+        self.known: dict[str, float] = {}
+        letters = sorted({c for u in model.weights for c in u})
+        self.base = len(letters) + 1
+        self.code = np.zeros(0x3000, np.int64)
+        for number, c in enumerate(letters, 1):
+            if ord(c) < len(self.code):
+                self.code[ord(c)] = number
+        self.table = np.zeros(self.base ** 3, np.float32)
+        for u, v in model.weights.items():
+            a, b, c = (self.code[min(ord(x), len(self.code) - 1)] for x in u)
+            self.table[(a * self.base + b) * self.base + c] = v
+        self.norms = np.array([_norm(n) for n in range(2 * PART + 4)])
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """Decisions of words of at most PART * 3 / 2 letters."""
+        if not words:
+            return np.zeros(0)
+        flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "replace"),
+                             np.uint32)
+        code = self.code[np.minimum(flat, len(self.code) - 1)]
+        lengths = np.array([len(w) + 2 for w in words])
+        ends = np.cumsum(lengths)
+        end = np.repeat(ends, lengths)
+        at = np.arange(len(flat))
+        total = np.zeros(len(flat), np.float32)
+        for j, k in _PAIRS:
+            n = len(flat) - k
+            if n <= 0:
+                continue
+            u = (code[:n] * self.base + code[j:j + n]) * self.base + code[k:]
+            total[:n] += self.table[u] * np.float32(DECAY ** (k - 2)) * (at[:n] + k < end[:n])
+        return self.bias + np.add.reduceat(total, ends - lengths) / self.norms[lengths]
+
+    def learn(self, tokens: set[str]) -> None:
+        """Make sure that all the tokens are known."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        new = [t for t in tokens if t not in self.known]
+        pieces = [parts(t) for t in new]
+        values = iter(self.values([p for ps in pieces for p in ps]).tolist())
+        for token, ps in zip(new, pieces):
+            self.known[token] = max((next(values) for _ in ps), default=self.bias)
+
+    def decide(self, texts: list[str | None]) -> list[float]:
+        """For each text the largest decision of its sentences, that of the most telling word."""
+        out: list[float] = []
+        for low in range(0, len(texts), 256):
+            split = [words_of(t or "") for t in texts[low:low + 256]]
+            self.learn(set().union(*split))
+            look = self.known.__getitem__
+            out += [max(map(look, tokens)) if tokens else self.bias for tokens in split]
+        return out
 
 
 def _witnesses(texts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
@@ -184,17 +234,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train) -> Model:
     start = list(dict.fromkeys(negative[:NEGATIVES // 2] + _evenly(negative, NEGATIVES // 2)))
     weights, bias = _machine(positive, start)
     machine = Machine(Model(weights, bias, (0.0, 0.0)))
-    hard = sorted(negative, key=lambda w: (-machine[w], w))[:NEGATIVES // 2]
+    taken = dict(zip(negative, machine.values(negative).tolist()))
+    hard = sorted(negative, key=lambda w: (-taken[w], w))[:NEGATIVES // 2]
     weights, bias = _machine(positive, list(dict.fromkeys(hard + start)))
     machine = Machine(Model(weights, bias, (0.0, 0.0)))
-    x = np.array([[np.clip(machine.decide(t), -3, 3)] for t, _ in sample])
+    x = np.clip(np.array(machine.decide([t for t, _ in sample])), -3, 3).reshape(-1, 1)
     slope = logistic(x, np.array([y for _, y in sample]), prior)
     return Model(weights, bias, (float(slope[0]), float(slope[1])))
 
 
 def sentence_scores(text: str | None, machine: Machine) -> list[tuple[str, float]]:
     """The sentences of a text and the decision of each."""
-    return [(s.strip(), machine.decide(s)) for s in _SENTENCE.split(text or "") if s.strip()]
+    found = [s.strip() for s in _SENTENCE.split(text or "") if s.strip()]
+    return list(zip(found, machine.decide(found)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4,
@@ -219,7 +271,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4,
         machine = Machine(model)
         for batch in batches:
             if model.fixed is None:
-                x = np.array([machine.decide(t.as_py()) for t in batch.column(1)], float)
+                x = np.array(machine.decide(batch.column(1).to_pylist()), float)
                 z = model.slope[0] * np.clip(x, -3, 3) + model.slope[1]
                 values = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             else:
