@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built, from pieces of good and of bad labelled texts. A text is
 compressed piece by piece with either; the difference of the sizes by the text's length, next to the
-smaller size, goes through a logistic calibration fitted on labelled texts that built no dictionary.
+size by the bad one, goes through a logistic calibration fitted on labelled texts that built no dictionary.
 """
 
 from __future__ import annotations
@@ -61,14 +61,10 @@ class Sizer:
             level=1, dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (good, bad)]
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """(bad size - good size) / length, smaller size / length."""
+        """(bad size - good size) / length, bad size / length: both larger for better texts."""
         data = (text or "").encode()
         sizes = [sum(len(by.compress(p)) for p in _pieces(data)) for by in self.by]
-        return (sizes[1] - sizes[0]) / max(1, len(data)), min(sizes) / max(1, len(data))
-
-
-def _expand(x: np.ndarray) -> np.ndarray:
-    return np.c_[x, x[:, 0] * x[:, 1], x[:, 1] ** 2]
+        return (sizes[1] - sizes[0]) / max(1, len(data)), sizes[1] / max(1, len(data))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, train) -> Model:
@@ -81,7 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train) -> Model:
         return Model(b"", b"", (), 0.5 if prior is None else prior)
     good, bad = map(_dictionary, sides)
     sizer = Sizer(good, bad)
-    x = _expand(np.array([sizer.features(t) for t, _ in check]))
+    x = np.array([sizer.features(t) for t, _ in check])
     scale = x.std(axis=0) + 1e-9
     weights = logistic(x / scale, np.array([y for _, y in check]), prior)
     return Model(good, bad, (*(weights[:-1] / scale), weights[-1]))
@@ -91,7 +87,7 @@ def score_texts(texts, model: Model, sizer: Sizer | None) -> np.ndarray:
     if model.fixed is not None:
         return np.full(len(texts), model.fixed)
     x = np.array([sizer.features(t) for t in texts]).reshape(-1, 2)
-    z = np.c_[_expand(x), np.ones(len(x))] @ np.array(model.weights)
+    z = np.c_[x, np.ones(len(x))] @ np.array(model.weights)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
