@@ -1,4 +1,4 @@
-"""Operators on feature tables: rows with point geometry in ``lon`` and ``lat`` columns."""
+"""Operators on feature tables: points in ``lon`` and ``lat`` columns, other shapes in ``geometry``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isograd import literals
-from isograd.functions.geo import PREDICATES, great_circle_distance, point_predicate
+from isograd.functions.geo import (
+    PREDICATES,
+    great_circle_distance,
+    point_predicate,
+    shape_predicate,
+)
 from isograd.functions.quantile import GROUP_ROWS, quantiles
 from isograd.model import ValidationError, null_if_nan
 
@@ -27,13 +32,38 @@ def data_frame_max(df: DataFrame, var: str, order: str) -> DataFrame:
     return df.where(F.col(var).isNotNull()).orderBy(F.col(var).desc(), F.col(order).asc()).limit(1)
 
 
+def feature_predicate(df: DataFrame, name: str, region) -> Column:
+    """A geometric test of the features of a table: points, and other shapes in ``geometry``."""
+    has_points = {"lon", "lat"} <= set(df.columns)
+    point = point_predicate(name, F.col("lon"), F.col("lat"), region) if has_points else None
+    if "geometry" not in df.columns:
+        return point
+    shape = F.col("geometry")
+    other = shape["type"].isNotNull() & (shape["type"] != "Point")
+    spot = shape["coords"][0][0]
+    own = point_predicate(name, spot["x"], spot["y"], region) if point is None else point
+    return F.when(other, shape_predicate(name, shape, region)).otherwise(own)
+
+
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """Longitude and latitude of each feature: the point, or the middle of the shape's bounds."""
+    found = []
+    for name, axis in (("lon", "x"), ("lat", "y")):
+        own = [F.col(name)] if name in df.columns else []
+        if "geometry" in df.columns:
+            values = F.flatten(F.col("geometry.coords"))[axis]
+            own.append((F.array_min(values) + F.array_max(values)) / 2)
+        found.append(F.coalesce(*own))
+    return found[0], found[1]
+
+
 def data_frame_query(df: DataFrame, query_expr: str) -> DataFrame:
     """Rows that satisfy a condition, which may contain tests such as ``@within('0,0,10,10')``."""
     tests: dict[str, Column] = {}
 
     def test_column(found: re.Match) -> str:
         name = f"__geo_{len(tests)}"
-        tests[name] = point_predicate(found[1], F.col("lon"), F.col("lat"), found[3])
+        tests[name] = feature_predicate(df, found[1], found[3])
         return name
 
     text = re.sub(rf"@({'|'.join(PREDICATES)})\(\s*(['\"])(.*?)\2\s*\)", test_column, query_expr)
@@ -49,7 +79,7 @@ def data_frame_subset(df: DataFrame, region_op: str = "intersects", region=None,
     shape = literals.polygon(region)
     out = df
     if shape is not None and region_op:
-        out = out.where(point_predicate(region_op, F.col("lon"), F.col("lat"), shape))
+        out = out.where(feature_predicate(df, region_op, shape))
     if chosen:
         out = out.select(*[g for g in GEOMETRY if g in df.columns and g not in chosen], *chosen)
     return out
@@ -64,12 +94,15 @@ def representative_point(shape: literals.Shape) -> tuple[float, float]:
 def data_frame_find_closest(df: DataFrame, location, order: str, max_results: int = 1,
                             max_dist: float = 180.0,
                             dist_col_name: str | None = "distance") -> DataFrame:
-    """The nearest features by great-circle degrees; ties go by ``order``."""
+    """The nearest features by great-circle degrees; ties go by ``order``.
+
+    A feature that is no point stands at the middle of its bounds.
+    """
     shape = literals.geometry(location)
     if shape is None:
         raise ValidationError("a location is required")
     lon, lat = representative_point(shape)
-    distance = great_circle_distance(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat"))
+    distance = great_circle_distance(F.lit(lon), F.lit(lat), *_place(df))
     name = dist_col_name or "__distance"
     near = df.withColumn(name, distance).where(F.col(name) <= max_dist).orderBy(
         F.col(name).asc(), F.col(order).asc()).limit(max_results)

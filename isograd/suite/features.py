@@ -162,3 +162,56 @@ SELECT id, CAST(0 AS BIGINT) AS run, i AS vertex,
 FROM n WHERE xa IS NOT NULL AND xc IS NOT NULL""", POINTS)
 def areas(spark, sf_dir):
     return rounded(geometry.triangle_areas(shapes(spark, sf_dir), "geometry", ["id"]), 8, "area")
+
+
+# a region of five corners that is not convex, its corners and edges
+_REGION = [(-71.3, -33.7), (64.9, -51.2), (88.4, 36.6), (6.1, 2.3), (-47.7, 58.8)]
+_CORNERS = ", ".join(f"({x}::DOUBLE, {y}::DOUBLE)" for x, y in _REGION)
+_BORDER = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for (a, b), (c, d) in zip(
+    _REGION, _REGION[1:] + _REGION[:1]))
+_MEETS = f"""{_SHAPES},
+border(a, b, c, d) AS (VALUES {_BORDER}),
+edges AS (SELECT * FROM (SELECT id, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM verts
+  WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE x1 IS NOT NULL),
+inside AS (SELECT id, i, count(*) FILTER ((b > y) <> (d > y) AND x < (c - a) * (y - b) / (d - b) + a)
+    % 2 = 1 AS hit FROM verts, border GROUP BY id, i),
+crossed AS (SELECT id, bool_or(
+    ((x1 - x) * (b - y) - (y1 - y) * (a - x)) * ((x1 - x) * (d - y) - (y1 - y) * (c - x)) < 0 AND
+    ((c - a) * (y - b) - (d - b) * (x - a)) * ((c - a) * (y1 - b) - (d - b) * (x1 - a)) < 0) AS hit
+  FROM edges, border GROUP BY id),
+around AS (SELECT id, count(*) FILTER ((y > {_REGION[0][1]}) <> (y1 > {_REGION[0][1]})
+    AND {_REGION[0][0]} < (x1 - x) * ({_REGION[0][1]} - y) / (y1 - y) + x) % 2 = 1 AS hit
+  FROM edges GROUP BY id),
+met AS (SELECT p.id, p.id % 3 = 0 AS area, bool_or(p.hit) OR any_value(c.hit)
+    OR (p.id % 3 = 0 AND any_value(a.hit)) AS meets, bool_and(p.hit) AND NOT any_value(c.hit) AS whole
+  FROM inside p JOIN crossed c USING (id) JOIN around a USING (id) GROUP BY p.id)"""
+
+
+def _tested(spark, sf_dir, kind: str) -> DataFrame:
+    region = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*_REGION, _REGION[0]]) + "))"
+    rows = shapes(spark, sf_dir).where(F.col("geometry.type") == kind)
+    return rows.select("id", *(features.feature_predicate(rows, name, region).alias(name)
+                               for name in ("intersects", "disjoint", "within")))
+
+
+@case("p11_predicates_polygon_features", f"""WITH {_MEETS} SELECT id, meets AS intersects,
+  NOT meets AS disjoint, whole AS within FROM met WHERE area""", POINTS)
+def polygon_features(spark, sf_dir):
+    return _tested(spark, sf_dir, "Polygon")
+
+
+@case("p11_predicates_line_features", f"""WITH {_MEETS} SELECT id, meets AS intersects,
+  NOT meets AS disjoint, whole AS within FROM met WHERE NOT area""", POINTS)
+def line_features(spark, sf_dir):
+    return _tested(spark, sf_dir, "LineString")
+
+
+@case("k2_find_closest_polygons", f"""WITH {_SHAPES},
+b AS (SELECT id, (min(x) + max(x)) / 2 AS lon, (min(y) + max(y)) / 2 AS lat FROM verts
+  WHERE id % 3 = 0 GROUP BY id)
+SELECT id, round(distance, 9) AS distance FROM (
+  SELECT id, {_distance(21, 28)} AS distance FROM b) ORDER BY distance, id LIMIT 25""", POINTS)
+def closest_polygons(spark, sf_dir):
+    rows = shapes(spark, sf_dir).where(F.col("geometry.type") == "Polygon")
+    out = features.data_frame_find_closest(rows, "POINT (21 28)", "id", 25)
+    return rounded(out.select("id", "distance"), 9, "distance")
