@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from math import prod
 from pathlib import PurePath
@@ -14,6 +15,7 @@ from isograd import literals
 from isograd.model import NUMERIC, Cube, ValidationError
 from isograd.operators.axis import axis_info, with_position
 from isograd.operators.geometry import display_geometry, point_geometry
+from isograd.session import checkpoint
 
 # Column names that make point features, and index names read as times.
 LON_COLUMNS = ("lon", "long", "longitude")
@@ -45,9 +47,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = ",",
     if schema is not None:
         reader = reader.schema(schema)
     if delim_whitespace:
-        lines = spark.read.text(path).select(
-            F.regexp_replace(F.trim("value"), r"\s+", " ").alias("value")).where("value <> ''")
-        table = reader.option("sep", " ").csv(lines.rdd.map(lambda row: row[0]))
+        table = _blank_separated(spark, path, options, schema)
     else:
         table = reader.option("sep", delimiter or ",").csv(path)
     if index_col in TIME_INDEXES and index_col in table.columns:
@@ -58,6 +58,59 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = ",",
     return with_points(table) if parse_points else table
 
 
+#: What stands between the values of a line while it is read: no text has it.
+_SEPARATOR = "\x1f"
+
+
+def _blank_separated(spark: SparkSession, path: str, options: dict, schema: str | None) -> DataFrame:
+    """Lines whose values are parted by blanks; blanks inside quotes belong to the value.
+
+    The first line has the names; lines equal to it, as at the start of further files, are no data.
+    """
+    quote = options.get("quote", '"')
+    mark = r"\\" + quote if quote in r"\.[]{}()*+-?^$|" else quote
+    other = f"[^{mark}]*"
+    blanks = rf"\s+(?=(?:{other}{mark}{other}{mark})*{other}$)"
+
+    def kept(file: str) -> DataFrame:
+        found = spark.read.text(file).select(F.trim("value").alias("value")).where("value <> ''")
+        if "comment" in options:
+            found = found.where(~F.col("value").startswith(options["comment"]))
+        return found
+
+    lines = kept(path)
+    # scans take large files first, so the names are looked for in the first file by name
+    heads = (kept(file).first() for file in sorted(lines.inputFiles()))
+    first = next((head for head in heads if head is not None), None)
+    if first is None:
+        return spark.createDataFrame([], schema or "value string")
+    rows = lines.where(F.col("value") != first.value).select(
+        F.regexp_replace("value", blanks, _SEPARATOR).alias("value"))
+    plain = {k: v for k, v in options.items() if k not in ("header", "inferSchema", "comment")}
+    plain |= {"sep": _SEPARATOR, "quote": quote}
+    names = [n.strip(quote) for n in re.split(blanks, first.value)]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def parsed(kind: T.StructType) -> DataFrame:
+        return rows.select(F.from_csv("value", _ddl(kind), plain).alias("r")).select("r.*")
+
+    if schema is not None:
+        return parsed(T.StructType.fromDDL(schema))
+    found = parsed(text)
+    if options.get("inferSchema") != "true":
+        return found
+    # the narrowest of these types that all values of a column have
+    kinds = ("bigint", "double", "boolean", "timestamp")
+    fits = found.agg(*(F.every(F.col(f"`{n}`").isNull() | F.expr(f"try_cast(`{n}` AS {k})").isNotNull())
+                       .alias(f"{i}_{k}") for i, n in enumerate(names) for k in kinds)).first()
+    chosen = [next((k for k in kinds if fits[f"{i}_{k}"]), "string") for i in range(len(names))]
+    return found.select(*(F.col(f"`{n}`").cast(k).alias(n) for n, k in zip(names, chosen)))
+
+
+def _ddl(kind: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields)
+
+
 def with_points(table: DataFrame) -> DataFrame:
     """Add a point geometry when numeric longitude and latitude columns are present."""
     def find(names) -> str | None:
@@ -70,11 +123,25 @@ def with_points(table: DataFrame) -> DataFrame:
     return table.withColumn("geometry", point_geometry(F.col(lon), F.col(lat)))
 
 
-def numbered(df: DataFrame, name: str, first: int = 0) -> DataFrame:
-    """Number the rows in their present order, without moving them to one task."""
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(
-        df.rdd.zipWithIndex().map(lambda pair: (pair[1] + first, *pair[0])), schema)
+def numbered(df: DataFrame, name: str, first: int = 0, order=None) -> DataFrame:
+    """Number the rows along ``order`` (columns), or as they stand, without one task for all.
+
+    Rows are sorted once and kept, so that counting them by partition and numbering them see the same
+    partitions; what reaches the driver is a count per partition.
+    """
+    kept = checkpoint(df.orderBy(*order) if order else df)
+    placed = kept.withColumn("__at", F.monotonically_increasing_id())
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], first
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(p, 0)
+    if not starts:
+        return df.select(F.lit(first).cast("bigint").alias(name), "*").limit(0)
+    begin = F.get(F.array(*(F.lit(s).cast("bigint") for s in starts)), part.cast("int"))
+    return placed.select((begin + row).alias(name), *df.columns)
 
 
 def cube_rows(cube: Cube, columns=None) -> DataFrame:
@@ -102,8 +169,12 @@ def cube_rows(cube: Cube, columns=None) -> DataFrame:
 
 def write_csv(obj: DataFrame | Cube, path: str, columns=None, na_rep: str = "",
               delimiter: str = ",", quotechar: str | None = None,
-              more_args: Mapping | str | None = None, mode: str = "errorifexists") -> None:
-    """Write a table or a cube with an ``index`` column; part files follow the index."""
+              more_args: Mapping | str | None = None, mode: str = "errorifexists",
+              order=None) -> None:
+    """Write a table or a cube with an ``index`` column; part files follow the index.
+
+    The rows of a table are numbered along the columns ``order``, which make the index stable.
+    """
     if obj is None:
         raise ValidationError("nothing to write")
     options = {"header": "true", "sep": delimiter, "nullValue": na_rep, "emptyValue": "",
@@ -114,7 +185,7 @@ def write_csv(obj: DataFrame | Cube, path: str, columns=None, na_rep: str = "",
         rows = cube_rows(obj, columns).orderBy("index")
     else:
         names = literals.names(columns) or [c for c in obj.columns if c != "geometry"]
-        rows = numbered(obj.select(*names), "index")
+        rows = numbered(obj.select(*names), "index", order=literals.names(order) if order else None)
     rows.write.mode(mode).options(**options).csv(path)
 
 
@@ -280,17 +351,18 @@ def write_geo_data_frame(df: DataFrame, path: str, mode: str = "errorifexists")
 def feature_collection(df: DataFrame, res_id: int | None = None, num_features: int | None = None,
                        max_num_display_geometries: int = -1,
                        max_num_display_geometry_points: int = -1,
-                       conservation_ratio: float = 1.0, id_column: str | None = None) -> DataFrame:
+                       conservation_ratio: float = 1.0, id_column: str | None = None,
+                       order=None) -> DataFrame:
     """Features for display with ``_idx``, ``id``, ``_resId`` and ``_simp``.
 
     A table with more features than may be shown, or a geometry with more vertices, is shown as
-    mean points, which ``_simp`` = 1 marks.
+    mean points, which ``_simp`` = 1 marks. ``_idx`` follows the columns ``order``.
     """
     if max_num_display_geometries >= 0:
         total = df.count() if num_features is None else num_features
         if total > max_num_display_geometries:
             conservation_ratio = 0.0
-    rows = numbered(_ensure_geometry(df), "__idx")
+    rows = numbered(_ensure_geometry(df), "__idx", order=literals.names(order) if order else None)
     shape, simple = display_geometry(F.col("geometry"), max_num_display_geometry_points,
                                      conservation_ratio)
     rows = rows.withColumns({"__simp": F.when(simple == 1, F.lit(1)), "geometry": shape})

@@ -81,18 +81,30 @@ def csv_points(spark, sf_dir):
     return rows.select("id", "value", "kind", spot["x"].alias("x"), spot["y"].alias("y"))
 
 
+@case("s8_read_csv_whitespace", """SELECT id, value, kind || '  of   ' || id AS label FROM points""",
+      POINTS)
+def blank_separated(spark, sf_dir):
+    path = scratch(spark, "blanks") + ".txt"
+    label = F.concat(F.lit('"'), "kind", F.lit("  of   "), "id", F.lit('"'))
+    lines = points(spark, sf_dir).select(F.concat_ws("   ", "id", "value", label).alias("value"))
+    head = spark.range(1).select(F.lit(" id  value   label ").alias("value"))
+    head.unionByName(lines).write.text(path)
+    return tables.read_csv(spark, path, delim_whitespace=True, parse_points=False,
+                           schema="id bigint, value double, label string")
+
+
 @case("s9_write_csv_cube", """WITH t AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS p
   FROM (SELECT DISTINCT time FROM cube_coarse))
 SELECT p * 72 + CAST(round((lat + 75) / 30) AS BIGINT) * 12
-    + CAST(round((lon + 165) / 30) AS BIGINT) AS index, lat, lon, price
+    + CAST(round((lon + 165) / 30) AS BIGINT) AS index, time, lat, lon, price
 FROM cube_coarse JOIN t USING (time)""", COARSE)
 def csv_cube(spark, sf_dir):
     path = scratch(spark, "cube") + ".csv"
     tables.write_csv(cube_coarse(spark, sf_dir), path, "price", na_rep="nan", delimiter=";")
     back = tables.read_csv(spark, path, delimiter=";", parse_points=False,
-                           schema="index bigint, time string, lat double, lon double, "
+                           schema="index bigint, time timestamp_ntz, lat double, lon double, "
                                   "price double")
-    return back.drop("time")
+    return back
 
 
 @case("s10_json", "SELECT kind, value FROM series", ("series",))
@@ -184,8 +196,7 @@ def preview(spark, sf_dir):
 @case("s19_feature_collection", """SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx,
   CAST(4 AS BIGINT) AS res, lon, lat, kind FROM points""", POINTS)
 def collection(spark, sf_dir):
-    lines = tables.feature_collection(points(spark, sf_dir).orderBy("id"), res_id=4,
-                                      id_column="id")
+    lines = tables.feature_collection(points(spark, sf_dir), res_id=4, id_column="id", order="id")
     return lines.select(F.from_json("value", """id bigint, _idx bigint, _resId bigint,
         geometry struct<coordinates:array<double>>, properties struct<kind:string>""")
                         .alias("f")).select(
