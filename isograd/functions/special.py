@@ -33,14 +33,25 @@ def _fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
             c = guard(1.0 + step / c)
             change = c * d
             value = value * change
-        if np.all(np.abs(change - 1.0) < 1e-15):
-            break
+        if np.all((np.abs(change - 1.0) < 1e-15) | np.isnan(change)):
+            return value
+    if np.any(np.abs(change - 1.0) > 1e-10):
+        raise ArithmeticError("the continued fraction doesn't converge")
     return value
 
 
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """ln(gamma(a + b) / gamma(a)); a series where the difference of two large values loses digits."""
+    if a < 1e5:
+        return math.lgamma(a + b) - math.lgamma(a)
+    # Stirling's series of both, with the large terms taken together
+    return (b * math.log(a) + (a + b - 0.5) * math.log1p(b / a) - b
+            + (1 / (a + b) - 1 / a) / 12 - (1 / (a + b) ** 3 - 1 / a ** 3) / 360)
+
+
 def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     """I_x(a, b) element by element; NaN stays NaN."""
-    lead = np.array([math.lgamma(v + b) - math.lgamma(v) - math.lgamma(b) for v in a])
+    lead = np.array([_log_gamma_ratio(v, b) - math.lgamma(b) for v in a])
     with np.errstate(all="ignore"):
         inner = np.clip(x, TINY, 1 - 1e-16)
         front = np.exp(lead + a * np.log(inner) + b * np.log1p(-inner))

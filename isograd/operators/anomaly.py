@@ -75,7 +75,8 @@ def anomaly_internal(cube: Cube, time_range=None, region=None) -> Cube:
 
     def apply(part: Part) -> Part:
         base = ref.part_of(part.variables[0]).df
-        return part.select({v: F.col(v) - base.agg(F.avg(v)).scalar() for v in part.variables})
+        means = base.agg(F.struct(*(F.avg(v).alias(v) for v in part.variables))).scalar()
+        return part.select({v: F.col(v) - means[v] for v in part.variables})
 
     return cube.map(apply, keep=cube.dims).stamped("anomaly_internal", time_range=time_range,
                                                    region=region)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from isograd.model import NUMERIC, TEMPORAL, Cube, ValidationError, literal
 
-#: Largest counted number of rows of a table that is sent to every executor.
+#: Largest counted number of rows, of up to 16 columns, of a table that is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
 #: Longest axis whose labels are kept on the driver, where they become literals of later plans.
@@ -31,7 +31,7 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose row count is known to be small; leave it to the planner otherwise."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * max(1, len(df.columns) / 16) <= BROADCAST_ROWS else df
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isograd.model import ValidationError
+
 GEOMETRY_TYPE = "struct<type:string,coords:array<array<struct<x:double,y:double>>>>"
 
 
@@ -39,7 +41,12 @@ def pointify(geometry: Column) -> Column:
 
 def display_geometry(geometry: Column, max_points: int = -1,
                      conservation_ratio: float = 1.0) -> tuple[Column, Column]:
-    """(geometry, simplified): too many vertices, or a ratio of 0, turn it into its mean point."""
+    """(geometry, simplified): too many vertices, or a ratio of 0, turn it into its mean point.
+
+    Ratios between 0 and 1 would need a line simplification, which is not built.
+    """
+    if 0 < conservation_ratio < 1:
+        raise ValidationError("a conservation ratio between 0 and 1 is not built: take 0 or 1")
     if conservation_ratio == 0:
         many = F.lit(True)
     else:

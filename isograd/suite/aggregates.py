@@ -20,10 +20,14 @@ def mean_over_time(spark, sf_dir):
     return aggregate.reduce(cube_coarse(spark, sf_dir), dim="time, nothing").df
 
 
-@case("a1_reduce_sum_max_all", "SELECT sum(price) AS price, sum(qty) AS qty FROM cube_coarse",
-      COARSE)
+@case("a1_reduce_sum_max_all", """SELECT 'sum' AS method, sum(price) AS price, sum(qty) AS qty
+FROM cube_coarse UNION ALL SELECT 'max', max(price), max(qty) FROM cube_coarse
+UNION ALL SELECT 'min', min(price), min(qty) FROM cube_coarse""", COARSE)
 def total(spark, sf_dir):
-    return aggregate.reduce(cube_coarse(spark, sf_dir), method="sum").df
+    cube = cube_coarse(spark, sf_dir)
+    rows = [aggregate.reduce(cube, method=m).df.select(F.lit(m).alias("method"), "price", "qty")
+            for m in ("sum", "max", "min")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @case("a1_reduce_min_max", """SELECT time, min(price) AS price, max(qty) AS qty FROM cube_coarse

@@ -12,6 +12,10 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
+#: Queries whose condition few rows of the smallest tables meet.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def tables():
     return connect(FOLDER)
@@ -27,4 +31,4 @@ def test_contract(spark):
 def test_query(spark, tables, name):
     df = entry.queries()[name](spark, FOLDER)
     problems = compare(df, tables, entry.oracle_sql()[name]) if name in entry.oracle_sql() else []
-    assert problems in ([], ["no rows"])
+    assert problems == [] or problems == ["no rows"] and name in MAY_BE_EMPTY
