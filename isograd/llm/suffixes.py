@@ -34,6 +34,8 @@ from isograd.llm.hashing import mix, running, spans
 GRAM = 20
 #: Anchors or bytes that a task gathers before it sends them off.
 GATHER, GATHER_BYTES = 1_500_000, 24 << 20
+#: Bytes of text that are worth a bucket of their own.
+SMALLEST = 256 << 10
 OCCURRENCES, RANGES, REQUESTS, DOCUMENTS, CONTEXTS = range(5)
 _PACKET = "bucket int, kind int, data binary"
 
@@ -438,7 +440,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, characters: bool = True) ->
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(128 << 20, (4 << 20) * max(1.0, total / 5e8) ** 0.5)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(max(total // size + 1, 4 * partitions))
+    # a packet goes from each bucket to each: more buckets than the text fills would only add packets
+    buckets = int(max(total // size + 1, min(4 * partitions, total // SMALLEST + 1)))
     met = written(_find_occurrences(known, width, buckets).groupBy("bucket")
                   .applyInArrow(_meet(width, buckets), _PACKET), "met")
     ranges, requests = met.where(F.col("kind") == RANGES), met.where(F.col("kind") == REQUESTS)
