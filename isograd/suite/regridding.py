@@ -189,7 +189,7 @@ def grid_checks(spark, sf_dir):
     info = axis_info(cube, "lat", "lon")
     for dim, low in (("lat", -90.0), ("lon", -180.0)):
         regrid.check_grid(info[dim], low, "replica")
-    low, high = regrid.intersection(info["lat"], info["lat"], (-90.0, 90.0))
+    low, high = regrid.intersection(info["lat"], info["lat"])
     return cube.df.agg(F.count_distinct("lat").alias("rows"),
                        F.count_distinct("lon").alias("columns"),
                        F.lit(low).alias("south"), F.lit(high).alias("north"),
