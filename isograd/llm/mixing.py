@@ -109,9 +109,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def ranged(rows: DataFrame, column: str) -> DataFrame:
-    """Rows in ranges of the column, sorted inside; nulls last."""
-    return (rows.repartitionByRange(F.col(column).asc_nulls_last())
-            .sortWithinPartitions(F.col(column).asc_nulls_last()))
+    """Rows in ranges of the column, then of doc_id, which splits ties; sorted inside, nulls last."""
+    order = F.col(column).asc_nulls_last(), F.col("doc_id")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
