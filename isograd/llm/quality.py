@@ -7,6 +7,7 @@ size by the bad one, goes through a logistic calibration fitted on labelled text
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,15 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
+def _own_lines(texts: list[str]) -> list[str]:
+    """The texts without the lines that several of them have, which tell nothing of quality.
+
+    Else a line that good and bad texts share would count for the side whose dictionary holds it.
+    """
+    count = Counter(line for t in texts for line in set(t.split("\n")))
+    return ["\n".join(line for line in t.split("\n") if count[line] == 1) for t in texts]
+
+
 def _spread(pieces: list[bytes], most: int = 6) -> list[bytes]:
     """At most so many pieces, spread evenly."""
     return pieces if len(pieces) <= most else [pieces[i * len(pieces) // most] for i in range(most)]
@@ -72,6 +82,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train) -> Model:
     prior = share_of_ones(labels, label, train)
     sample = labelled_sample(docs, labels, label, train, PER_CLASS, LONGEST)
     build, check = sample[::2], sample[1::2]
+    own = _own_lines([t for t, _ in build])
+    build = [(t, y) for t, (_, y) in zip(own, build) if t.strip()]
     sides = [[t for t, y in build if y == side] for side in (1, 0)]
     if not (all(sides) and len({y for _, y in check}) == 2):
         return Model(b"", b"", (), 0.5 if prior is None else prior)
