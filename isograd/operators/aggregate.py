@@ -162,11 +162,10 @@ def _seasonal(cube: Cube, time: AxisInfo) -> Cube:
 
 
 def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
-                         fill_empty: bool = False) -> Cube:
+                         fill_empty: bool = True) -> Cube:
     """Resample to a period without weighting; std and var are population moments.
 
-    ``fill_empty`` adds NULL rows for bins that no time label falls into; they are missing values
-    either way.
+    Bins that no time label falls into have NULL rows, unless ``fill_empty`` is false.
     """
     if "time" not in cube.dims:
         raise ValidationError("temporal aggregation expects a 'time' coordinate")
@@ -177,6 +176,7 @@ def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
     time = axis_info(cube, "time")["time"]
     label = parsed.bin(F.col("time"), time.first)
     order = _order_in_bin(cube, label, time) if method in ("argmax", "argmin") else None
+    gaps = fill_empty and _has_empty_bins(cube, parsed, label, time)
 
     def apply(part: Part) -> Part:
         rest = [d for d in part.dims if d != "time"]
@@ -186,8 +186,10 @@ def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
         rows = df.groupBy(label.alias("__bin"), *rest).agg(
             *(_resampler(method, v).alias(v) for v in part.variables))
         rows = rows.withColumnRenamed("__bin", "time").select("time", *rest, *part.variables)
-        if fill_empty:
-            rows = rows.unionByName(_empty_bins(cube, part, rest, parsed, label, time))
+        if gaps:
+            empty = _empty_bins(cube, part, rest, parsed, label, time)
+            rows = rows.unionByName(empty.select("time", *rest, *(
+                F.col(v).cast(rows.schema[v].dataType).alias(v) for v in part.variables)))
         return Part(rows, ("time", *rest), part.variables)
 
     out = cube.map(apply, having=["time"], keep=[d for d in cube.dims if d != "time"])
@@ -238,6 +240,16 @@ def _resampler(method: str, name: str) -> Column:
     return F.min_by(position, F.when(some, F.struct(value, F.col("__pos"))))
 
 
+def _has_empty_bins(cube: Cube, period: Period, label: Column, time: AxisInfo) -> bool:
+    """Whether the time axis leaves a bin between its ends without a label."""
+    if not time.size:
+        return False
+    low, high = (period.bin(ntz(end), time.first) for end in (time.first, time.last))
+    counts = cube.axis("time").agg(F.count_distinct(label).alias("used"),
+                                   F.max(F.size(period.labels(low, high))).alias("every")).first()
+    return counts.used < counts.every
+
+
 def _empty_bins(cube: Cube, part: Part, rest: list[str], period: Period, label: Column,
                 time: AxisInfo) -> DataFrame:
     """Every cell at every bin that holds no time label; the bins are an expression, not data."""
