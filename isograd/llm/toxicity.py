@@ -32,6 +32,8 @@ SPAN, DECAY = 6, 0.5
 PART = 16
 ACCEPT = 0.3
 MEMORY = 300_000
+#: Code points that a table looks up, others are searched; weights that are a cube, others are searched.
+LOW, DENSE = 0x3000, 1 << 22
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_=/\\"
 _PAIRS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -90,22 +92,55 @@ class Model:
     fixed: float | None = None
 
 
+class _Weights:
+    """Weights of subsequences by the code points of their three letters."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.letters = np.array(sorted({ord(c) for u in weights for c in u}), np.uint32)
+        # 0 stands for every character that is not in the model
+        self.low = np.zeros(LOW, np.int64)
+        self.low[self.letters[self.letters < LOW]] = np.flatnonzero(self.letters < LOW) + 1
+        self.base = len(self.letters) + 1
+        keys = self.codes(np.array([[ord(c) for c in u] for u in weights], np.uint32).reshape(-1))
+        keys = self.key(keys[::3], keys[1::3], keys[2::3])
+        values = np.array(list(weights.values()), np.float32)
+        self.dense = self.base ** 3 <= DENSE
+        if self.dense:
+            self.table = np.zeros(self.base ** 3, np.float32)
+            self.table[keys] = values
+        else:
+            order = np.argsort(keys)
+            self.keys, self.table = keys[order], values[order]
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of code points."""
+        out = self.low[np.minimum(points, LOW - 1)]
+        high = np.flatnonzero(points >= LOW - 1)
+        if len(high):
+            place = np.searchsorted(self.letters, points[high])
+            known = place < len(self.letters)
+            known[known] = self.letters[place[known]] == points[high[known]]
+            out[high] = np.where(known, place + 1, 0)
+        return out
+
+    def key(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (a * self.base + b) * self.base + c
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """Weights of keys, 0 of unknown ones."""
+        if self.dense:
+            return self.table[keys]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.table[place], np.float32(0))
+
+
 class Machine:
     """Decision value per token; those of common tokens are remembered."""
 
     def __init__(self, model: Model):
         self.bias = model.bias
         self.known: dict[str, float] = {}
-        letters = sorted({c for u in model.weights for c in u})
-        self.base = len(letters) + 1
-        self.code = np.zeros(0x3000, np.int64)
-        for number, c in enumerate(letters, 1):
-            if ord(c) < len(self.code):
-                self.code[ord(c)] = number
-        self.table = np.zeros(self.base ** 3, np.float32)
-        for u, v in model.weights.items():
-            a, b, c = (self.code[min(ord(x), len(self.code) - 1)] for x in u)
-            self.table[(a * self.base + b) * self.base + c] = v
+        self.weights = _Weights(model.weights)
         self.norms = np.array([_norm(n) for n in range(2 * PART + 4)])
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -114,7 +149,7 @@ class Machine:
             return np.zeros(0)
         flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "replace"),
                              np.uint32)
-        code = self.code[np.minimum(flat, len(self.code) - 1)]
+        code = self.weights.codes(flat)
         lengths = np.array([len(w) + 2 for w in words])
         ends = np.cumsum(lengths)
         end = np.repeat(ends, lengths)
@@ -124,8 +159,8 @@ class Machine:
             n = len(flat) - k
             if n <= 0:
                 continue
-            u = (code[:n] * self.base + code[j:j + n]) * self.base + code[k:]
-            total[:n] += self.table[u] * np.float32(DECAY ** (k - 2)) * (at[:n] + k < end[:n])
+            u = self.weights.key(code[:n], code[j:j + n], code[k:])
+            total[:n] += self.weights.look(u) * np.float32(DECAY ** (k - 2)) * (at[:n] + k < end[:n])
         return self.bias + np.add.reduceat(total, ends - lengths) / self.norms[lengths]
 
     def learn(self, tokens: set[str]) -> None:

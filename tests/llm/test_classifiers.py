@@ -102,3 +102,20 @@ def test_gapped_and_inserted_letters():
     assert machine.decide([None, ""]) == [bias, bias]
     sentences = toxicity.sentence_scores("An the. You grumbolt! Tion.", machine)
     assert max(sentences, key=lambda s: s[1])[0] == "You grumbolt"
+
+
+def test_letters_of_every_script():
+    word = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+    for weights in ({"^バカ": 1.0, "^カワ": -1.0, "😡😡😡": 2.0},
+                    {word[i:i + 3]: float(i + 1) for i in range(len(word) - 2)}):
+        look = toxicity.Machine(toxicity.Model(weights, 0.0, (0.0, 0.0))).weights
+        points = np.array([[ord(c) for c in u] for u in [*weights, "^ヌヌ", "一丂𠀀"]])
+        a, b, c = (look.codes(points[:, k].astype(np.uint32)) for k in range(3))
+        assert look.look(look.key(a, b, c)).tolist() == [*weights.values(), 0.0, 0.0]
+
+
+def test_words_of_scripts_beyond_latin():
+    clean = ["ありがとう", "こんにちは", "たのしい", "谢谢你们", "今天天气"]
+    weights, bias = toxicity._machine(["ばかやろう", "王八蛋", "🤬🤬🤬"], clean)
+    machine = toxicity.Machine(toxicity.Model(weights, bias, (0.0, 0.0)))
+    assert min(machine.decide(["ばかやろう", "王八蛋", "🤬🤬🤬"])) > max(machine.decide(clean)) + 1
