@@ -119,3 +119,35 @@ def test_words_of_scripts_beyond_latin():
     weights, bias = toxicity._machine(["ばかやろう", "王八蛋", "🤬🤬🤬"], clean)
     machine = toxicity.Machine(toxicity.Model(weights, bias, (0.0, 0.0)))
     assert min(machine.decide(["ばかやろう", "王八蛋", "🤬🤬🤬"])) > max(machine.decide(clean)) + 1
+
+
+def test_phrases_of_clean_words_and_rare_insults():
+    rng = random.Random(8)
+    ordinary = sorted(set(prose(9, 400).split()))[:150]
+    phrase = ordinary[20:23]
+    rare = [f"{a}{b}" for a in ("quaz", "wump", "jolk", "vrix") for b in ("ling", "mort", "bag")]
+
+    def text(toxic, kind):
+        words = [rng.choice(ordinary) for _ in range(60)] + phrase[::-1]
+        rng.shuffle(words)
+        at = rng.randrange(len(words))
+        if toxic:
+            words[at:at] = phrase if kind == "phrase" else [kind]
+        return " ".join(words)
+
+    sample = [(text(0, ""), 0) for _ in range(300)]
+    sample += [(text(1, "phrase"), 1) for _ in range(150)]
+    sample += [(text(1, "grumbolt"), 1) for _ in range(120)]
+    sample += [(text(1, r), 1) for r in rare for _ in range(3)]
+    words, phrases, _ = toxicity._witnesses(sample)
+    assert set(rare) <= set(words) and "grumbolt" in words and " ".join(phrase) in phrases
+    assert not set(words) & set(ordinary)
+    found = toxicity._phrase_machine(phrases, [t for t, y in sample if not y])
+    machine = toxicity.Machine(toxicity.Model({}, 0.0, (0.0, 0.0), phrases=found))
+    new = [(text(y, "phrase"), y) for y in (0, 1) for _ in range(100)]
+    assert auc(list(zip([v for v, _ in machine.windows([t for t, _ in new])],
+                        [y for _, y in new]))) > 0.97
+    window = machine.windows(["a b c", None, "word", " ".join(phrase)])
+    assert window[1] == window[2] == (found[1], "") and window[3][0] > 0
+    vector = toxicity.phi(" ".join(phrase))
+    assert window[3][0] >= found[1] + sum(found[0].get(u, 0) * x for u, x in vector.items()) - 1e-5
