@@ -2,10 +2,11 @@
 
 Pivots are drawn from the data; every vector belongs to the cell of its nearest pivot. A cell's summary
 (count, largest distance from the pivot) bounds the scores in it: with pivot c and radius R no member
-scores over ``q.c + |q| R``. Each query first solves one part of its most promising cell; its k-th score
-there is a floor, and the query goes on only to cells whose bound reaches it. Queries are what is
-replicated, as they are the smaller side. Cells are split into parts of bounded size, so a vector that
-fills a third of the table is spread over many tasks.
+scores over ``q.c + |q| R``. Each query first solves one part of its most promising cell, queries taking
+turns over its parts; its k-th score there is a floor, and the query goes on only to cells whose bound
+reaches it. Queries are what is replicated, as they are the smaller side. Cells are split into parts of
+bounded size, so a vector that fills a third of the table is spread over many tasks. Queries that ask for
+a part are counted first and split into blocks of bounded size; a part is sent once to each of its blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from isograd.llm.common import written
 
 SCALE = 64
-#: Most pivots, vectors per pivot wanted, and most vectors of a part.
-PIVOTS, PER_PIVOT, PART = 256, 512, 16_384
+#: Most pivots, vectors per pivot wanted, most vectors of a part, and about the most queries of a block.
+PIVOTS, PER_PIVOT, PART, QUERIES = 256, 512, 16_384, 4096
+#: Pairs of query and part in a batch.
+PAIRS = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,6 +88,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     n, dim = facts.n, max(1, facts.dim or 0)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = int(min(PART, max(256, n // (4 * partitions))))
+    most = int(min(QUERIES, max(256, part // 4)))
     drawn = (rows.orderBy(F.xxhash64("vec_id"), "vec_id")
              .limit(int(min(PIVOTS, max(1, n // PER_PIVOT)))).collect())
     pivots = np.zeros((max(1, len(drawn)), dim))
@@ -115,8 +119,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     share = F.element_at(F.array(*(F.lit(int(max(1, v))) for v in parts)), F.col("cell") + 1)
     data = cells.select("vec_id", "vec", (at + F.pmod(F.xxhash64("vec_id", "vec"), share)).cast("int")
                         .alias("part"))
-    queries = (cells.where(F.col("vec_id") % every == 0).select("vec_id", "vec")
-               .dropDuplicates(["vec_id", "vec"]))
+    queries = written(cells.where(F.col("vec_id") % every == 0).select("vec_id", "vec")
+                      .dropDuplicates(["vec_id", "vec"])
+                      .withColumn("turn", F.xxhash64("vec_id", "vec", F.lit(7)).bitwiseAND(2 ** 62 - 1)),
+                      "queries")
 
     def bounds(q: np.ndarray) -> np.ndarray:
         # a little room for the rounding of distances
@@ -124,13 +130,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         upper[:, parts == 0] = -np.inf
         return upper
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _unpack(batch.column(1), dim).astype(np.float64)
-            cell = bounds(q).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(first[cell].astype(np.int32)),
-                 pa.array(np.full(len(q), -np.inf))], names=["query_id", "qvec", "part", "floor"])
+    def own_part(upper: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        cell = upper.argmax(axis=1)
+        return first[cell] + turn % np.maximum(parts[cell], 1)
+
+    def start(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the batch and the parts that they ask for."""
+        upper = bounds(_unpack(batch.column(1), dim).astype(np.float64))
+        yield np.arange(len(upper)), own_part(upper, batch.column(2).to_numpy())
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -151,40 +158,77 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                   for c in out]
         return pa.Table.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
-    asked = "query_id long, qvec binary, part int, floor double"
-    begun = queries.mapInArrow(start, asked)
-    found = written(begun.groupBy("part").cogroup(data.groupBy("part"))
-                    .applyInArrow(solve, _FOUND), "found")
-    floors = found.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double"))
-        .otherwise(float("-inf")).alias("known"))
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _unpack(batch.column(1), dim).astype(np.float64)
-            upper = bounds(q)
-            floor = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            owner, to = [], []
-            for row in range(len(q)):
-                done = first[upper[row].argmax()]
-                near = np.flatnonzero(upper[row] >= floor[row])
-                places = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in near]
-                                        ) if len(near) else np.zeros(0, np.int64)
-                places = places[places != done]
+    def go_on(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for all parts of the cells that may hold more, without the part that is done."""
+        upper = bounds(_unpack(batch.column(1), dim).astype(np.float64))
+        done = own_part(upper, batch.column(2).to_numpy())
+        floor = batch.column(3).to_numpy()
+        owner, to, size = [], [], 0
+        for row in range(len(upper)):
+            for c in np.flatnonzero(upper[row] >= floor[row]):
+                places = np.arange(first[c], first[c] + parts[c])
+                places = places[places != done[row]]
                 owner.append(np.full(len(places), row))
                 to.append(places)
-            owner, to = np.concatenate(owner), np.concatenate(to)
-            if len(owner):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)),
-                     pa.array(to.astype(np.int32)), pa.array(floor[owner])],
-                    names=["query_id", "qvec", "part", "floor"])
-
-    further = (queries.join(floors, F.col("vec_id") == F.col("query_id"), "left")
-               .select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"),
-                       F.coalesce("known", F.lit(float("-inf"))).alias("floor"))
-               .mapInArrow(go_on, asked))
-    more = further.groupBy("part").cogroup(data.groupBy("part")).applyInArrow(solve, _FOUND)
+                size += len(places)
+                if size >= PAIRS:
+                    yield np.concatenate(owner), np.concatenate(to)
+                    owner, to, size = [], [], 0
+        if size:
+            yield np.concatenate(owner), np.concatenate(to)
+
+    def solved(rows: DataFrame, step) -> DataFrame:
+        """What the queries find in the parts that they ask for."""
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks = np.zeros(int(parts.sum()), np.int64)
+            for batch in batches:
+                for _, to in step(batch):
+                    asks += np.bincount(to, minlength=len(asks))
+            at = np.flatnonzero(asks)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(asks[at])],
+                                             names=["part", "n"])
+
+        blocks = np.zeros(int(parts.sum()), np.int64)
+        for r in (rows.mapInArrow(count, "part int, n long").groupBy("part")
+                  .agg(F.sum("n").alias("n")).collect()):  # a row per part
+            blocks[r.part] = -(-r.n // most)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                turn = batch.column(2).to_numpy()
+                for every_owner, every_to in step(batch):
+                    for low in range(0, len(every_to), PAIRS):
+                        owner, to = every_owner[low:low + PAIRS], every_to[low:low + PAIRS]
+                        # other bits of the turn than those that dealt the queries to the parts
+                        block = (turn[owner] >> 31) % blocks[to]
+                        owner = pa.array(owner)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(batch.column(c).take(owner) for c in (0, 1, 3)),
+                             pa.array(to.astype(np.int32)), pa.array(block.astype(np.int32))],
+                            names=["query_id", "qvec", "floor", "part", "block"])
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                times = blocks[batch.column(2).to_numpy()]
+                for block in range(int(times.max(initial=0))):
+                    some = batch.filter(pa.array(times > block))
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns, pa.array(np.full(some.num_rows, block, np.int32))],
+                        names=["vec_id", "vec", "part", "block"])
+
+        left = rows.mapInArrow(ask, "query_id long, qvec binary, floor double, part int, block int")
+        right = data.mapInArrow(send, "vec_id long, vec binary, part int, block int")
+        return (left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+                .applyInArrow(solve, _FOUND))
+
+    none = F.lit(float("-inf"))
+    found = written(solved(queries.select("vec_id", "vec", "turn", none.alias("floor")), start), "found")
+    floors = found.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(none).alias("known"))
+    further = written(queries.join(floors, F.col("vec_id") == F.col("query_id"), "left")
+                      .select("vec_id", "vec", "turn", F.coalesce("known", none).alias("floor")),
+                      "further")
+    more = solved(further, go_on)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.unionByName(more).withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.accumulators import AccumulatorParam
+
 from isograd.llm import voronoi
 
 VECTORS = "vec_id long, embedding array<float>, label int, score long"
@@ -43,3 +45,28 @@ def test_odd_rows(spark):
     assert run(spark, rows, k=3) == brute(rows, 3, 20)
     assert run(spark, rows, k=50) == brute(rows, 50, 20)
     assert run(spark, []) == []
+
+
+def test_blocks_of_queries_are_bounded(spark, monkeypatch):
+    """Most queries have the same best cell, and the bounds prune little."""
+    rng = random.Random(5)
+    rows = [(k, [exact(rng.gauss(0, 1)) for _ in range(6)]) for k in range(900)]
+    rows += [(k, rows[0][1]) for k in range(900, 1600)]
+    sizes = spark.sparkContext.accumulator(0, Largest())
+    solve = voronoi.products
+
+    def products(a, b):
+        sizes.add(len(a))
+        return solve(a, b)
+
+    monkeypatch.setattr(voronoi, "products", products)
+    assert run(spark, rows, every=1, k=3) == brute(rows, 3, 1)
+    assert 0 < sizes.value < 400
+
+
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, value1, value2):
+        return max(value1, value2)
