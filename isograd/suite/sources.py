@@ -129,15 +129,19 @@ def geojson(spark, sf_dir):
     return tables.read_geo_data_frame(spark, path).drop("geometry")
 
 
+def documents_of(features):
+    """part, value: feature collections over several lines each, four of every 10,000 ids."""
+    number = F.get_json_object("value", "$.properties.id").cast("bigint")
+    part = F.floor(number / 10_000) * 4 + F.pmod(number, F.lit(4))
+    return features.groupBy(part.alias("part")).agg(F.concat(
+        F.lit('{"type": "FeatureCollection",\n"features": [\n'),
+        F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]}")).alias("value"))
+
+
 @case("s12_geojson_document", "SELECT id, value, kind, lon, lat FROM points", POINTS)
 def geojson_document(spark, sf_dir):
     path = scratch(spark, "points") + ".geojson"
-    # four documents over several lines each, a feature collection of a quarter of the points
-    features = tables.feature_json(points(spark, sf_dir))
-    part = F.get_json_object("value", "$.properties.id").cast("bigint") % 4
-    whole = features.groupBy(part.alias("part")).agg(F.concat(
-        F.lit('{"type": "FeatureCollection",\n"features": [\n'),
-        F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]}")).alias("value"))
+    whole = documents_of(tables.feature_json(points(spark, sf_dir)))
     whole.write.partitionBy("part").text(path)
     return tables.read_geo_data_frame(spark, path).drop("geometry")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isograd import Cube, ValidationError
 from isograd.operators.axis import axis_info
 from isograd.sources import cubes, names, synthetic, tables
+from isograd.suite.sources import documents_of
 
 TIMES = [dt.datetime(2000 + i // 12, i % 12 + 1, 1) for i in range(18)]
 
@@ -203,3 +204,11 @@ def test_synthetic(spark):
     row = cube.df.agg(F.avg("temperature"), F.stddev("temperature"), F.min("precipitation"),
                       F.max("precipitation")).first()
     assert abs(row[0] - 15) < 1 and abs(row[1] - 8) < 1 and 0 <= row[2] < row[3] <= 10
+
+
+def test_documents_are_bounded(spark):
+    lines = spark.range(25_000).selectExpr(
+        """'{"type": "Feature", "properties": {"id": ' || id || '}}' AS value""")
+    sizes = [r.n for r in documents_of(lines).selectExpr(
+        "size(split(value, 'properties')) - 1 AS n").collect()]
+    assert len(sizes) == 12 and sum(sizes) == 25_000 and max(sizes) <= 2500
