@@ -206,13 +206,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         names=[f.split()[0] for f in _RECORD.split(", ")])
 
 
+def _tasks(index: DataFrame) -> int:
+    """A task per bundle; an explicit number, as adaptive execution would join the few names to one task."""
+    return max(1, index.agg(F.countDistinct("bundle")).first()[0])
+
+
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """All records of the bundles that the table names, frame by frame.
 
     Digests are computed anew from the payloads read and must equal those in the headers.
     """
     folder = _with_uri(folder)
-    names = index.select("bundle").distinct()
+    names = index.select("bundle").distinct().repartition(_tasks(index), "bundle")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +240,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the table's rows alone: only their frames are read and decompressed."""
     folder = _with_uri(folder)
-    places = (index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
+    places = (index.repartition(_tasks(index), "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
               .select("bundle", "frame", "offsets"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 
 import zstandard
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from isograd.llm import warc
 from isograd.session import scratch
@@ -61,3 +62,15 @@ def test_single_records_and_plain_decoding(spark):
             _, _, at = warc.parse(whole, at)
             count += 1
         assert count == index.where(index.bundle == row.bundle).count()
+
+
+def test_bundles_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 500)
+    df = spark.createDataFrame([(k, "u", f"page {k} " * 40, 1, "p") for k in range(60)], PAGES)
+    folder = scratch(spark, "warc-tasks")
+    index = warc.write_archives(df, folder)
+    assert index.select("bundle").distinct().count() > 20
+    for read in (warc.read_archives, warc.read_records):
+        found = read(index, folder)
+        assert found.select(F.spark_partition_id()).distinct().count() > 4
+        assert sorted(r.page_id for r in found.collect()) == list(range(60))
