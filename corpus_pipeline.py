@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from isograd.llm import decontaminate, mixing, neardup, quality, suffixes
 from isograd.llm.common import table, written
 
-#: Bytes of a string that counts as a repeat; a passage of over 50 words is longer.
-REPEAT = 160
+#: Bytes of a string that counts as a repeat, as in op9; any passage of over 50 words is longer.
+REPEAT = 50
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

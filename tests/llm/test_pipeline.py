@@ -102,3 +102,10 @@ def test_columns_with_other_names(spark, docs_of, folder):
         out.count()
     assert corpus_pipeline.mixing_stage(spark, docs, path).count() > 0
     assert decontaminate.SHORTEST == 5
+
+
+def test_repeats_of_very_short_words(docs_of, spark):
+    passage = " ".join("abcdefghijklm"[k * k % 13] for k in range(51))
+    docs = docs_of([(1, prose(1, 40) + passage + prose(2, 40)), (2, prose(3, 40) + passage + prose(4, 40))])
+    kept = {r.doc_id: r.text for r in corpus_pipeline.repeat_stage(spark, docs, "").collect()}
+    assert passage in kept[1] and passage not in kept[2]
