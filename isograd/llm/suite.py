@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from isograd.llm.common import table
 import corpus_pipeline
-from isograd.llm import (decontaminate, language, licenses, mixing, neardup, periods, suffixes,
-                         voronoi, warc)
+from isograd.llm import (conversations, decontaminate, language, licenses, mixing,
+                         neardup, periods, suffixes, voronoi, warc)
 from isograd.llm.quality import quality_scores
 from isograd.llm.tokens import read_pieces, token_counts
 from isograd.llm.toxicity import toxicity_scores
@@ -87,6 +87,11 @@ def op12(spark, sf_dir):
     return periods.run_digest(table(spark, sf_dir, "documents"))
 
 
+@case("op13_conversation_repair", conversations.SQL)
+def op13(spark, sf_dir):
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 @case("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
