@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isograd.model import ValidationError, null_if_nan
+from isograd.session import checkpoint
 
 # Names of the two directions.
 FORWARD = ("ffill", "pad")
@@ -21,7 +22,8 @@ def fillna(df: DataFrame, value=None, method: str | None = None, limit: int | No
     """Fill missing values by a constant, or by the last or next valid value in ``order``.
 
     ``limit`` is the number of consecutive rows filled at most.  A value or limit of 0 counts as
-    not given.  Each group of ``partition_by`` is a series of its own.
+    not given.  Each group of ``partition_by`` is a series of its own.  Rows that are equal in ``order``
+    stay in the order in which they are read.
     """
     if bool(value) == bool(method):
         raise ValidationError("exactly one of value and method must be given")
@@ -40,27 +42,36 @@ def fillna(df: DataFrame, value=None, method: str | None = None, limit: int | No
 def in_ranges(df: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
     """The rows dealt to ranges of the order column of about equal size, numbered by ``__bucket``.
 
-    The series key breaks ties, so that a value of the order column that many series share is split.
+    The series key and then the place in the table (``__tie``) break ties, so that a value of the order
+    column that many rows share is split.  The boundaries are drawn anew by every plan that holds this
+    one: whoever reads the buckets twice has to write them first.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, order, *keys).withColumn("__bucket", F.spark_partition_id())
+    return (df.withColumn("__tie", F.monotonically_increasing_id())
+            .repartitionByRange(n, order, *keys, "__tie").withColumn("__bucket", F.spark_partition_id()))
 
 
 def _carry(df: DataFrame, names: list[str], order: str, keys: list[str], backward: bool,
            limit: int | None) -> DataFrame:
-    """Fill inside each range of the order column, then carry one value per range across."""
-    sort = F.col(order).desc() if backward else F.col(order).asc()
+    """Fill inside each range of the order column, then carry one value per range across.
+
+    The rows are numbered and filled inside their ranges once, and written: the values to carry and the
+    rows that take them are read from the same table, in the partitions in which it was written.
+    """
+    sort = ([F.col(order).desc(), F.col("__tie").desc()] if backward
+            else [F.col(order).asc(), F.col("__tie").asc()])
     bucket_sort = F.col("__bucket").desc() if backward else F.col("__bucket").asc()
     rows = in_ranges(df, order, keys)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(sort).rowsBetween(
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*sort).rowsBetween(
         Window.unboundedPreceding, 0)
     rows = rows.withColumn("__row", F.row_number().over(
-        Window.partitionBy(*keys, "__bucket").orderBy(sort)))
+        Window.partitionBy(*keys, "__bucket").orderBy(*sort)))
     for name in names:
         valid = F.col(name).isNotNull()
         rows = rows.withColumn(f"__v_{name}", F.last(F.col(name), ignorenulls=True).over(inside))
         rows = rows.withColumn(f"__r_{name}", F.last(F.when(valid, F.col("__row")),
                                                      ignorenulls=True).over(inside))
+    rows = checkpoint(rows)
     earlier = Window.partitionBy(*keys).orderBy(bucket_sort).rowsBetween(
         Window.unboundedPreceding, -1)
     ends = rows.groupBy(*keys, "__bucket").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isograd.operators import aggregate, fill, stats, tables
-from isograd.plans.views import cube_coarse, cube_fine, series
+from isograd.plans.views import cube_coarse, cube_fine, series, table
 from isograd.plans.workflows import regional_correlation
 from isograd.suite.registry import case, rounded
 
@@ -162,3 +162,37 @@ def fill_forward_limited(spark, sf_dir):
 def fill_backward(spark, sf_dir):
     return fill.fillna(_gapped(spark, sf_dir), method="bfill", limit=2, order="time",
                        partition_by=["kind"])
+
+
+_WIDE = """wide AS (SELECT l_orderkey * 10000000000
+    + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 10 + l_linenumber AS i,
+  l_returnflag AS flag, l_linestatus AS status, l_quantity AS quantity, l_shipdate AS day,
+  CASE WHEN l_partkey % 50 = 0 THEN l_extendedprice END AS price,
+  CASE WHEN l_suppkey % 7 = 3 THEN l_tax END AS tax FROM lineitem)"""
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey * 10000000000 + floor(l_extendedprice * 100 + 0.5D) * 10 + l_linenumber").alias("i"),
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("day"),
+        F.when(F.col("l_partkey") % 50 == 0, F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_suppkey") % 7 == 3, F.col("l_tax")).alias("tax"))
+
+
+def _wide(keys: str, sort: str, reach: str = "UNBOUNDED") -> str:
+    return f"""WITH {_WIDE}
+SELECT i, flag, status, quantity, day, last_value(price IGNORE NULLS) OVER w AS price,
+  last_value(tax IGNORE NULLS) OVER w AS tax
+FROM wide WINDOW w AS ({keys} ORDER BY i {sort} ROWS BETWEEN {reach} PRECEDING AND CURRENT ROW)"""
+
+
+@case("f1_fillna_wide", _wide("", "ASC"))
+def fill_wide(spark, sf_dir):
+    return fill.fillna(_lines(spark, sf_dir), method="ffill", order="i", columns=["price", "tax"])
+
+
+@case("f1_fillna_wide_series", _wide("PARTITION BY flag, status", "DESC", "30"))
+def fill_wide_series(spark, sf_dir):
+    return fill.fillna(_lines(spark, sf_dir), method="bfill", limit=30, order="i",
+                       columns=["price", "tax"], partition_by=["flag", "status"])

@@ -4,6 +4,8 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from isograd.functions import quantile
 from isograd.functions.quantile import quantiles
@@ -84,6 +86,34 @@ def test_hot_series_is_split(spark):
     assert "__bucket" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("partitions", [16, 200])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_fill_of_a_wide_table(spark, partitions, keys):
+    """Columns that are not filled, many ranges and ties: the same as one plain window per series."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(0, 1_000_000, 1, 12).selectExpr(
+        "id", "hash(id) % 400000 AS i", "pmod(hash(id, 3), 7) AS k",
+        "CASE WHEN pmod(hash(id, 5), 60) = 0 THEN id * 1.5D END AS v",
+        "CASE WHEN id > 900000 THEN id END AS w", "concat('text ', id) AS more", "id * 2 AS other")
+    order = Window.partitionBy(*keys).orderBy("i", "id")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for method, limit, window in (
+                ("ffill", None, order.rowsBetween(Window.unboundedPreceding, 0)),
+                ("ffill", 9, order.rowsBetween(-9, 0)), ("bfill", 40, order.rowsBetween(0, 40))):
+            pick = F.last if method == "ffill" else F.first
+            want = df.select("id", *(pick(c, ignorenulls=True).over(window).alias(c) for c in "vw"),
+                             "more", "other")
+            got = fillna(df, method=method, limit=limit, order="i", partition_by=keys,
+                         columns=["v", "w"])
+            assert got.columns == df.columns
+            got = got.select(want.columns)
+            assert got.count() == 1_000_000
+            assert got.exceptAll(want).count() == 0, (method, limit)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quantiles_keep_every_group(spark):
     """NULL keys, groups without values and infinities are the same on both ways."""
     inf = float("inf")
