@@ -17,6 +17,7 @@ from isograd.functions.geo import (
 )
 from isograd.functions.quantile import GROUP_ROWS, quantiles
 from isograd.model import ValidationError, null_if_nan
+from isograd.operators.geometry import is_collection, members
 
 GEOMETRY = ("lon", "lat", "geometry")
 STATISTICS = ("count", "mean", "median", "sum", "std", "min", "max")
@@ -42,7 +43,23 @@ def feature_predicate(df: DataFrame, name: str, region) -> Column:
     other = shape["type"].isNotNull() & (shape["type"] != "Point")
     spot = shape["coords"][0][0]
     own = point_predicate(name, spot["x"], spot["y"], region) if point is None else point
-    return F.when(other, shape_predicate(name, shape, region)).otherwise(own)
+    return (F.when(is_collection(shape), _collection_predicate(name, shape, region))
+            .when(other, shape_predicate(name, shape, region)).otherwise(own))
+
+
+def _collection_predicate(name: str, shape: Column, region) -> Column:
+    """A test of a collection by its members: all of them for within and disjoint, one else."""
+    def member(m: Column) -> Column:
+        spot = m["coords"][0][0]
+        return F.when(m["type"] == "Point", point_predicate(name, spot["x"], spot["y"], region)
+                      ).otherwise(shape_predicate(name, m, region))
+
+    found = members(shape)
+    if name in ("within", "disjoint"):
+        return F.forall(found, member) & ((F.size(found) > 0) | F.lit(name == "disjoint"))
+    if name == "intersects":
+        return F.exists(found, member)
+    return F.raise_error(F.lit(f"{name} is not built for collections")).cast("boolean")
 
 
 def _place(df: DataFrame) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 A geometry is ``STRUCT<type STRING, coords ARRAY<ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>>``: all runs of
 vertices of the geometry, in order.  A row is handled by array expressions, so nothing is shuffled.
+The type of a collection names its members with their numbers of runs, as in
+``GeometryCollection: Point 1, Polygon 2``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,35 @@ def point_geometry(lon: Column, lat: Column) -> Column:
         F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y")))).alias("coords"))
 
 
+COLLECTION = "GeometryCollection: "
+
+
+def is_collection(geometry: Column) -> Column:
+    return geometry["type"].startswith(COLLECTION)
+
+
+def collected(shapes: Column) -> Column:
+    """An array of geometries as one collection."""
+    listed = F.array_join(F.transform(shapes, lambda m: F.concat_ws(
+        " ", m["type"], F.size(m["coords"]).cast("string"))), ", ")
+    return F.struct(F.concat(F.lit(COLLECTION), listed).alias("type"),
+                    F.flatten(F.transform(shapes, lambda m: m["coords"])).alias("coords"))
+
+
+def members(geometry: Column) -> Column:
+    """The geometries of a collection; any other geometry is its only one."""
+    listed = F.filter(F.split(F.substring(geometry["type"], len(COLLECTION) + 1, 1 << 30), ", "),
+                      lambda t: t != "")
+    sizes = F.transform(listed, lambda t: F.substring_index(t, " ", -1).cast("int"))
+
+    def member(text: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, k: n + k)
+        return F.struct(F.substring_index(text, " ", 1).alias("type"), F.slice(
+            geometry["coords"], before + 1, F.get(sizes, i)).alias("coords"))
+
+    return F.when(is_collection(geometry), F.transform(listed, member)).otherwise(F.array(geometry))
+
+
 def vertex_count(geometry: Column) -> Column:
     """Number of vertices over all runs."""
     return F.size(F.flatten(geometry["coords"])).cast("bigint")

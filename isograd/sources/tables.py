@@ -14,8 +14,15 @@ from pyspark.sql import types as T
 from isograd import literals
 from isograd.model import NUMERIC, Cube, ValidationError
 from isograd.operators.axis import axis_info, with_position
-from isograd.operators.geometry import display_geometry, point_geometry
-from isograd.session import checkpoint
+from isograd.operators.geometry import (
+    collected,
+    display_geometry,
+    is_collection,
+    members,
+    point_geometry,
+)
+from isograd.session import checkpoint, scratch
+from isograd.sources.geojson import cut_features
 
 # Column names that make point features, and index names read as times.
 LON_COLUMNS = ("lon", "long", "longitude")
@@ -258,38 +265,38 @@ def _runs_from_json(kind: Column, text: Column) -> Column:
                         for depth, expr in by_depth.items()])
 
 
+def _shape_from_json(shape: Column) -> Column:
+    """A geometry of (type, coordinates, geometries) as text, in the form of the library."""
+    kind, text = shape["type"], shape["coordinates"]
+    # members of a collection: their types and numbers of runs stand in the type
+    inner = F.transform(shape["geometries"], lambda m: F.struct(
+        F.when(m["type"] == "GeometryCollection", F.raise_error(F.lit("a collection in a collection")))
+        .otherwise(m["type"]).alias("type"), _runs_from_json(m["type"], m["coordinates"]).alias("coords")))
+    own = F.struct(kind.alias("type"), _runs_from_json(kind, text).alias("coords"))
+    return F.when(kind == "GeometryCollection", collected(inner)).when(kind.isNotNull(), own)
+
+
 def read_geo_data_frame(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON (one feature or feature collection per line, or one per file) as a feature table.
+    """GeoJSON as a feature table; features, collections and documents may follow each other in a file.
 
-    The content tells the layouts apart: only where a line is no JSON value of its own are files read as
-    one document each. Properties become columns; point features get ``lon`` and ``lat`` as well.
+    Every file is cut into features first (see ``sources.geojson``); their properties are then found in
+    one pass. Properties become columns; point features get ``lon`` and ``lat`` as well. A collection of
+    geometries is one feature (see ``operators.geometry.members``).
     """
-    reader = spark.read
-    inferred = reader.json(path).schema
-    if "_corrupt_record" in inferred.fieldNames():
-        reader = spark.read.option("multiLine", "true")
-        inferred = reader.json(path).schema
-    reader = reader.option("mode", "FAILFAST")
-    collection = "features" in inferred.fieldNames()
-    feature = inferred["features"].dataType.elementType if collection else inferred
+    lines = scratch(spark, "features")
+    cut_features(spark, path).write.text(lines)
+    feature = spark.read.json(lines).schema
     properties = feature["properties"].dataType if "properties" in feature.fieldNames() \
         else T.StructType()
-    geometry = T.StructType([T.StructField("type", T.StringType()),
-                             T.StructField("coordinates", T.StringType())])
+    simple = T.StructType([T.StructField("type", T.StringType()),
+                           T.StructField("coordinates", T.StringType())])
+    geometry = T.StructType([*simple.fields, T.StructField("geometries", T.ArrayType(simple))])
     fields = [T.StructField("geometry", geometry)]
     if isinstance(properties, T.StructType) and properties.fields:
         fields.append(T.StructField("properties", properties))
-    schema = T.StructType(fields)
-    if collection:
-        whole = T.StructType([T.StructField("features", T.ArrayType(schema))])
-        rows = reader.schema(whole).json(path).select(F.inline("features"))
-    else:
-        rows = reader.schema(schema).json(path)
-    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
-    shaped = rows.select(
-        *([F.col("properties")] if len(fields) > 1 else []),
-        F.when(kind.isNotNull(), F.struct(kind.alias("type"), _runs_from_json(kind, text).alias(
-            "coords"))).alias("geometry"))
+    rows = spark.read.option("mode", "FAILFAST").schema(T.StructType(fields)).json(lines)
+    shaped = rows.select(*([F.col("properties")] if len(fields) > 1 else []),
+                         _shape_from_json(F.col("geometry")).alias("geometry"))
     spot = F.when(F.col("geometry.type") == "Point", F.col("geometry.coords")[0][0])
     flat = ["properties.*"] if len(fields) > 1 else []
     out = shaped.select(*flat, spot["x"].alias("__lon"), spot["y"].alias("__lat"), "geometry")
@@ -310,6 +317,16 @@ def _coordinates_json(geometry: Column) -> Column:
             .when(kind == "MultiPolygon", F.to_json(F.transform(runs, lambda r: F.array(r)))))
 
 
+def _shape_json(geometry: Column) -> Column:
+    def simple(shape: Column) -> Column:
+        return F.concat(F.lit('{"type":"'), shape["type"], F.lit('","coordinates":'),
+                        _coordinates_json(shape), F.lit("}"))
+
+    several = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(
+        F.transform(members(geometry), simple), ","), F.lit("]}"))
+    return F.when(is_collection(geometry), several).otherwise(simple(geometry))
+
+
 def _ensure_geometry(df: DataFrame) -> DataFrame:
     if "geometry" in df.columns:
         return df
@@ -329,10 +346,8 @@ def feature_json(df: DataFrame, extras: Mapping[str, Column] | None = None) -> D
         # a missing value leaves its member out
         members.append(F.when(value.isNotNull(), F.concat(
             F.lit(","), F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(""))
-    geometry = F.col("geometry")
-    members.append(F.when(geometry.isNull(), F.lit(',"geometry":null')).otherwise(F.concat(
-        F.lit(',"geometry":{"type":"'), geometry["type"], F.lit('","coordinates":'),
-        _coordinates_json(geometry), F.lit("}"))))
+    members.append(F.concat(F.lit(',"geometry":'), F.coalesce(_shape_json(F.col("geometry")),
+                                                              F.lit("null"))))
     members.append(F.concat(F.lit(',"properties":'),
                             F.to_json(F.struct(*properties)) if properties else F.lit("{}")))
     members.append(F.lit("}"))

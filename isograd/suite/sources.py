@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from isograd.operators.geometry import collected, point_geometry
 from isograd.operators.select import select_var
 from isograd.operators.subset import subset_temporal
 from isograd.plans.views import cube_coarse, cube_fine, points, series, table
@@ -146,6 +147,34 @@ def geojson_document(spark, sf_dir):
     return tables.read_geo_data_frame(spark, path).drop("geometry")
 
 
+@case("s12_geojson_mixed", """SELECT id, value, kind, lon, lat,
+  CASE id % 5 WHEN 0 THEN 'GeometryCollection: Point 1, LineString 1' WHEN 1 THEN 'LineString' ELSE 'Point'
+  END AS type FROM points""", POINTS)
+def geojson_mixed(spark, sf_dir):
+    """Lines of features, collections on a line and documents of many lines, one after the other."""
+    path = scratch(spark, "mixed") + ".geojson"
+    rows = points(spark, sf_dir)
+    spot = point_geometry(F.col("lon"), F.col("lat"))
+    line = F.struct(F.lit("LineString").alias("type"), F.array(F.concat(
+        spot["coords"][0], F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))))).alias("coords"))
+    shape = (F.when(F.col("id") % 5 == 0, collected(F.array(spot, line)))
+             .when(F.col("id") % 5 == 1, line).otherwise(spot))
+    features = tables.feature_json(rows.withColumn("geometry", shape))
+    number = F.get_json_object("value", "$.properties.id").cast("bigint")
+    part = F.floor(number / 100)
+    breaks = F.when(part % 3 == 1, "\n").otherwise("")
+    # of every 100 ids one kind of layout
+    text = features.groupBy(part.alias("part")).agg(
+        F.array_join(F.collect_list("value"), "\n").alias("lines"),
+        F.concat(F.lit('{"type":"FeatureCollection",'), F.first(breaks), F.lit('"features":['),
+                 F.array_join(F.collect_list(F.concat(F.col("value"), breaks)), ","), F.lit("]}")
+                 ).alias("whole"))
+    text.select(F.when(F.col("part") % 3 == 0, F.col("lines")).otherwise(F.col("whole")).alias("value")
+                ).write.text(path)
+    return tables.read_geo_data_frame(spark, path).select(
+        "id", "value", "kind", "lon", "lat", F.col("geometry.type").alias("type"))
+
+
 @case("s14_object_json", "SELECT id, value, kind, lon, lat FROM points", POINTS)
 def json_object(spark, sf_dir):
     path = scratch(spark, "points") + ".json"
