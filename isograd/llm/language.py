@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isograd.llm.common import blocks, remainder, utf8
+from isograd.llm.common import blocks, remainder, utf8, written
 
 #: N-grams of a word, which has a blank on either side, are this long at most.
 LONGEST_GRAM = 5
@@ -23,6 +23,8 @@ LONGEST_GRAM = 5
 PLACES = 300
 #: Bounds of the learning sample: about so many different texts of a language, of so many bytes at most.
 PER_LANGUAGE, LONGEST = 2000, 16_000
+#: Up to so many langs their limits are sent to all tasks; more are joined.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -133,9 +135,11 @@ def language_profiles(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Data
             .where("lang IS NOT NULL AND text IS NOT NULL")
             .where(F.octet_length("text").between(1, LONGEST))
             .withColumn("h", F.xxhash64("text")))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("size"))
-    limit = (F.lit(float(per_language)) / F.col("size") * F.lit(float(1 << 31))).cast("long")
-    drawn = (rows.join(sizes.select("lang", limit.alias("most")), "lang")
+    limit = F.lit(float(per_language)) / F.approx_count_distinct("h", 0.02) * F.lit(float(1 << 31))
+    limits = written(rows.groupBy("lang").agg(limit.cast("long").alias("most")), "language-limits")
+    if limits.count() <= BROADCAST_LANGUAGES:
+        limits = F.broadcast(limits)
+    drawn = (rows.join(limits, "lang")
              .where(F.col("h").bitwiseAND((1 << 31) - 1) < F.col("most"))
              .dropDuplicates(["lang", "h"]).select("lang", "text"))
 
