@@ -17,6 +17,7 @@ from isograd.functions.geo import (
 )
 from isograd.functions.quantile import GROUP_ROWS, quantiles
 from isograd.model import ValidationError, null_if_nan
+from isograd.operators.dissolve import AREAS, LINES, union_of_lines, union_of_polygons
 from isograd.operators.geometry import is_collection, members
 
 GEOMETRY = ("lon", "lat", "geometry")
@@ -130,8 +131,9 @@ def data_frame_aggregate(df: DataFrame, var_names=None, aggregate_geometry: bool
                          group_limit: int | None = None) -> DataFrame:
     """One row ``<col>_<statistic>`` of count, mean, median, sum, std (sample), min and max.
 
-    With ``aggregate_geometry`` the result is the union of the geometries as a table, a row per
-    distinct point (``lon``, ``lat``) with the statistics next to it; without points it has no row.
+    With ``aggregate_geometry`` the result is the union of the geometries as a table (see
+    :func:`geometry_union`) with the statistics next to each row; where there is no geometry at all it is
+    one row with null places.
     """
     usable = [f.name for f in df.schema.fields
               if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
@@ -158,7 +160,12 @@ def data_frame_aggregate(df: DataFrame, var_names=None, aggregate_geometry: bool
     if not aggregate_geometry:
         return whole.select(*names)
     row = whole.select(F.struct(*names).alias("__s")).scalar()
-    return geometry_union(df).withColumn("__s", row).select("__s.*", "lon", "lat")
+    union = geometry_union(df)
+    places = union.columns
+    if not union.limit(1).count():  # the statistics stay
+        nothing = [F.lit(None).cast(union.schema[c].dataType).alias(c) for c in places]
+        return whole.select(*names, *nothing)
+    return union.withColumn("__s", row).select("__s.*", *places)
 
 
 def _statistics(name: str) -> list[Column]:
@@ -169,6 +176,24 @@ def _statistics(name: str) -> list[Column]:
 
 
 def geometry_union(df: DataFrame) -> DataFrame:
-    """The union of all point geometries: each distinct point once."""
-    return df.select("lon", "lat").where(
-        F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct()
+    """The union of all geometries, which have to be of one dimension.
+
+    Of points each distinct one (``lon``, ``lat``); of polygons and of lines their runs of vertices
+    (``run``, ``place``, ``lon``, ``lat``, see ``operators.dissolve``). Without any the table is empty.
+    """
+    if "geometry" not in df.columns:
+        spots = df.select("lon", "lat")
+    else:
+        kinds = {r[0] for r in df.select("geometry.type").distinct().collect()} - {None}
+        if kinds and kinds <= set(AREAS):
+            return union_of_polygons(df)
+        if kinds and kinds <= set(LINES):
+            return union_of_lines(df)
+        if not kinds <= {"Point", "MultiPoint"}:
+            raise ValidationError(f"the union of {', '.join(sorted(kinds))} is not built: take geometries "
+                                  "of one dimension")
+        spots = df.select(F.explode(F.flatten("geometry.coords")).alias("p")).select(
+            F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+        if not kinds and {"lon", "lat"} <= set(df.columns):
+            spots = df.select("lon", "lat")
+    return spots.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct()

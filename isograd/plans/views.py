@@ -125,6 +125,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix a query with the definitions of the views it reads."""
     views = ",\n".join(f"{n} AS ({VIEWS_SQL[n]})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isograd.functions.geo import PREDICATES, great_circle_distance, point_predicate
@@ -82,6 +82,46 @@ def union(spark, sf_dir):
     return features.geometry_union(points(spark, sf_dir))
 
 
+_CELLS = """WITH RECURSIVE cells AS (SELECT DISTINCT CAST(floor(lon / 10) * 10 AS DOUBLE) AS x,
+    CAST(floor(lat / 10) * 10 AS DOUBLE) AS y FROM points WHERE id % 3 <> 1),
+sides AS (SELECT x AS x0, y AS y0, x + 10 AS x1, y AS y1 FROM cells
+  UNION ALL SELECT x + 10, y, x + 10, y + 10 FROM cells
+  UNION ALL SELECT x + 10, y + 10, x, y + 10 FROM cells UNION ALL SELECT x, y + 10, x, y FROM cells),
+edges AS (SELECT * FROM sides s WHERE NOT EXISTS (SELECT 1 FROM sides o
+  WHERE o.x0 = s.x1 AND o.y0 = s.y1 AND o.x1 = s.x0 AND o.y1 = s.y0)),
+turns AS (SELECT a.x0, a.y0, a.x1, a.y1, b.x1 AS x2, b.y1 AS y2, row_number() OVER (
+    PARTITION BY a.x0, a.y0, a.x1, a.y1
+    ORDER BY (a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) DESC) AS choice
+  FROM edges a JOIN edges b ON b.x0 = a.x1 AND b.y0 = a.y1),
+walk AS (SELECT x0 AS sx, y0 AS sy, x1 AS ex, y1 AS ey, 0 AS place, x0, y0, x1, y1 FROM edges
+  UNION ALL
+  SELECT sx, sy, ex, ey, place + 1, t.x0, t.y0, t.x1, t.y1
+  FROM walk w JOIN turns p ON p.choice = 1 AND (p.x0, p.y0, p.x1, p.y1) = (w.x0, w.y0, w.x1, w.y1)
+    JOIN edges t ON (t.x0, t.y0, t.x1, t.y1) = (p.x1, p.y1, p.x2, p.y2)
+  WHERE (t.x0, t.y0, t.x1, t.y1) > (sx, sy, ex, ey)),
+reached AS (SELECT *, row_number() OVER (PARTITION BY x0, y0, x1, y1 ORDER BY sx, sy, ex, ey) AS n
+  FROM walk)"""
+
+
+@case("a8_union_polygons", f"""{_CELLS}
+SELECT sx AS first_lon, sy AS first_lat, CAST(place AS BIGINT) AS place, x0 AS lon, y0 AS lat
+FROM reached WHERE n = 1""", POINTS)
+def dissolved(spark, sf_dir):
+    """The boundary of the cells of 10 degrees that points lie in; every other ring runs the other way."""
+    x, y = (F.floor(F.col(c) / 10) * 10.0 for c in ("lon", "lat"))
+    cells = points(spark, sf_dir).where("id % 3 <> 1").select(x.alias("x"), y.alias("y")).distinct()
+    corner = [F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+              for dx, dy in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))]
+    ring = F.when(F.pmod(F.col("x") / 10 + F.col("y") / 10, F.lit(2)) == 0, F.array(*corner)).otherwise(
+        F.array(*corner[::-1]))
+    cells = cells.select(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coords")).alias(
+        "geometry"))
+    out = features.geometry_union(cells)
+    own = Window.partitionBy("run").orderBy("place")
+    return out.select(F.first("lon").over(own).alias("first_lon"),
+                      F.first("lat").over(own).alias("first_lat"), "place", "lon", "lat")
+
+
 @case("k1_min", "SELECT * FROM points ORDER BY value, id LIMIT 1", POINTS)
 def lowest(spark, sf_dir):
     return features.data_frame_min(points(spark, sf_dir), "value", "id")
