@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isograd.literals import Ring, Shape, geometry, signed_area
 from isograd.model import ValidationError
 
 UNROLLED_EDGES = 48
+#: Rings of more edges mask a grid by their crossings with its latitudes, found once per label.
+SCANNED_EDGES = 16
 
 #: The geometric tests a feature table can be filtered by.
 PREDICATES = ("almost_equals", "contains", "crosses", "disjoint", "intersects", "touches", "within")
@@ -59,6 +61,40 @@ def inside_rings(x: Column, y: Column, rings: tuple[Ring, ...]) -> Column:
     return count % 2 == 1
 
 
+def ring_crossings(labels: DataFrame, name: str, rings: tuple[Ring, ...],
+                   offsets: dict[str, Column]) -> DataFrame:
+    """(label, one array per offset): where the line of constant y at each label crosses the rings.
+
+    ``offsets`` are y expressions by name. Edges are spread to bands of y about as high as an edge, so a
+    label meets the edges of its band only. A label whose lines cross nothing has no row.
+    """
+    edges = _edges(rings)
+    low = min(min(e[1], e[3]) for e in edges)
+    high = max(max(e[1], e[3]) for e in edges)
+    height = max(sum(abs(e[3] - e[1]) for e in edges) / len(edges), (high - low) / len(edges))
+
+    def band(y: Column) -> Column:
+        return F.floor((y - F.lit(low)) / F.lit(height)).cast("bigint")
+
+    spark = labels.sparkSession
+    index = spark.createDataFrame(edges, "x0 double, y0 double, x1 double, y1 double").where("y0 <> y1")
+    index = index.withColumn("band", F.explode(F.sequence(band(F.least("y0", "y1")),
+                                                          band(F.greatest("y0", "y1")))))
+    lines = labels.select(name, F.explode(F.array(*(F.struct(F.lit(k).alias("side"), y.alias("y"))
+                                                    for k, y in offsets.items()))).alias("line"))
+    lines = lines.select(name, "line.*", band(F.col("line.y")).alias("band"))
+    y, x0, y0, x1, y1 = (F.col(c) for c in ("y", "x0", "y0", "x1", "y1"))
+    met = lines.join(index, "band").where((y >= F.least(y0, y1)) & (y < F.greatest(y0, y1)))
+    at = x0 + (y - y0) * (x1 - x0) / (y1 - y0)
+    return met.groupBy(name).agg(*(F.collect_list(F.when(F.col("side") == k, at)).alias(k)
+                                   for k in offsets))
+
+
+def right_of_odd(x: Column, crossings: Column) -> Column:
+    """Whether an odd number of crossings lies to the east of x; without any: False."""
+    return F.coalesce(F.size(F.filter(crossings, lambda c: x < c)) % 2 == 1, F.lit(False))
+
+
 def _on_edge(x: Column, y: Column, x0, y0, x1, y1) -> Column:
     turn = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
     return ((turn == 0) & (x >= F.least(x0, x1)) & (x <= F.greatest(x0, x1))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isograd import literals
-from isograd.functions.geo import crosses_antimeridian, inside_rings
+from isograd.functions.geo import (
+    SCANNED_EDGES,
+    crosses_antimeridian,
+    inside_rings,
+    right_of_odd,
+    ring_crossings,
+)
 from isograd.model import TEMPORAL, Cube, Part, ValidationError, literal
-from isograd.operators.axis import AxisInfo, axis_info, label_at
+from isograd.operators.axis import AxisInfo, axis_info, hint_small, label_at
+from isograd.session import checkpoint
 
 
 def subset_temporal(cube: Cube, time_range) -> Cube:
@@ -115,19 +123,38 @@ def subset_spatial(cube: Cube, region, mask: bool = True, keep_axis: bool = True
     if single:
         keep = inside_rings(F.col("lon"), F.col("lat"), ring)
         return inside.map(lambda p: p.where(keep), having=("lon", "lat"))
-    keep = any_corner_inside(info["lon"].step, info["lat"].step, ring)
+    if len(ring[0]) > SCANNED_EDGES:
+        table, keep = _scanned_corners(inside, info["lon"].step, info["lat"].step, ring)
+    else:
+        table, keep = None, any_corner_inside(info["lon"].step, info["lat"].step, ring)
 
     def masked(part: Part) -> Part:
+        if table is not None:
+            part = replace(part, df=part.df.join(table, "lat", "left"))
         return part.select({v: F.when(keep, F.col(v)) for v in part.variables})
 
     return inside.map(masked, having=("lon", "lat"), keep=cube.dims)
 
 
+def _corner(name: str, offset: float) -> Column:
+    return (F.col(name) + F.lit(offset)).cast("float").cast("double")
+
+
+def _scanned_corners(cube: Cube, dx: float, dy: float, ring) -> tuple[DataFrame, Column]:
+    """Crossings of the ring with the upper and lower sides of the pixels, by latitude, and the test.
+
+    The table is written, then broadcast if the crossings it holds are few enough, and joined else.
+    """
+    sides = {"__south": _corner("lat", -dy / 2), "__north": _corner("lat", dy / 2)}
+    table = checkpoint(ring_crossings(cube.axis("lat"), "lat", ring, sides))
+    held = table.agg(F.coalesce(F.sum(sum(F.size(k) for k in sides)), F.lit(0))).first()[0]
+    tests = [right_of_odd(_corner("lon", s * dx / 2), F.col(k)) for k in sides for s in (-1, 1)]
+    return hint_small(table, max(held, 1) * 16), reduce(Column.__or__, tests)
+
+
 def any_corner_inside(dx: float, dy: float, ring) -> Column:
     """Whether any of the pixel's four corners lies in the ring."""
-    lon, lat = F.col("lon"), F.col("lat")
-    tests = [inside_rings((lon + F.lit(sx * dx / 2)).cast("float").cast("double"),
-                          (lat + F.lit(sy * dy / 2)).cast("float").cast("double"), ring)
+    tests = [inside_rings(_corner("lon", sx * dx / 2), _corner("lat", sy * dy / 2), ring)
              for sx in (-1, 1) for sy in (-1, 1)]
     return tests[0] | tests[1] | tests[2] | tests[3]
 

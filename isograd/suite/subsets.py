@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from isograd.operators import select, subset
@@ -107,6 +109,40 @@ def polygon_bounds(spark, sf_dir):
     return subset.subset_spatial(cube_fine(spark, sf_dir), RING, mask=False).df
 
 
+def _star(n: int) -> list[tuple[float, float]]:
+    """A ring of n corners that goes in and out."""
+    turns = [2 * math.pi * k / n for k in range(n)]
+    far = [(40 + 14 * math.sin(7 * t) + 3 * math.sin(41 * t)) * (0.93 if k % 2 else 1)
+           for k, t in enumerate(turns)]
+    ring = [(round(-20 + 2.2 * r * math.cos(t), 3), round(5 + r * math.sin(t), 3))
+            for r, t in zip(far, turns)]
+    return [*ring, ring[0]]
+
+
+_LONG = _star(1000)
+_LONG_EDGES = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)"
+                        for (a, b), (c, d) in zip(_LONG, _LONG[1:]))
+_WEST, _EAST = min(x for x, _ in _LONG), max(x for x, _ in _LONG)
+_SOUTH, _NORTH = min(y for _, y in _LONG), max(y for _, y in _LONG)
+
+
+@case("p8_subset_polygon_long_ring", f"""WITH edges(x0, y0, x1, y1) AS (VALUES {_LONG_EDGES}),
+corners AS (SELECT DISTINCT lat, lon, CAST(CAST(lon + dx AS FLOAT) AS DOUBLE) AS x,
+  CAST(CAST(lat + dy AS FLOAT) AS DOUBLE) AS y
+  FROM cube_fine, (VALUES (-7.5::DOUBLE), (7.5::DOUBLE)) a(dx), (VALUES (-7.5::DOUBLE), (7.5::DOUBLE)) b(dy)),
+tested AS (SELECT lat, lon, x, y, count(*) % 2 = 1 AS hit FROM corners JOIN edges
+  ON (y0 <= y) <> (y1 <= y) AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) GROUP BY 1, 2, 3, 4),
+inner_cells AS (SELECT DISTINCT lat, lon FROM tested WHERE hit)
+SELECT time, lat, lon, CASE WHEN i.lat IS NOT NULL THEN price END AS price,
+  CASE WHEN i.lat IS NOT NULL THEN qty END AS qty
+FROM cube_fine c LEFT JOIN inner_cells i USING (lat, lon)
+WHERE lat BETWEEN {_SOUTH - 7.5} AND {_NORTH + 7.5} AND lon BETWEEN {_WEST - 7.5} AND {_EAST + 7.5}""",
+      ("cube_fine",))
+def long_polygon(spark, sf_dir):
+    ring = "POLYGON((" + ", ".join(f"{x} {y}" for x, y in _LONG) + "))"
+    return subset.subset_spatial(cube_fine(spark, sf_dir), ring).df
+
+
 @case("p9_antimeridian_polygon", """SELECT * FROM cube_fine
 WHERE lat BETWEEN -19.5 AND 19.5 AND (lon >= 162.5 OR lon <= -152.5)""", ("cube_fine",))
 def polygon_over_antimeridian(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isograd import Cube, ValidationError, literals
 from isograd.functions.geo import crosses_antimeridian
-from isograd.operators import select, subset
+from isograd.operators import axis, select, subset
 
 KITE = [(-33.3, -12.7), (4.4, 31.2), (52.6, 8.9), (17.1, -40.3)]
 DATELINE = [(171.2, -21.4), (-167.3, -19.8), (-168.9, 14.6), (172.5, 13.1)]
@@ -148,3 +148,22 @@ def test_sel_ties_go_up(make):
     assert select.sel(cube, indexers="lat=5", method="bfill").df.first().lat == 10
     with pytest.raises(ValidationError):
         select.sel(cube, indexers="lat=50", method="bfill").df.count()
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_rings_mask_as_short_ones_do(make, monkeypatch, broadcast):
+    """The crossings of a ring with the latitudes and the test of every edge give the same cells."""
+    lats, lons = np.arange(-39.5, 40), np.arange(-59.5, 60)
+    values = np.arange(lats.size * lons.size, dtype=float).reshape(1, lats.size, lons.size)
+    turns = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    far = 25 + 9 * np.sin(5 * turns) + np.where(np.arange(200) % 3, 2.0, -1.5)
+    ring = [(float(np.round(1.4 * r * np.cos(t), 2)), float(np.round(r * np.sin(t), 2)))
+            for r, t in zip(far, turns)] + [(0.5, 0.5)]  # a corner on a pixel corner
+    cells = {}
+    for limit in (16, 10_000):
+        monkeypatch.setattr(subset, "SCANNED_EDGES", limit)
+        monkeypatch.setattr(axis, "BROADCAST_ROWS", 1_000_000 if broadcast else 0)
+        out = subset.subset_spatial(make(lats, lons, [dt.datetime(2000, 1, 1)], first=values), ring)
+        cells[limit] = {(r.lat, r.lon): r.first for r in out.df.collect()}
+    assert cells[16] == cells[10_000]
+    assert 1000 < sum(v is not None for v in cells[16].values()) < len(cells[16])
