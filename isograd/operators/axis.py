@@ -1,8 +1,7 @@
 """Coordinate axes: sizes, steps, nearest labels and positions.
 
-One row per dimension reaches the driver: scalars, and the labels of axes up to ``KEPT_LABELS``
-long.  Longer axes stay DataFrames, broadcast only when their counted size is within
-``BROADCAST_ROWS``.
+The labels of axes up to ``KEPT_LABELS`` long reach the driver, and of longer ones a row per range.
+Longer axes stay DataFrames, broadcast only when their counted size is within ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
@@ -11,12 +10,13 @@ import datetime as dt
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isograd.model import NUMERIC, TEMPORAL, Cube, ValidationError, literal
+from isograd.session import checkpoint
 
 #: Largest counted number of rows, of up to 16 columns, of a table that is sent to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -148,32 +148,56 @@ def axis_info(cube: Cube, *dims: str) -> dict[str, AxisInfo]:
 
 
 def _scan_axes(cube: Cube, dims: list[str]) -> dict[str, AxisInfo]:
-    """The window holds the labels of one axis, never its cells, and streams through a sort."""
-    order = Window.partitionBy("dim").orderBy("label")
-    stepped = _labels(cube, dims).withColumn("next", F.lead("label").over(order)).withColumn(
-        "pos", F.row_number().over(order))
-    rows = stepped.groupBy("dim").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min("label").alias("first"), F.max("label").alias("last"),
-        F.max(F.when(F.col("pos") == 1, F.col("next"))).alias("second"),
-        F.min(F.col("next") - F.col("label")).alias("min_step"),
-        F.max(F.col("next") - F.col("label")).alias("max_step"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") <= KEPT_LABELS, F.col("label"))))
-        .alias("labels")).collect()
+    """Facts of axes: the driver gets the labels of short ones, and a row per range of long ones."""
+    heads = [_labels(cube, [d]).orderBy("label", "text").limit(KEPT_LABELS + 1) for d in dims]
+    labels: dict[str, list] = {d: [] for d in dims}
+    for row in reduce(DataFrame.unionByName, heads).collect():
+        labels[row.dim].append(row.label)
     found = {}
-    for row in rows:
-        temporal = isinstance(cube.dim_type(row.dim), TEMPORAL)
+    for dim in dims:
+        temporal = isinstance(cube.dim_type(dim), TEMPORAL)
+        shown = partial(_label, temporal=temporal)
+        if not labels[dim]:
+            found[dim] = AxisInfo("", 0, None, None, None, None, None, False)
+        elif len(labels[dim]) > KEPT_LABELS:
+            found[dim] = _scan_long(cube, dim, shown)
+        elif None in labels[dim]:
+            found[dim] = AxisInfo(dim, len(labels[dim]), None, None, None, None, None, temporal)
+        else:
+            found[dim] = AxisInfo.of(dim, map(shown, sorted(labels[dim])), temporal)
+    return found
+
 
-        def label(value):
-            if value is None or not temporal:
-                return value
-            return EPOCH + dt.timedelta(microseconds=int(value))
+def _label(value, temporal: bool):
+    return EPOCH + dt.timedelta(microseconds=int(value)) if temporal and value is not None else value
 
-        kept = tuple(map(label, row.labels)) if len(row.labels) == row.size else None
-        found[row.dim] = AxisInfo(row.dim, row.size, label(row.first), label(row.second),
-                                  label(row.last), row.min_step, row.max_step, temporal, kept)
-    empty = AxisInfo("", 0, None, None, None, None, None, False)
-    return {d: found.get(d, empty) for d in dims}
+
+def _in_ranges(labels: DataFrame, column: str) -> DataFrame:
+    """The labels dealt to ranges in order, with the number of the range (``__part``)."""
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return labels.repartitionByRange(n, column).withColumn("__part", F.spark_partition_id())
+
+
+def _scan_long(cube: Cube, dim: str, shown) -> AxisInfo:
+    """Facts of a long axis from its ranges: steps inside them, and from one to the next."""
+    inside = Window.partitionBy("__part").orderBy("label")
+    rows = _in_ranges(_labels(cube, [dim]), "label").withColumn(
+        "next", F.lead("label").over(inside)).withColumn("pos", F.row_number().over(inside))
+    step = F.col("next") - F.col("label")
+    parts = rows.groupBy("__part").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("first"), F.max("label").alias("last"),
+        F.max(F.when(F.col("pos") == 1, F.col("next"))).alias("second"),
+        F.min(step).alias("min_step"), F.max(step).alias("max_step")).orderBy("__part").collect()
+    size = sum(r.size for r in parts)
+    temporal = isinstance(cube.dim_type(dim), TEMPORAL)
+    parts = [r for r in parts if r.first is not None]
+    if not parts:
+        return AxisInfo(dim, size, None, None, None, None, None, temporal)
+    steps = [s for r in parts for s in (r.min_step, r.max_step) if s is not None]
+    steps += [b.first - a.last for a, b in zip(parts, parts[1:])]
+    second = parts[0].second if parts[0].second is not None else parts[1].first
+    return AxisInfo(dim, size, shown(parts[0].first), shown(second), shown(parts[-1].last), min(steps),
+                    max(steps), temporal)
 
 
 def find_dim(cube: Cube, names: Iterable[str]) -> str | None:
@@ -248,14 +272,15 @@ def label_at(cube: Cube, dim: str, position: int):
     info = cube.known.get(dim)
     if info is not None and info.labels is not None:
         return info.labels[position] if position < info.size else None
-    row = cube.axis(dim).orderBy(dim).offset(position).limit(1).first()
-    return row[0] if row else None
+    row = positions(cube, dim, "__at").where(F.col("__at") == position).first()
+    return row[dim] if row else None
 
 
 def positions(cube: Cube, dim: str, name: str) -> DataFrame:
     """(label, 0-based position) of one axis; labels at hand need no further scan.
 
-    Otherwise the sort sees the labels of the axis only, never cells.
+    Otherwise the labels are dealt to ranges, written once, numbered inside each range and moved on by
+    the sizes of the ranges before.
     """
     info = cube.known.get(dim)
     if info is not None and info.labels is not None:
@@ -265,8 +290,15 @@ def positions(cube: Cube, dim: str, name: str) -> DataFrame:
         return cube.parts[0].df.sparkSession.range(0, 1, 1, 1).select(
             F.posexplode(labels).alias("__pos", dim)).select(
             dim, F.col("__pos").cast("bigint").alias(name))
-    order = Window.orderBy(dim)
-    return cube.axis(dim).withColumn(name, (F.row_number().over(order) - 1).cast("bigint"))
+    ranged = checkpoint(_in_ranges(cube.axis(dim), dim))
+    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    before = [0]
+    for part in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(part, 0))
+    earlier = F.expr(f"array({', '.join(f'{n}L' for n in before)})")  # a number per range
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(dim)) - 1
+    return ranged.select(dim, "__part", inside.alias("__in")).select(
+        dim, (F.get(earlier, F.col("__part")) + F.col("__in")).cast("bigint").alias(name))
 
 
 def _constant_labels(info: AxisInfo, kind: str) -> Column:

@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from isograd import Cube
 from isograd.functions import quantile
 from isograd.functions.quantile import quantiles
 from isograd.operators import aggregate, anomaly, arithmetic, axis, regrid, select, stats, subset
 from isograd.operators.fill import fillna, in_ranges
+from isograd.sources import cubes
 
 TIMES = [dt.datetime(2000 + i // 12, i % 12 + 1, 1) for i in range(24)]
 
@@ -114,6 +116,44 @@ def test_fill_of_a_wide_table(spark, partitions, keys):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_an_axis_of_ten_million_labels(spark):
+    """Facts and positions without a task that sees all labels."""
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).selectExpr(
+        "CAST(id * 3 + id % 2 + CASE WHEN id > 7000000 THEN 11 ELSE 0 END AS double) AS x", "id AS v")
+    cube = Cube.of(df, ["x"])
+    info = axis.axis_info(cube, "x")["x"]
+    last = (n - 1) * 3.0 + 1 + 11
+    assert (info.size, info.first, info.second, info.last) == (n, 0.0, 4.0, last)
+    assert (info.min_step, info.max_step, info.labels) == (2.0, 15.0, None)
+    assert not info.equidistant()
+    numbered = axis.positions(cube, "x", "at")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan
+    off = numbered.join(df, "x").where("at <> v")
+    assert numbered.count() == n and off.count() == 0
+    assert axis.label_at(cube, "x", 7_000_002) == 7_000_002 * 3 + 11
+    assert axis.label_at(cube, "x", n) is None
+    row = {r.dim: r for r in cubes.describe(cube).collect()}["x"]
+    assert (row.size, row.first, row.last, row.step) == (n, "0.0", str(last), 4.0)
+
+
+@pytest.mark.parametrize("kept", [4096, 3])
+def test_short_and_long_axes_have_the_same_facts(make, spark, monkeypatch, kept):
+    whole = make([-10, 10, 31], [0, 1, 2, 3, 7], TIMES, first=1.0)
+    known = {d: axis.axis_info(whole, d)[d] for d in ("lat", "lon", "time")}
+    monkeypatch.setattr(axis, "KEPT_LABELS", kept)
+    again = make([-10, 10, 31], [0, 1, 2, 3, 7], TIMES, first=1.0)
+    for d, a in known.items():
+        b = axis.axis_info(again, d)[d]
+        assert (a.size, a.first, a.second, a.last, a.min_step, a.max_step, a.temporal) == (
+            b.size, b.first, b.second, b.last, b.min_step, b.max_step, b.temporal)
+    names = Cube.of(spark.createDataFrame([(k, 1) for k in "abcde"], "name string, v int"), ["name"])
+    info = axis.axis_info(names, "name")["name"]
+    assert (info.size, info.first, info.labels) == (5, None, None)
+    assert axis.label_at(names, "name", 3) == "d"
+
+
 def test_quantiles_keep_every_group(spark):
     """NULL keys, groups without values and infinities are the same on both ways."""
     inf = float("inf")
