@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isograd.functions.relate import ALMOST, relation
 from isograd.literals import Ring, Shape, geometry, signed_area
 from isograd.model import ValidationError
 
@@ -21,8 +22,6 @@ SCANNED_EDGES = 16
 
 #: The geometric tests a feature table can be filtered by.
 PREDICATES = ("almost_equals", "contains", "crosses", "disjoint", "intersects", "touches", "within")
-#: Fixed value: distance up to which two points are almost equal.
-ALMOST = 0.5e-6
 
 
 def _edges(rings: tuple[Ring, ...]) -> list[tuple[float, float, float, float]]:
@@ -162,70 +161,12 @@ def _point_against_polygon(name: str, x: Column, y: Column, shape: Shape) -> Col
     return tests.get(name, F.lit(False))
 
 
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
-    """Positive if c lies to the left of the line from a to b."""
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-
-
-def _cross_properly(s: Column, e: Column) -> Column:
-    """Whether two segments cross at a point inside both."""
-    one = _turn(s.x0, s.y0, s.x1, s.y1, e.x0, e.y0) * _turn(s.x0, s.y0, s.x1, s.y1, e.x1, e.y1)
-    two = _turn(e.x0, e.y0, e.x1, e.y1, s.x0, s.y0) * _turn(e.x0, e.y0, e.x1, e.y1, s.x1, s.y1)
-    return (one < 0) & (two < 0)
-
-
-def _segments(shape: Column) -> Column:
-    """All edges of a geometry column's runs; a run of one vertex has none."""
-    def edges(run: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.size(run) - 2)
-        return F.when(F.size(run) > 1, F.transform(steps, lambda i: F.struct(
-            F.get(run, i).x.alias("x0"), F.get(run, i).y.alias("y0"),
-            F.get(run, i + 1).x.alias("x1"), F.get(run, i + 1).y.alias("y1"))))
-
-    return F.flatten(F.filter(F.transform(shape["coords"], edges), lambda e: e.isNotNull()))
-
-
 def shape_predicate(name: str, shape: Column, region) -> Column:
-    """A test of line, polygon and multi-part features against a literal polygon; no geometry: False.
-
-    ``intersects``, ``disjoint`` and ``within`` are built. Other tests, and tests against points and
-    lines, fail the query when they meet such a feature.
-    """
+    """A test of line, polygon and multi-part features against a literal geometry; no geometry: False."""
     if name not in PREDICATES:
         raise ValidationError(f'unknown geometric test "{name}"')
     literal = geometry(region)
-    if literal is None:
-        return F.lit(False)
-    if literal.kind != "POLYGON" or name not in ("intersects", "disjoint", "within"):
-        return F.raise_error(F.lit(f"{name} with a {literal.kind} is not built for line and polygon "
-                                   "features")).cast("boolean")
-    vertices, segments = F.flatten(shape["coords"]), _segments(shape)
-    area = shape["type"].isin("Polygon", "MultiPolygon")
-    border = _edge_array(_edges(literal.rings))
-
-    def covered(x: Column, y: Column) -> Column:
-        return F.coalesce(_point_against_polygon("intersects", x, y, literal), F.lit(False))
-
-    def in_feature(x: float, y: float) -> Column:
-        hits = F.aggregate(segments, F.lit(0), lambda n, s: n + F.coalesce(
-            _crossing(F.lit(float(x)), F.lit(float(y)), s.x0, s.y0, s.x1, s.y1).cast("int"),
-            F.lit(0)))
-        return area & (hits % 2 == 1)
-
-    crossing = F.exists(segments, lambda s: F.exists(border, lambda e: _cross_properly(s, e)))
-    if name == "within":
-        middles = F.forall(segments, lambda s: covered((s.x0 + s.x1) / 2, (s.y0 + s.y1) / 2))
-        holes = [in_feature(*ring[0]) for ring in literal.rings[1:]]
-        test = (F.forall(vertices, lambda p: covered(p.x, p.y)) & ~crossing & middles
-                & ~reduce(Column.__or__, holes, F.lit(False)) & (F.size(vertices) > 0))
-    else:
-        touched = F.exists(segments, lambda s: F.exists(
-            border, lambda e: _on_edge(e.x0, e.y0, s.x0, s.y0, s.x1, s.y1)))
-        test = (F.exists(vertices, lambda p: covered(p.x, p.y)) | crossing | touched
-                | in_feature(*literal.rings[0][0]))
-        if name == "disjoint":
-            test = ~test
-    return F.coalesce(test, F.lit(False))
+    return F.lit(False) if literal is None else relation(name, shape, literal)
 
 
 def great_circle_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

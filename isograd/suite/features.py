@@ -59,6 +59,52 @@ def _predicates(df: DataFrame, region) -> DataFrame:
                              for p in PREDICATES))
 
 
+# boxes and axis-parallel lines on whole numbers, many of which share corners and sides with the region
+_BOXES = """boxes AS (SELECT id, id % 3 AS kind, CAST(id * 7 % 17 - 9 AS DOUBLE) AS x0,
+    CAST(id * 5 % 13 - 7 AS DOUBLE) AS y0,
+    CAST(id * 7 % 17 - 9 AS DOUBLE) + CASE WHEN id % 3 = 1 THEN 0 ELSE 1 + id // 7 % 9 END AS x1,
+    CAST(id * 5 % 13 - 7 AS DOUBLE) + CASE WHEN id % 3 = 2 THEN 0 ELSE 1 + id // 11 % 7 END AS y1
+  FROM points),
+met AS (SELECT *, x0 <= 5 AND x1 >= -4 AND y0 <= 4 AND y1 >= -3 AS closed,
+    CASE kind WHEN 0 THEN x0 < 5 AND x1 > -4 AND y0 < 4 AND y1 > -3
+      WHEN 1 THEN x0 > -4 AND x0 < 5 AND y0 < 4 AND y1 > -3
+      ELSE y0 > -3 AND y0 < 4 AND x0 < 5 AND x1 > -4 END AS inner_meets,
+    x0 >= -4 AND x1 <= 5 AND y0 >= -3 AND y1 <= 4 AS covered FROM boxes)"""
+_BOX = "-4, -3, 5, 4"
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    """Boxes, upright and level lines, a third each."""
+    key = F.col("id")
+    x, y = (key * 7 % 17 - 9).cast("double"), (key * 5 % 13 - 7).cast("double")
+    wide = F.when(key % 3 == 1, 0.0).otherwise((1 + F.expr("id div 7") % 9).cast("double"))
+    high = F.when(key % 3 == 2, 0.0).otherwise((1 + F.expr("id div 11") % 7).cast("double"))
+
+    def at(dx, dy):
+        return F.struct((x + wide * dx).alias("x"), (y + high * dy).alias("y"))
+
+    ring = F.array(at(1, 0), at(1, 1), at(0, 1), at(0, 0), at(1, 0))
+    return points(spark, sf_dir).select("id", F.struct(
+        F.when(key % 3 == 0, "Polygon").otherwise("LineString").alias("type"),
+        F.array(F.when(key % 3 == 0, ring).otherwise(F.array(at(0, 0), at(1, 1)))).alias("coords")
+    ).alias("geometry"))
+
+
+def _shape_case(name: str, sql: str, region: str = _BOX) -> None:
+    @case(f"p11_{name}_shapes", f"WITH {_BOXES} SELECT id FROM met WHERE {sql}", POINTS)
+    def tested(spark, sf_dir):
+        return features.data_frame_query(boxes(spark, sf_dir), f"@{name}('{region}')").select("id")
+
+
+_shape_case("intersects", "closed")
+_shape_case("disjoint", "NOT closed")
+_shape_case("touches", "closed AND NOT inner_meets")
+_shape_case("within", "covered AND inner_meets")
+_shape_case("crosses", "kind <> 0 AND inner_meets AND NOT covered")
+_shape_case("contains", "kind = 0 AND x0 <= -2 AND x1 >= 0 AND y0 <= 1 AND y1 >= 2", "-2, 1, 0, 2")
+_shape_case("almost_equals", "kind = 0 AND x0 = -9 AND x1 = -8 AND y0 = -7 AND y1 = -6", "-9, -7, -8, -6")
+
+
 @case("p12_subset", f"SELECT lon, lat, id, value FROM points WHERE {_RING}", POINTS)
 def subset(spark, sf_dir):
     return features.data_frame_subset(points(spark, sf_dir), region=RING, var_names="id, value")
