@@ -228,6 +228,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def meetings(named: DataFrame) -> DataFrame:
+    """(band, x, y, doc_id, label, own): groups in which members of different labels of a band meet.
+
+    The members of a band's most frequent label are dealt to blocks of their own, which meet the blocks
+    of the others but not each other. So a few strangers in a band of one component are sent to its blocks,
+    and its own members once to each block of strangers.
+    """
+    counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = written(counts.groupBy("band").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"),
+        F.sum("n").alias("n")).where("n > most AND n > 2").select(
+        "band", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("few"),
+        F.ceil(F.col("most") / BLOCK).cast("int").alias("many")), "open-bands")
+    main, key = F.col("label") == F.col("main"), F.xxhash64("doc_id")
+    own = F.when(main, F.col("few") + F.pmod(key, "many")).otherwise(F.pmod(key, "few")).cast("int")
+    last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    return (named.join(mixed, "band").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+                    "doc_id", "label", "own"))
+
+
 def across(docs: DataFrame, bands: DataFrame, labels: DataFrame, classes: DataFrame,
            rule: Similar) -> DataFrame:
     """(a, b) pairs of one band but different components that may be similar enough.
@@ -238,16 +260,7 @@ def across(docs: DataFrame, bands: DataFrame, labels: DataFrame, classes: DataFr
     """
     named = (bands.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
              .select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    named = written(named, "named-bands")
-    mixed = written(named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m"),
-                                              F.count(F.lit(1)).alias("n")).where("l < m and n > 2")
-                    .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "open-bands")
-    rows = (named.join(mixed, "band")
-            .withColumn("own", F.pmod(F.xxhash64("doc_id"), "g").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                    "doc_id", "label", "own"))
-    rows = written(rows, "open-rows")
+    rows = written(meetings(written(named, "named-bands")), "open-rows")
     rows = (rows.join(classes.select("doc_id", "signature"), "doc_id")
             .join(written(full_sets(docs, rows, rule, short=True), "short-sets"), "doc_id")
             .select("band", "x", "y", "doc_id", "label", "own", "signature", "set"))

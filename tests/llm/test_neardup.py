@@ -1,8 +1,10 @@
 import random
 
-from isograd.llm.neardup import Similar, likely, near_duplicates, sets_of
 import numpy as np
 
+from isograd.llm import neardup
+from isograd.llm.neardup import Similar, likely, near_duplicates, sets_of
+
 from tests.llm.conftest import prose
 
 
@@ -84,3 +86,34 @@ def test_pruning_keeps_similar_and_drops_others(docs_of):
     left = np.stack([found[1], found[1]])
     right = np.stack([found[2], found[3]])
     assert likely(left, right, rule).tolist() == [0]
+
+
+def test_strangers_in_a_large_band(spark):
+    """A band of one component and a few others: its members are not sent once per block of themselves."""
+    named = spark.range(50_010).selectExpr(
+        "CAST(7 AS long) AS band", "id AS doc_id", "IF(id < 50000, 0L, id) AS label")
+    rows = neardup.meetings(named)
+    assert rows.count() < 3 * 50_000
+    largest = rows.groupBy("band", "x", "y").count().agg({"count": "max"}).first()[0]
+    assert largest <= 2 * neardup.BLOCK
+
+
+def test_different_labels_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(2)
+    members = [(band, doc, rng.choice([1, 1, 1, 2, 3, doc])) for band in range(12)
+               for doc in rng.sample(range(1000), rng.choice([1, 2, 3, 9, 30]))]
+    named = spark.createDataFrame(members, "band long, doc_id long, label long")
+    met = {}
+    for r in neardup.meetings(named).collect():
+        met.setdefault((r.band, r.x, r.y), []).append(r)
+    got = []
+    for (band, x, y), group in met.items():
+        for a in group:
+            for b in group:
+                if a.own == x and b.own == y and a.label != b.label and (x != y or a.doc_id < b.doc_id):
+                    got.append((band, *sorted((a.doc_id, b.doc_id))))
+    size = {band: sum(m[0] == band for m in members) for band in range(12)}
+    want = [(a[0], a[1], b[1]) for a in members for b in members
+            if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and size[a[0]] > 2]
+    assert sorted(got) == sorted(want)
