@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from isograd.model import ValidationError
 from isograd.operators.geometry import collected, point_geometry
 from isograd.operators.select import select_var
 from isograd.operators.subset import subset_temporal
@@ -30,9 +31,33 @@ def opened(spark, sf_dir):
                               "1996-03-01, 1997-02-28", "-60, -10, 30, 20", "price").df
 
 
-@case("s2_find_data_store", """SELECT n_name AS data_id, count(DISTINCT r_name) AS stores
-FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+@case("s2_find_data_store", """SELECT s.r_name AS store_id, 'c' || c_custkey AS data_id,
+  's3://' || s.r_name || '/' || min(n_name) AS path
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region s ON n_regionkey = r_regionkey
+WHERE c_custkey IN (SELECT max(c_custkey) FROM customer) GROUP BY 1, 2""")
 def stores(spark, sf_dir):
+    """The entry of the last customer; an id that several stores hold is an error."""
+    catalog = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("store_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("data_id"),
+        F.concat(F.lit("s3://"), "r_name", F.lit("/"), "n_name").alias("path"),
+        F.col("n_name").alias("nation"))
+    last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+    entry = cubes.find_data_store(catalog, f"c{last}")
+    nations = catalog.select("store_id", F.col("nation").alias("data_id"), "path").distinct()
+    twice = nations.union(nations.select(F.lit("other"), "data_id", "path"))
+    try:
+        cubes.find_data_store(twice, nations.first().data_id)
+    except ValidationError:
+        return spark.createDataFrame([(entry["store_id"], f"c{last}", entry["path"])],
+                                     "store_id string, data_id string, path string")
+    raise AssertionError("an id in two stores was found")
+
+
+@case("s2_store_counts", """SELECT n_name AS data_id, count(DISTINCT r_name) AS stores
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def store_counts(spark, sf_dir):
     catalog = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("r_name").alias("store_id"), F.col("n_name").alias("data_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from isograd.model import Cube
 from isograd.operators import aggregate, fill, stats, tables
 from isograd.plans.views import cube_coarse, cube_fine, series, table
 from isograd.plans.workflows import regional_correlation
@@ -29,12 +30,33 @@ p AS (SELECT lat, lon, CASE WHEN s = 1 THEN NULL WHEN d % 2 = 1
   FROM tail)"""
 
 
-@case("c1_correlation_scalar", """SELECT round(corr(price, qty), 9) AS corr_coef FROM cube_coarse""",
+_PAIR_P_SQL = P_SQL.replace("SELECT (SELECT count(DISTINCT time) FROM cube_coarse) - 2 AS d",
+                            "SELECT count(*) - 2 AS d FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL")
+
+
+@case("c1_correlation_scalar", f"""WITH pairs AS (SELECT 0 AS lat, 0 AS lon, price AS x, qty AS y
+  FROM cube_coarse), {R_SQL}, {_PAIR_P_SQL}
+SELECT round(corr_coef, 9) AS corr_coef, round(p_value, 8) AS p_value FROM r LEFT JOIN p USING (lat, lon)""",
       COARSE)
 def scalar(spark, sf_dir):
     cube = cube_coarse(spark, sf_dir)
     out = stats.pearson_correlation_scalar(cube, cube, "price", "qty")
-    return rounded(out.select("corr_coef"), 9, "corr_coef")
+    return rounded(rounded(out, 9, "corr_coef"), 8, "p_value")
+
+
+@case("c1_correlation_weak", f"""WITH pairs AS (SELECT 0 AS lat, 0 AS lon, price AS x,
+    CAST((year(time) * 37 + month(time) * 11 + lat + 3 * lon) AS BIGINT) % 101 AS y
+  FROM cube_coarse WHERE lat > 0 AND lon > 100), {R_SQL}, {_PAIR_P_SQL}
+SELECT round(corr_coef, 9) AS corr_coef, round(p_value, 8) AS p_value FROM r LEFT JOIN p USING (lat, lon)""",
+      COARSE)
+def weak_scalar(spark, sf_dir):
+    """Hardly correlated values of a few cells, whose p-value is far from 0."""
+    cells = cube_coarse(spark, sf_dir).df.where("lat > 0 AND lon > 100").withColumn(
+        "other", F.expr("CAST(year(time) * 37 + month(time) * 11 + lat + 3 * lon AS bigint) % 101").cast(
+            "double"))
+    cube = Cube.of(cells, ["time", "lat", "lon"], ["price", "other"])
+    out = stats.pearson_correlation_scalar(cube, cube, "price", "other")
+    return rounded(rounded(out, 9, "corr_coef"), 8, "p_value")
 
 
 @case("c2_correlation_map", f"""WITH pairs AS (SELECT lat, lon, price AS x, qty AS y

@@ -116,23 +116,47 @@ def test_statistics(make):
 GLOBE = GeoExtent(-180, -90, 180, 90, inv_y=True)
 
 
-@pytest.mark.parametrize("size, tile, extent, expected", [
-    ((1440, 720), 500, GLOBE, (2, 2, 1, 360, 360)), ((7200, 3600), 500, GLOBE, (4, 2, 1, 450, 450)),
-    ((720, 360), 500, GLOBE, (1, 2, 1, 360, 360)), ((8640, 4320), 500, GLOBE, (4, 2, 1, 540, 540)),
-    ((129600, 64800), 500, GLOBE, (6, 6, 3, 675, 675)),
-    ((52, 36), 500, GeoExtent(72, 8, 85, 17), (1, 1, 1, 52, 36)),
-    ((4012, 3009), 500, GeoExtent(-20, 10, 60, 70, True), (2, 3, 5, 669, 301)),
-    ((4000, 3000), 500, GeoExtent(170, 10, -160, 70, True), (4, 1, 1, 500, 375)),
-    ((50, 25), 5, GeoExtent(0, 77.5, 25, 90, True), (2, 5, 2, 5, 7)),
+def growths(size, tile):
+    """By how much an axis may grow, over all subdivisions that could be taken."""
+    found = {0} if size == tile else set()
+    for edge in range(min(size, tile // 2) or 1, min(size, 2 * tile) + 1):
+        for tiles in range(1, 8):
+            found |= {edge * tiles * 2 ** k - size for k in range(1, 15)
+                      if 0 <= edge * tiles * 2 ** k - size < edge}
+    return found or {0}
+
+
+REGIONAL = GeoExtent(-11, 33, 29, 61, True)
+
+
+@pytest.mark.parametrize("size, tile, extent", [
+    ((2160, 1080), 310, GLOBE), ((640, 384), 150, GLOBE), ((50400, 25200), 480, GLOBE), ((96, 48), 48, GLOBE),
+    ((941, 673), 128, REGIONAL), ((77, 31), 6, REGIONAL), ((40, 28), 333, REGIONAL),
+    ((1301, 977), 211, GeoExtent(165, -20, -150, 25, True)),
 ])
-def test_tiling(size, tile, extent, expected):
+def test_tiling(size, tile, extent):
     out = pyramid.tiling_scheme(*size, extent, tile, tile)
-    assert (out.levels, out.tiles_x, out.tiles_y, out.tile_width, out.tile_height) == expected
+    full = [tiles * edge * 2 ** (out.levels - 1) for tiles, edge in (
+        (out.tiles_x, out.tile_width), (out.tiles_y, out.tile_height))]
+    assert out.levels >= 1 and all(f >= n for f, n in zip(full, size))  # the tiles cover the image
+    grown = [f - n for f, n in zip(full, size)]
+    if extent is GLOBE:
+        assert grown[0] == 0 and (out.extent.west, out.extent.east) == (-180, 180)
+    else:
+        assert grown[0] <= min(growths(size[0], min(tile, size[0])))
+    assert grown[1] <= min(growths(size[1], min(tile, size[1])))
+    assert out.tile_width <= 2 * tile and out.tile_height <= 2 * tile
+    # pixels keep their size; an axis grows at its far end
+    high = (extent.north - extent.south) / size[1]
+    assert out.extent.north == extent.north
+    assert out.extent.south == pytest.approx(extent.north - full[1] * high)
+    wide = (extent.east - extent.west) % 360 or 360
+    assert ((out.extent.east - out.extent.west) % 360 or 360) == pytest.approx(full[0] * wide / size[0])
 
 
 def test_tiling_may_not_leave_the_globe():
     with pytest.raises(ValueError):
-        pyramid.tiling_scheme(50, 25, GeoExtent(0, 77.5, 25, 90), 5, 5)
+        pyramid.tiling_scheme(77, 31, GeoExtent(-11, 59, 29, 90), 6, 6)
 
 
 def test_pyramid(make):
