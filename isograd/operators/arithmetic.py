@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
+from math import prod
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -254,6 +255,10 @@ def merge(*cubes: Cube | None, join: str = "outer", compat: str = "no_conflicts"
 
     Variables of the same name must agree as ``compat`` says.  The check is part of the plan and
     fails the query that meets a conflict, so that no extra pass over the data is needed.
+
+    With ``broadcast_equals`` a variable may have fewer dimensions in one cube than in another, all of
+    them among the other's; its values must then be those of every cell along the others, which is checked
+    at once. The variable of more dimensions stays.
     """
     if join not in JOINS or compat not in COMPATS:
         raise ValidationError(f"unknown join '{join}' or compat '{compat}'")
@@ -275,6 +280,8 @@ def merge(*cubes: Cube | None, join: str = "outer", compat: str = "no_conflicts"
         for part in cube.parts:
             key = tuple(sorted(part.dims))
             merged[key] = _combine(merged[key], part, compat) if key in merged else part
+    if compat == "broadcast_equals":
+        merged = _broadcast(merged)
     _one_home(merged)
     out = distinct[0]
     attrs = reduce(lambda a, c: {**c.attrs, **a}, distinct, {})
@@ -282,6 +289,34 @@ def merge(*cubes: Cube | None, join: str = "outer", compat: str = "no_conflicts"
         "merge", join=join, compat=compat)
 
 
+def _broadcast(merged: dict[tuple[str, ...], Part]) -> dict[tuple[str, ...], Part]:
+    """The parts with each variable in the part of most dimensions only, after comparing the others."""
+    parts = sorted(merged.values(), key=lambda p: len(p.dims))
+    for i, small in enumerate(parts):
+        for name in small.variables:
+            large = next((p for p in reversed(parts[i + 1:]) if name in p.variables
+                          and set(small.dims) < set(p.dims)), None)
+            if large is None:
+                continue
+            extra = [d for d in large.dims if d not in small.dims]
+            sizes = axis_info(Cube(tuple(p for p in parts if set(extra) & set(p.dims))), *extra)
+            _check_broadcast(small, large, name, prod(sizes[d].size for d in extra))
+            parts[i] = parts[i].select(variables=[v for v in parts[i].variables if v != name])
+    return {tuple(sorted(p.dims)): p for p in parts if p.variables}
+
+
+def _check_broadcast(small: Part, large: Part, name: str, cells: int) -> None:
+    """Fail unless all cells of the larger part that belong to a cell of the smaller have its value."""
+    value, own = F.col(name), F.col("__own")
+    over = large.df.groupBy(*small.dims).agg(
+        F.min(value).alias("__low"), F.max(value).alias("__high"), F.count(value).alias("__n"))
+    both = over.join(small.df.select(*small.dims, value.alias("__own")), list(small.dims), "full_outer")
+    same = F.when(own.isNull(), F.coalesce(F.col("__n"), F.lit(0)) == 0).otherwise(
+        (F.col("__low") == own) & (F.col("__high") == own) & (F.col("__n") == cells))
+    if both.where(~F.coalesce(same, F.lit(False))).limit(1).count():
+        raise ValidationError(f"conflicting values of variable {name}")
+
+
 def _one_home(merged: dict) -> None:
     seen: set[str] = set()
     for part in merged.values():

@@ -167,6 +167,17 @@ def merge_exact(spark, sf_dir):
     return arithmetic.merge(cube, more, cube, join="exact", compat="equals").df
 
 
+@case("m7_merge_broadcast_equals", """SELECT lat, lon, floor(lat / 45) AS zone, max(qty) AS top
+FROM cube_coarse GROUP BY 1, 2""", COARSE)
+def merge_broadcast(spark, sf_dir):
+    """A zone per latitude in one cube, per cell in the other."""
+    cells = cube_coarse(spark, sf_dir).df.groupBy("lat", "lon").agg(F.max("qty").alias("top")).withColumn(
+        "zone", F.floor(F.col("lat") / 45).cast("double"))
+    wide = Cube.of(cells, ["lat", "lon"], ["top", "zone"])
+    narrow = Cube.of(cells.select("lat", "zone").distinct(), ["lat"])
+    return arithmetic.merge(narrow, wide, compat="broadcast_equals").df
+
+
 @case("m8_anomaly_external", f"""WITH {CLIMATE}
 SELECT c.time, lat, lon, c.price - clim.price AS price, c.qty - clim.qty AS qty
 FROM cube_coarse c JOIN clim USING (lat, lon) WHERE month(c.time) = clim.m""", COARSE)

@@ -176,3 +176,31 @@ def test_anomaly_internal(make):
     assert sum(r["first"] for r in anomaly.anomaly_internal(cube).df.collect()) == 0
     out = anomaly.anomaly_internal(cube, "2000-01-01, 2000-03-01", "-10, -10, 10, 10")
     assert out.df.where("time = timestamp_ntz'2000-02-01'").first()["first"] == 0
+
+
+def test_merge_of_variables_with_fewer_dims(spark):
+    """With broadcast_equals a variable per row may stand for a variable per cell, if all cells agree."""
+    cells = [(y, x, 10.0 * y) for y in range(3) for x in range(4)]
+    wide = Cube.of(spark.createDataFrame(cells, "y int, x int, v double"), ["y", "x"])
+
+    def narrow(values):
+        return Cube.of(spark.createDataFrame(values, "y int, v double, w int"), ["y"])
+
+    values = [(y, 10.0 * y, y) for y in range(3)]
+    for pair in ((wide, narrow(values)), (narrow(values), wide)):
+        out = arithmetic.merge(*pair, compat="broadcast_equals")
+        homes = {v: p.dims for p in out.parts for v in p.variables}
+        assert homes == {"v": ("y", "x"), "w": ("y",)}
+        assert out.part_of("v").df.count() == 12 and out.part_of("w").df.count() == 3
+    none = Cube.of(spark.createDataFrame([(y, x, v if y else None) for y, x, v in cells],
+                                         "y int, x int, v double"), ["y", "x"])
+    arithmetic.merge(none, narrow([(0, None, 0), *values[1:]]), compat="broadcast_equals")
+    sparse = Cube.of(wide.df.where("y <> 1 OR x <> 2"), ["y", "x"])
+    for bad, with_what in ((narrow([(0, 1.0, 0), *values[1:]]), wide), (narrow(values), none),
+                           (narrow(values), sparse), (narrow([*values, (7, 70.0, 7)]), wide)):
+        with pytest.raises(ValidationError, match="conflicting values"):
+            arithmetic.merge(bad, with_what, compat="broadcast_equals")
+    other = Cube.of(spark.createDataFrame([(1, 2.0)], "z int, v double"), ["z"])
+    for compat, pair in (("equals", (wide, narrow(values))), ("broadcast_equals", (wide, other))):
+        with pytest.raises(ValidationError, match="conflicting dimensions"):
+            arithmetic.merge(*pair, compat=compat)
