@@ -231,17 +231,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def meetings(named: DataFrame) -> DataFrame:
     """(band, x, y, doc_id, label, own): groups in which members of different labels of a band meet.
 
-    The members of a band's most frequent label are dealt to blocks of their own, which meet the blocks
-    of the others but not each other. So a few strangers in a band of one component are sent to its blocks,
-    and its own members once to each block of strangers.
+    A band of up to ``BLOCK`` members is one group. In larger ones the members of the most frequent label
+    are dealt to blocks of their own, which meet the blocks of the others but not each other. So a few
+    strangers in a band of one component are sent to its blocks, and its own members once to each block of
+    strangers.
     """
     counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = written(counts.groupBy("band").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"),
         F.sum("n").alias("n")).where("n > most AND n > 2").select(
-        "band", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("few"),
-        F.ceil(F.col("most") / BLOCK).cast("int").alias("many")), "open-bands")
-    main, key = F.col("label") == F.col("main"), F.xxhash64("doc_id")
+        "band", F.when(F.col("n") > BLOCK, F.col("main")).alias("main"),
+        F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.lit(1)).cast("int").alias("few"),
+        F.when(F.col("n") > BLOCK, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int").alias("many")),
+        "open-bands")
+    # small bands have no main label, and one block
+    main, key = F.coalesce(F.col("label") == F.col("main"), F.lit(False)), F.xxhash64("doc_id")
     own = F.when(main, F.col("few") + F.pmod(key, "many")).otherwise(F.pmod(key, "few")).cast("int")
     last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     return (named.join(mixed, "band").withColumn("own", own)
