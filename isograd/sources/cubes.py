@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,15 @@ def write_cube(cube: Cube, path: str, mode: str = "errorifexists") -> None:
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*layout, *order)
         rows.write.mode(mode).partitionBy(*layout).parquet(f"{path}/cells/{i}")
+    spark = cube.parts[0].df.sparkSession
+    # labels of the cells come from what was just written, not from the plan of the cells again
+    stored = [replace(p, df=spark.read.schema(p.df.select(*p.dims).schema).parquet(f"{path}/cells/{i}"))
+              for i, p in enumerate(cube.parts)]
+    written = replace(cube, parts=tuple(stored), known={})
     for dim in cube.dims:
-        cube.axis(dim).write.mode(mode).parquet(f"{path}/axes/{dim}")
+        written.axis(dim).write.mode(mode).parquet(f"{path}/axes/{dim}")
     info = {"parts": len(cube.parts), "attrs": cube.attrs,
             "var_attrs": cube.var_attrs, "dims": cube.dims}
-    spark = cube.parts[0].df.sparkSession
     text = json.dumps(info, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(
         f"{path}/attrs")

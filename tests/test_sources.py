@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -212,3 +213,23 @@ def test_documents_are_bounded(spark):
     sizes = [r.n for r in documents_of(lines).selectExpr(
         "size(split(value, 'properties')) - 1 AS n").collect()]
     assert len(sizes) == 12 and sum(sizes) == 25_000 and max(sizes) <= 2500
+
+
+def test_axes_come_from_the_written_cells(make, tmp_path, spark):
+    """The plan of the cells runs for the cells only, not once more per axis."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    cube = make([0, 1], [0, 1, 2], first=np.arange(6.0).reshape(2, 3))
+    part = cube.only_part
+    counted = replace(part, df=part.df.mapInArrow(count, part.df.schema))
+    cubes.write_cube(replace(cube, parts=(counted,), known={}), str(tmp_path / "c"))
+    runs = seen.value / 6
+    assert runs <= 2  # boundaries are sampled, then rows are written
+    again = cubes.read_cube(spark, str(tmp_path / "c"))
+    assert sorted(r.lon for r in again.axis("lon").collect()) == [0, 1, 2]
+    assert again.df.count() == 6
