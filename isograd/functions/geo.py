@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isograd import rings
 from isograd.functions.relate import ALMOST, relation
 from isograd.literals import Ring, Shape, geometry, signed_area
 from isograd.model import ValidationError
@@ -115,8 +116,8 @@ def point_predicate(name: str, x: Column, y: Column, region) -> Column:
     shape = geometry(region)
     if shape is None:
         return F.lit(False)
-    if shape.kind == "POINT":
-        test = _point_against_point(name, x, y, shape)
+    if shape.kind in ("POINT", "MULTIPOINT"):
+        test = _point_against_points(name, x, y, shape)
     elif shape.kind == "LINESTRING":
         test = _point_against_line(name, x, y, shape)
     else:
@@ -124,11 +125,15 @@ def point_predicate(name: str, x: Column, y: Column, region) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _point_against_point(name: str, x: Column, y: Column, shape: Shape) -> Column:
-    px, py = shape.rings[0][0]
-    same = (x == F.lit(px)) & (y == F.lit(py))
+def _point_against_points(name: str, x: Column, y: Column, shape: Shape) -> Column:
+    points = list(dict.fromkeys(shape.rings[0]))
+    if name in ("almost_equals", "contains") and len(points) > 1:
+        return F.lit(False)
     if name == "almost_equals":
+        px, py = points[0]
         return F.hypot(x - F.lit(px), y - F.lit(py)) <= F.lit(ALMOST)
+    same = F.struct(x.cast("double"), y.cast("double")).isin(
+        [F.struct(F.lit(float(px)), F.lit(float(py))) for px, py in points])
     if name == "disjoint":
         return ~same
     return F.lit(False) if name in ("crosses", "touches") else same
@@ -180,31 +185,18 @@ def great_circle_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column
     return F.degrees(F.atan2(F.sqrt(east * east + north * north), ahead))
 
 
-def _turns(ring: Ring):
-    for i, (a, b) in enumerate(zip(ring, ring[1:])):
-        for j, (c, d) in enumerate(zip(ring, ring[1:])):
-            if j > i + 1 and not (i == 0 and j == len(ring) - 2):
-                yield a, b, c, d
-
-
-def _is_simple(ring: Ring) -> bool:
-    """No two edges that are not neighbours cross."""
-    def side(p, q, r):
-        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-
-    return not any(side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
-                   for a, b, c, d in _turns(ring))
-
-
 def crosses_antimeridian(shape: Shape) -> bool:
-    """Whether the exterior ring is meant to run over the 180° meridian.
+    """Whether an exterior ring is meant to run over the 180° meridian.
 
-    The ring is read once more with western longitudes shifted by 360°.  If that ring is valid and
-    spans 180°, the smaller of the two areas is the intended one.
+    The ring is read once more with western longitudes shifted by 360°.  If it then spans 180°, is smaller
+    than the region as given and still valid, it is the intended one; a ring that the shift breaks runs
+    over Greenwich.
     """
-    ring = shape.rings[0]
+    return any(_smaller_shifted(ring, shape.area) for ring in shape.exteriors)
+
+
+def _smaller_shifted(ring: Ring, size: float) -> bool:
     shifted = tuple((x + 360.0 if -180.0 <= x < 0.0 else x, y) for x, y in ring)
-    if not _is_simple(shifted):
-        return False
     lons = [x for x, _ in shifted]
-    return min(lons) < 180 < max(lons) and abs(signed_area(shifted)) < abs(signed_area(ring))
+    return (min(lons) < 180 < max(lons) and abs(signed_area(shifted)) < size
+            and not rings.faults([shifted]))

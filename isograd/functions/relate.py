@@ -285,8 +285,36 @@ def _against_point(name: str, p: str, x: float, y: float) -> tuple[str, str, str
             _let(f"named_struct('on', {here}, 'ends', {_among(*at, f'{p}.ends')})", line), many)
 
 
+def _against_points(name: str, p: str) -> tuple[str, str, str]:
+    """A feature against the literal's points: their places in it tell, read the other way round."""
+    own, ends = f"{p}.segments", f"{p}.ends"
+
+    def turned(inside, on):
+        if name == "within":
+            return "false"
+        return _points_and("within" if name == "contains" else name, f"{p}.corners", inside, on)
+
+    def near(c):
+        return _on(f"{c}.x", f"{c}.y", own)
+
+    def end(c):
+        return _among(f"{c}.x", f"{c}.y", ends)
+
+    def equal(points):
+        return lambda v: _any(points, lambda q: f"{q}.x = {v}.x AND {q}.y = {v}.y")
+
+    if name == "contains":
+        many = _higher("forall", f"{p}.corners", equal(f"{p}.vertices"))
+    elif name == "crosses":
+        many = "false"
+    else:
+        many = _points_and(name, f"{p}.vertices", equal(f"{p}.corners"), lambda v: "false")
+    return (turned(lambda c: f"(NOT {near(c)} AND {_odd(f'{c}.x', f'{c}.y', own)})", near),
+            turned(lambda c: f"({near(c)} AND NOT {end(c)})", end), many)
+
+
 def relation(name: str, shape: Column, literal: Shape) -> Column:
-    """A geometric test of a geometry column's shapes against a literal point, line or polygon.
+    """A geometric test of a geometry column's shapes against literal points, a line, or polygons.
 
     A shape without vertices: False. Places within 1e-9 degrees of a border lie on it.
     """
@@ -301,7 +329,7 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
     def test(p):
         if name == "almost_equals":
             kinds = {"POINT": "'Point', 'MultiPoint'", "LINESTRING": "'LineString', 'MultiLineString'",
-                     "POLYGON": "'Polygon', 'MultiPolygon'"}[literal.kind]
+                     "POLYGON": "'Polygon', 'MultiPolygon'"}[literal.kind.removeprefix("MULTI")]
             close = _higher("forall", f"sequence(0, {len(listed) - 1})", lambda i: (
                 f"hypot({p}.vertices[{i}].x - {p}.corners[{i}].x, "
                 f"{p}.vertices[{i}].y - {p}.corners[{i}].y) <= {ALMOST!r}D"))
@@ -310,6 +338,8 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
         vertices, corners, stops = f"{p}.vertices", f"{p}.corners", f"{p}.stops"
         if literal.kind == "POINT":
             area, line, many = _against_point(name, p, *listed[0])
+        elif literal.kind == "MULTIPOINT":
+            area, line, many = _against_points(name, p)
         elif literal.kind == "LINESTRING":
             area = _line_and_area(name, border, own, corners, vertices, "contains")
             line = _line_and_line(name, own, border, vertices, f"{p}.ends", stops)

@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from isograd import rings as checks
 from isograd.model import ValidationError
 
 Ring = tuple[tuple[float, float], ...]
@@ -97,14 +98,16 @@ def dictionary(value: str | Mapping | None) -> dict | None:
 
 @dataclass(frozen=True)
 class Shape:
-    """A geometry literal: POINT, LINESTRING or POLYGON as a tuple of coordinate runs.
+    """A geometry literal: POINT, MULTIPOINT, LINESTRING, POLYGON or MULTIPOLYGON as coordinate runs.
 
-    ``box`` keeps the four numbers of a region that was spelled as explicit coordinates.
+    ``box`` keeps the four numbers of a region that was spelled as explicit coordinates. ``outer`` are the
+    places of the exterior rings; the holes of each follow it.
     """
 
     kind: str
     rings: tuple[Ring, ...]
     box: tuple[float, float, float, float] | None = None
+    outer: tuple[int, ...] = (0,)
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
@@ -112,6 +115,20 @@ class Shape:
         ys = [y for r in self.rings for _, y in r]
         return min(xs), min(ys), max(xs), max(ys)
 
+    @property
+    def is_area(self) -> bool:
+        return self.kind in ("POLYGON", "MULTIPOLYGON")
+
+    @property
+    def exteriors(self) -> tuple[Ring, ...]:
+        return tuple(self.rings[i] for i in self.outer)
+
+    @property
+    def area(self) -> float:
+        """Square degrees without the holes."""
+        sizes = [abs(signed_area(r)) for r in self.rings]
+        return 2 * sum(sizes[i] for i in self.outer) - sum(sizes)
+
     @property
     def is_box(self) -> bool:
         """Whether the shape is exactly its bounding box."""
@@ -129,24 +146,60 @@ class Shape:
     def wkt(self) -> str:
         def run(r: Ring) -> str:
             return "(" + ", ".join(f"{x:g} {y:g}" for x, y in r) + ")"
-        if self.kind == "POLYGON":
-            return "POLYGON (" + ", ".join(map(run, self.rings)) + ")"
+        if self.is_area:
+            parts = ["(" + ", ".join(map(run, self.rings[i:j])) + ")"
+                     for i, j in zip(self.outer, (*self.outer[1:], None))]
+            return f"{self.kind} " + (parts[0] if self.kind == "POLYGON" else "(" + ", ".join(parts) + ")")
         return f"{self.kind} {run(self.rings[0])}"
 
 
 def signed_area(ring: Ring) -> float:
-    return 0.5 * sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:]))
+    return checks.area(ring)
 
 
 def _closed(run: Ring) -> Ring:
     return run if run[0] == run[-1] else (*run, run[0])
 
 
-def _polygon(rings: Iterable[Ring], box=None) -> Shape:
-    rings = tuple(_closed(tuple(r)) for r in rings)
-    if not rings or len(rings[0]) < 4 or signed_area(rings[0]) == 0:
+def _area(polygons: list[list[Ring]], box=None) -> Shape:
+    """A POLYGON or, of several, a MULTIPOLYGON; its polygons are valid."""
+    outer, rings = [], []
+    for polygon in polygons:
+        outer.append(len(rings))
+        rings += polygon
+    return Shape("POLYGON" if len(outer) == 1 else "MULTIPOLYGON", tuple(rings), box, tuple(outer))
+
+
+def _healed(rings: Iterable[Ring]) -> list[list[Ring]]:
+    """The polygon as it stands if it is valid, else the valid polygons that make its inside."""
+    rings = [_closed(tuple(r)) for r in rings if r]
+    if not rings or len(rings[0]) < 4:
+        raise ValidationError("polygon is empty")
+    apart = not checks.faults(rings) and checks.area(rings[0])
+    if apart and len(rings) == 1:
+        return [rings]
+    try:
+        found = checks.healed(rings)
+    except ValueError as error:
+        raise ValidationError("polygon is invalid") from error
+    # holes that lie outside of the shell or in one another leave fewer rings
+    if apart and [len(rings)] == [len(p) for p in found]:
+        return [rings]
+    if not found:
         raise ValidationError("polygon is empty")
-    return Shape("POLYGON", rings, box)
+    return found
+
+
+def _union(polygons: list[list[Ring]]) -> Shape:
+    """The polygons as they stand if they are apart, else the valid ones that cover the same places."""
+    shape = _area(polygons)
+    found = checks.healed(list(shape.rings), shape.outer)
+    apart = not checks.faults(list(shape.rings)) and sum(map(len, found)) == len(shape.rings)
+    return shape if apart else _area(found)
+
+
+def _polygon(rings: Iterable[Ring], box=None) -> Shape:
+    return _area(_healed(rings), box)
 
 
 def _box(west: float, south: float, east: float, north: float) -> Shape:
@@ -157,29 +210,47 @@ def _box(west: float, south: float, east: float, north: float) -> Shape:
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
+def _run(text: str) -> Ring:
+    """The points of ``x y, x y``; heights are not read."""
+    pairs = [re.findall(_NUMBER, p) for p in text.split(",")]
+    if any(len(p) < 2 for p in pairs):
+        raise ValidationError(f"geometry expected, got {text!r}")
+    return tuple((float(p[0]), float(p[1])) for p in pairs)
+
+
+def _well_known(kind: str, body: str) -> Shape:
+    """A geometry from the text between its outermost brackets."""
+    if kind == "POLYGON":
+        return _polygon(map(_run, re.findall(r"\(([^()]*)\)", body)))
+    if kind == "MULTIPOLYGON":
+        parts = re.findall(r"\((\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*)\)", body)
+        if not parts:
+            raise ValidationError("polygon is empty")
+        return _union([p for part in parts for p in _healed(map(_run, re.findall(r"\(([^()]*)\)", part)))])
+    if kind == "MULTIPOINT":
+        body = re.sub(r"[()]", " ", body)
+    return Shape(kind, (_run(body),))
+
+
 def geometry(value) -> Shape | None:
-    """``"lon,lat"``, ``"lon1,lat1,lon2,lat2"``, WKT, a tuple of numbers or a list of points."""
+    """``"lon,lat"``, ``"lon1,lat1,lon2,lat2"``, WKT, a tuple of numbers or a list of points.
+
+    A polygon whose rings cross, touch or overlap is healed, and may become several; its outermost ring
+    counts in the direction it has at its highest vertex.
+    """
     if value is None or (isinstance(value, str) and not value.strip()):
         return None
     if isinstance(value, Shape):
         return value
     if isinstance(value, str):
         text = value.strip()
-        wkt = re.fullmatch(r"(POINT|LINESTRING|POLYGON)\s*\((.*)\)", text, re.I | re.S)
+        wkt = re.fullmatch(r"(MULTIPOINT|MULTIPOLYGON|POINT|LINESTRING|POLYGON)\s*\((.*)\)", text, re.I | re.S)
         if wkt is None:
             try:
                 return geometry(tuple(float(v) for v in text.split(",")))
             except ValueError as error:
                 raise ValidationError(f"geometry expected, got {value!r}") from error
-        kind, body = wkt.group(1).upper(), wkt.group(2)
-        runs = re.findall(r"\(([^()]*)\)", body) if kind == "POLYGON" else [body]
-        rings = []
-        for run in runs:
-            pairs = [re.findall(_NUMBER, p) for p in run.split(",")]
-            if any(len(p) < 2 for p in pairs):
-                raise ValidationError(f"geometry expected, got {value!r}")
-            rings.append(tuple((float(p[0]), float(p[1])) for p in pairs))
-        return _polygon(rings) if kind == "POLYGON" else Shape(kind, tuple(rings))
+        return _well_known(wkt.group(1).upper(), wkt.group(2))
     items = list(value)
     if len(items) == 2 and all(isinstance(v, (int, float)) for v in items):
         return Shape("POINT", (((float(items[0]), float(items[1])),),))
@@ -200,7 +271,8 @@ def point(value) -> tuple[float, float] | None:
 
 
 def polygon(value) -> Shape | None:
+    """A region; several polygons are one if they were given so, or if an invalid one falls apart."""
     shape = geometry(value)
-    if shape is not None and shape.kind != "POLYGON":
+    if shape is not None and not shape.is_area:
         raise ValidationError(f"polygon expected, got {value!r}")
     return shape

@@ -113,6 +113,11 @@ def _tiled(rows: DataFrame, keys: list[str], scheme: TilingScheme) -> DataFrame:
                        "value")
 
 
+def _edge(z: Column, top: int) -> Column:
+    """Pixels along a block of a level; the finest level, the top one, has blocks of one."""
+    return F.pow(F.lit(2.0), F.lit(top) - z).cast("bigint")
+
+
 def nearest_pyramid(cube: Cube, var: str, scheme: TilingScheme, north_up: bool = True) -> DataFrame:
     """Every level keeps each 2^k-th pixel; (keys, z, tile_x, tile_y, px, py, value).
 
@@ -120,47 +125,44 @@ def nearest_pyramid(cube: Cube, var: str, scheme: TilingScheme, north_up: bool =
     """
     rows, keys = _pixels(cube, var, north_up)
     top = scheme.levels - 1
-
-    def step(z: Column) -> Column:
-        return F.pow(F.lit(2.0), F.lit(top) - z).cast("bigint")
-
     levels = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda z: (
-        F.col("px") % step(z) == 0) & (F.col("py") % step(z) == 0))
+        F.col("px") % _edge(z, top) == 0) & (F.col("py") % _edge(z, top) == 0))
     spread = rows.withColumn("z", F.explode(levels))
-    s = step(F.col("z"))
+    s = _edge(F.col("z"), top)
     scaled = spread.select(*keys, F.col("z").cast("bigint").alias("z"),
                            F.floor(F.col("px") / s).cast("bigint").alias("px"),
                            F.floor(F.col("py") / s).cast("bigint").alias("py"), "value")
     return _tiled(scaled, keys, scheme)
 
 
-def _four(method: str) -> Column:
-    """Combine a 2×2 block; min and max skip missing values, sum and mean need all four."""
+def _block(method: str, edge: Column) -> Column:
+    """Combine a block of pixels; min and max skip missing values, sum and mean need all of them."""
     value = F.col("value")
     if method == "first":
-        return F.max(F.when((F.col("px") % 2 == 0) & (F.col("py") % 2 == 0), value))
+        return F.max(F.when(F.col("corner"), value))
     if method in ("min", "max"):
         return F.min(value) if method == "min" else F.max(value)
-    complete = F.count(value) == 4
-    return F.when(complete, F.sum(value) if method == "sum" else F.sum(value) / 4)
+    whole = (edge * edge).cast("double")
+    return F.when(F.count(value) == edge * edge, F.sum(value) if method == "sum" else F.sum(value) / whole)
 
 
 def aggregated_pyramid(cube: Cube, var: str, scheme: TilingScheme, method: str = "mean",
                        north_up: bool = True) -> DataFrame:
-    """Every level combines 2×2 blocks of the level below it, so rows shrink to a quarter."""
+    """Every level combines blocks of 2×2 pixels of the level below it.
+
+    Blocks of all levels are prefixes of a pixel's place, and their states merge, so the source is read
+    once and all levels come from one aggregation: a partition sends a row per block that it meets.
+    """
     if method not in AGGREGATORS:
         raise ValidationError(f"unknown aggregator '{method}'")
-    level, keys = _pixels(cube, var, north_up)
-    levels = [level]
-    for _ in range(scheme.levels - 1):
-        level = level.groupBy(*keys, F.floor(F.col("py") / 2).cast("bigint").alias("by"),
-                              F.floor(F.col("px") / 2).cast("bigint").alias("bx")).agg(
-            _four(method).alias("value")).select(
-            *keys, F.col("by").alias("py"), F.col("bx").alias("px"), "value")
-        levels.append(level)
-    frames = [rows.withColumn("z", F.lit(scheme.levels - 1 - i).cast("bigint"))
-              for i, rows in enumerate(levels)]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return _tiled(out, keys, scheme)
+    pixels, keys = _pixels(cube, var, north_up)
+    top = scheme.levels - 1
+    first, last = F.lit(0).cast("bigint"), F.lit(top).cast("bigint")
+    spread = pixels.withColumn("z", F.explode(F.sequence(first, last)))
+    edge = _edge(F.col("z"), top)
+    blocks = spread.select(
+        *keys, "z", F.floor(F.col("py") / edge).cast("bigint").alias("py"),
+        F.floor(F.col("px") / edge).cast("bigint").alias("px"), "value",
+        ((F.col("px") % edge == 0) & (F.col("py") % edge == 0)).alias("corner"))
+    found = blocks.groupBy(*keys, "z", "py", "px").agg(_block(method, edge).alias("value"))
+    return _tiled(found, keys, scheme)

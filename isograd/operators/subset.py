@@ -88,7 +88,7 @@ def subset_spatial(cube: Cube, region, mask: bool = True, keep_axis: bool = True
 
     Over the antimeridian the whole longitude axis is kept and cells outside become NULL;
     ``keep_axis=False`` leaves those rows out instead, which lets the scan skip them.  Only the
-    exterior ring of a polygon is looked at.
+    exterior rings of polygons are looked at; invalid ones are healed before.
     """
     if "lon" not in cube.dims or "lat" not in cube.dims:
         raise ValidationError("cannot apply a regional subset: no valid geocoding found")
@@ -119,14 +119,14 @@ def subset_spatial(cube: Cube, region, mask: bool = True, keep_axis: bool = True
         return inside
     left = axis_info(inside, "lon", "lat")
     single = 1 in (left["lon"].size, left["lat"].size)
-    ring = (shape.rings[0],)
+    outlines = shape.exteriors
     if single:
-        keep = inside_rings(F.col("lon"), F.col("lat"), ring)
+        keep = inside_rings(F.col("lon"), F.col("lat"), outlines)
         return inside.map(lambda p: p.where(keep), having=("lon", "lat"))
-    if len(ring[0]) > SCANNED_EDGES:
-        table, keep = _scanned_corners(inside, info["lon"].step, info["lat"].step, ring)
+    if sum(map(len, outlines)) > SCANNED_EDGES:
+        table, keep = _scanned_corners(inside, info["lon"].step, info["lat"].step, outlines)
     else:
-        table, keep = None, any_corner_inside(info["lon"].step, info["lat"].step, ring)
+        table, keep = None, any_corner_inside(info["lon"].step, info["lat"].step, outlines)
 
     def masked(part: Part) -> Part:
         if table is not None:

@@ -175,6 +175,16 @@ def max_levels(spark, sf_dir):
     return pyramid.aggregated_pyramid(cube_fine(spark, sf_dir), "price", SCHEME, "max")
 
 
+@case("a17_pyramid_first", _levels("max(CASE WHEN x % s = 0 AND y % s = 0 THEN v END)", "TRUE"), FINE)
+def first_levels(spark, sf_dir):
+    return pyramid.aggregated_pyramid(cube_fine(spark, sf_dir), "price", SCHEME, "first")
+
+
+@case("a17_pyramid_sum", _levels("sum(v)", "count(v) = s * s"), FINE)
+def sum_levels(spark, sf_dir):
+    return pyramid.aggregated_pyramid(cube_fine(spark, sf_dir), "price", SCHEME, "sum")
+
+
 @case("w3_polar_map", """SELECT lat, lon, price FROM cube_coarse
 WHERE time = (SELECT min(time) FROM cube_coarse WHERE time >= TIMESTAMP '1997-01-01')
   AND lat BETWEEN 35 AND 90""", COARSE)

@@ -54,6 +54,19 @@ def point_predicates(spark, sf_dir):
     return _predicates(points(spark, sf_dir), (190.0, 80.0))
 
 
+@case("p11_predicates_multipolygon", """SELECT id, near OR far AS intersects, NOT (near OR far) AS disjoint,
+  (near AND lon > -90 AND lon < -20 AND lat > -45 AND lat < 5)
+    OR (far AND lon > 30 AND lon < 110 AND lat > 10 AND lat < 66) AS within,
+  (near OR far) AND NOT ((near AND lon > -90 AND lon < -20 AND lat > -45 AND lat < 5)
+    OR (far AND lon > 30 AND lon < 110 AND lat > 10 AND lat < 66)) AS touches,
+  FALSE AS crosses, FALSE AS contains, FALSE AS almost_equals
+FROM (SELECT *, lon BETWEEN -90 AND -20 AND lat BETWEEN -45 AND 5 AS near,
+  lon BETWEEN 30 AND 110 AND lat BETWEEN 10 AND 66 AS far FROM points)""", POINTS)
+def multi_predicates(spark, sf_dir):
+    return _predicates(points(spark, sf_dir), "MULTIPOLYGON(((-90 -45, -20 -45, -20 5, -90 5, -90 -45)), "
+                                              "((30 10, 110 10, 110 66, 30 66, 30 10)))")
+
+
 def _predicates(df: DataFrame, region) -> DataFrame:
     return df.select("id", *(point_predicate(p, F.col("lon"), F.col("lat"), region).alias(p)
                              for p in PREDICATES))

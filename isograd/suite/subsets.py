@@ -150,6 +150,39 @@ def polygon_over_antimeridian(spark, sf_dir):
     return subset.subset_spatial(cube_fine(spark, sf_dir), ring, keep_axis=False).df
 
 
+# a ring that crosses itself: the part that turns as its highest corner does is the region
+_TIE = "POLYGON((-80 -50, -80 40, 60 -50, 60 55, -80 -50))"
+
+
+@case("p9_healed_region", """WITH corner AS (SELECT *, CAST(CAST(lon - 7.5 AS FLOAT) AS DOUBLE) AS x0,
+  CAST(CAST(lon + 7.5 AS FLOAT) AS DOUBLE) AS x1, CAST(CAST(lat - 7.5 AS FLOAT) AS DOUBLE) AS y0,
+  CAST(CAST(lat + 7.5 AS FLOAT) AS DOUBLE) AS y1 FROM cube_fine),
+kept AS (SELECT *, {tests} AS keep FROM corner)
+SELECT time, lat, lon, CASE WHEN keep THEN price END AS price, CASE WHEN keep THEN qty END AS qty
+FROM kept WHERE lat BETWEEN -57.5 AND 62.5 AND lon BETWEEN {cross} - 7.5 AND 67.5""".format(
+    cross="(-80 + 140 * 90 / 195.0::DOUBLE)", tests=" OR ".join(
+        f"({x} < 60 AND {x} >= -80 AND {y} <= -50 + ({x} + 80) * 105 / 140 AND {y} > 40 - ({x} + 80) * 90 / 140)"
+        for x in ("x0", "x1") for y in ("y0", "y1"))), ("cube_fine",))
+def healed_region(spark, sf_dir):
+    return subset.subset_spatial(cube_fine(spark, sf_dir), _TIE).df
+
+
+_PARTS = "MULTIPOLYGON(((-100 -40, -40 -40, -40 20, -100 20, -100 -40)), ((10 0, 95 0, 10 70, 10 0)))"
+
+
+@case("p8_subset_multipolygon", """WITH corner AS (SELECT *, CAST(CAST(lon - 7.5 AS FLOAT) AS DOUBLE) AS x0,
+  CAST(CAST(lon + 7.5 AS FLOAT) AS DOUBLE) AS x1, CAST(CAST(lat - 7.5 AS FLOAT) AS DOUBLE) AS y0,
+  CAST(CAST(lat + 7.5 AS FLOAT) AS DOUBLE) AS y1 FROM cube_fine),
+kept AS (SELECT *, {tests} AS keep FROM corner)
+SELECT time, lat, lon, CASE WHEN keep THEN price END AS price, CASE WHEN keep THEN qty END AS qty
+FROM kept WHERE lat BETWEEN -47.5 AND 77.5 AND lon BETWEEN -107.5 AND 102.5""".format(tests=" OR ".join(
+    f"({x} >= -100 AND {x} < -40 AND {y} >= -40 AND {y} < 20) OR "
+    f"({x} >= 10 AND {y} >= 0 AND ({x} - 10) * 70 + {y} * 85 < 85 * 70)"
+    for x in ("x0", "x1") for y in ("y0", "y1"))), ("cube_fine",))
+def several_polygons(spark, sf_dir):
+    return subset.subset_spatial(cube_fine(spark, sf_dir), _PARTS).df
+
+
 @case("p13_extract_point", """SELECT lat, lon,
   round_even(price * pow(10, 3 + greatest(-floor(log10(abs(price))), 0)), 0)
     / pow(10, 3 + greatest(-floor(log10(abs(price))), 0)) AS price,

@@ -10,6 +10,8 @@ HOLED = "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"
 HOOK = "POLYGON((0 0, 6 0, 6 6, 4 6, 4 2, 0 2, 0 0))"
 LINE = "LINESTRING(0 0, 4 0, 4 4)"
 POINT = "POINT(2 2)"
+PARTS = "MULTIPOLYGON(((0 0, 4 0, 4 4, 0 4, 0 0)), ((6 0, 8 0, 8 4, 6 4, 6 0)))"
+POINTS = "MULTIPOINT(2.5 2.5, 3 3)"
 
 
 def box(x0, y0, x1, y1):
@@ -79,10 +81,31 @@ CASES = [
     ("MultiPoint", [[(2, 2), (3, 3)]], POINT, "intersects contains"),
     ("MultiPoint", [[(2, 2), (2, 2)]], POINT, "intersects within contains"),
     ("Polygon", [], SQUARE, ""),
+    ("Polygon", [box(1, 1, 2, 2)], PARTS, "intersects within"),
+    ("Polygon", [box(6, 0, 7, 1)], PARTS, "intersects within"),
+    ("Polygon", [box(4, 0, 6, 4)], PARTS, "intersects touches"),
+    ("Polygon", [box(0, 0, 8, 4)], PARTS, "intersects contains"),
+    ("MultiPolygon", [box(0, 0, 4, 4), box(6, 0, 8, 4)], PARTS, "intersects within contains almost_equals"),
+    ("Polygon", [box(4.5, 0, 5.5, 4)], PARTS, "disjoint"),
+    ("LineString", [[(1, 1), (7, 1)]], PARTS, "intersects crosses"),
+    ("LineString", [[(4, 1), (6, 1)]], PARTS, "intersects touches"),
+    ("MultiPoint", [[(1, 1), (7, 1)]], PARTS, "intersects within"),
+    ("Polygon", [box(0, 0, 4, 4)], POINTS, "intersects contains"),
+    ("Polygon", [box(2, 2, 4, 4)], POINTS, "intersects contains"),
+    ("Polygon", [box(2.8, 2.8, 4, 4)], POINTS, "intersects crosses"),
+    ("Polygon", [box(3, 1, 9, 9)], POINTS, "intersects touches"),
+    ("Polygon", [box(5, 5, 9, 9)], POINTS, "disjoint"),
+    ("LineString", [[(0, 0), (4, 4)]], POINTS, "intersects contains"),
+    ("LineString", [[(3, 3), (0, 0)]], POINTS, "intersects contains"),
+    ("LineString", [[(3, 3), (2.9, 2.9)]], POINTS, "intersects touches"),
+    ("LineString", [[(3, 3), (9, 3)]], POINTS, "intersects touches"),
+    ("MultiPoint", [[(3, 3), (2.5, 2.5)]], POINTS, "intersects within contains"),
+    ("MultiPoint", [[(3, 3), (2, 2)]], POINTS, "intersects"),
+    ("MultiPoint", [[(3, 3)]], POINTS, "intersects within"),
 ]
 
 
-@pytest.mark.parametrize("literal", [SQUARE, HOLED, HOOK, LINE, POINT])
+@pytest.mark.parametrize("literal", [SQUARE, HOLED, HOOK, LINE, POINT, PARTS, POINTS])
 def test_by_hand(spark, literal):
     cases = [c for c in CASES if c[2] == literal]
     # the same shapes far away and turned give the same answers

@@ -75,6 +75,25 @@ def test_antimeridian_polygon(globe):
         subset.subset_spatial(globe, wkt(DATELINE))
 
 
+def test_regions_of_several_polygons(globe):
+    """A ring that falls apart, and two polygons given as one region, mask the cells of both."""
+    fan = [(-30.2, -10.3), (-30.2, 20.4), (0.3, 5.1), (40.7, 30.2), (40.7, -20.9), (0.3, 5.1)]
+    parts = [[(-30.2, -10.3), (-30.2, 20.4), (0.3, 5.1)], [(0.3, 5.1), (40.7, 30.2), (40.7, -20.9)]]
+    both = "MULTIPOLYGON(" + ", ".join(wkt(p).removeprefix("POLYGON") for p in parts) + ")"
+    cells = [(y, x) for y in np.arange(-89.5, 90) for x in np.arange(-179.5, 180)]
+    want = {(y, x) for y, x in cells if any(inside(p, x + dx, y + dy) for p in parts
+                                            for dx in (-.5, .5) for dy in (-.5, .5))}
+    for region in (wkt(fan), both):
+        out = subset.subset_spatial(globe, region)
+        assert {(r.lat, r.lon) for r in out.df.where("first is not null").collect()} == want
+
+
+def test_antimeridian_of_rings_that_break_when_shifted():
+    # over Greenwich: shifted by 360 degrees its edges cross
+    assert not crosses_antimeridian(literals.polygon([(-20, -10), (30, 12), (-25, 20), (28, -15), (40, 0)]))
+    assert crosses_antimeridian(literals.polygon([(170, -10), (-170, -12), (-168, 10), (171, 12)]))
+
+
 def around(lats, lons):
     """A slightly tilted ring about the cells of 30 degrees with these centres."""
     south, north, west, east = min(lats) - 9, max(lats) + 9, min(lons) - 10, max(lons) + 10

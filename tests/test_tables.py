@@ -184,6 +184,40 @@ def test_pyramid(make):
         pyramid.aggregated_pyramid(cube, "first", scheme, "median")
 
 
+@pytest.mark.parametrize("method", pyramid.AGGREGATORS)
+def test_pyramid_levels_with_gaps(spark, method):
+    """Three levels of pixels with fractions and missing values against blocks level by level."""
+    rng = np.random.default_rng(7)
+    values = np.where(rng.random((10, 16)) < 0.1, np.nan, rng.normal(size=(10, 16)))
+    rows = [(float(y), float(x), None if np.isnan(values[y, x]) else float(values[y, x]))
+            for y in range(10) for x in range(16)]
+    cube = Cube.of(spark.createDataFrame(rows, "lat double, lon double, first double"), ("lat", "lon"))
+    out = pyramid.aggregated_pyramid(cube, "first", pyramid.TilingScheme(3, 1, 1, 4, 3, GLOBE), method,
+                                     north_up=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and plan.count("Exchange ") == 1
+    level = {(y, x): values[y, x] for y in range(10) for x in range(16)}
+    got = {(r.z, r.py, r.px): r.value for r in out.collect()}
+    for z in (2, 1, 0):
+        for (y, x), v in level.items():
+            value = got.pop((z, y, x))
+            assert value is None if np.isnan(v) else value == pytest.approx(v, rel=1e-12)
+        blocks = {}
+        for (y, x), v in level.items():
+            blocks.setdefault((y // 2, x // 2), {})[y % 2, x % 2] = v
+        level = {k: combined(method, b) for k, b in blocks.items()}
+    assert not got
+
+
+def combined(method, block):
+    there = [v for v in block.values() if not np.isnan(v)]
+    if method == "first":
+        return block[0, 0]
+    if method in ("min", "max"):
+        return getattr(np, method)(there) if there else np.nan
+    return getattr(np, method)(there) if len(there) == 4 else np.nan
+
+
 def test_stream(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, d, h), 1.0, 2.0, float(d)) for d in range(1, 6)
             for h in (0, 12)]
