@@ -15,8 +15,8 @@ from isograd import literals
 from isograd.functions.periods import Period
 from isograd.functions.quantile import GROUP_ROWS, join_null_safe, quantiles
 from isograd.model import TEMPORAL, Cube, Part, ValidationError, ntz
-from isograd.operators.axis import AxisInfo, axis_info, hint_small, positions
-from isograd.operators.normalize import adjust_temporal_attrs, temporal_attrs
+from isograd.operators.axis import AxisInfo, axis_info, constant_labels, hint_small, positions
+from isograd.operators.normalize import temporal_attrs
 from isograd.operators.select import select_var
 
 REDUCERS = ("mean", "min", "max", "sum", "median")
@@ -176,7 +176,8 @@ def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
     time = axis_info(cube, "time")["time"]
     label = parsed.bin(F.col("time"), time.first)
     order = _order_in_bin(cube, label, time) if method in ("argmax", "argmin") else None
-    gaps = fill_empty and _has_empty_bins(cube, parsed, label, time)
+    bins, used = _bins(cube, parsed, label, time)
+    gaps = fill_empty and used < bins.size
 
     def apply(part: Part) -> Part:
         rest = [d for d in part.dims if d != "time"]
@@ -193,19 +194,31 @@ def temporal_aggregation(cube: Cube, method: str = "mean", period: str = "MS",
         return Part(rows, ("time", *rest), part.variables)
 
     out = cube.map(apply, having=["time"], keep=[d for d in cube.dims if d != "time"])
-    return out.with_attrs(**_binned_attrs(cube, parsed, time)).stamped(
+    return out.with_attrs(**temporal_attrs(bins, cube.attrs.get("time_bnds"))).stamped(
         "temporal_aggregation", method=method, period=period)
 
 
-def _binned_attrs(cube: Cube, period: Period, time: AxisInfo) -> dict:
-    """Temporal attributes of the result; its axis has every label from the first to the last.
+def _bins(cube: Cube, period: Period, label: Column, time: AxisInfo) -> tuple[AxisInfo, int]:
+    """The axis of all bins from the first to the last, and how many of them hold a time label.
 
-    Bins follow the order of times, so the ends of the axis are enough and no cell is read.
+    Bins follow the order of times, so the ends of the axis tell them; labels at hand are not read again.
     """
-    spark = cube.parts[0].df.sparkSession
+    if not time.size:
+        return AxisInfo.of("time", (), True), 0
     low, high = (period.bin(ntz(end), time.first) for end in (time.first, time.last))
-    labels = spark.range(1).select(F.explode(period.labels(low, high)).alias("time"))
-    return dict(adjust_temporal_attrs(Cube((Part(labels, ("time",), ()),), cube.attrs)).attrs)
+    every = period.labels(low, high)
+    if time.labels is not None:
+        rows = cube.parts[0].df.sparkSession.range(1)
+        held = F.transform(constant_labels(time, "timestamp_ntz"), lambda t: period.bin(t, time.first))
+        used = F.size(F.array_distinct(held))
+    else:
+        rows = cube.axis("time").agg(F.count_distinct(label).alias("used"))
+        used = F.col("used")
+    found = rows.select(used.alias("used"), F.size(every).alias("size"), F.slice(every, 1, 2).alias("head"),
+                        F.element_at(every, -1).alias("last")).first()
+    second = found.head[1] if found.size > 1 else None
+    return replace(AxisInfo.of("time", found.head[:1], True), size=found.size, second=second,
+                   last=found.last, labels=None), found.used
 
 
 def _order_in_bin(cube: Cube, label: Column, time: AxisInfo) -> DataFrame:
@@ -240,16 +253,6 @@ def _resampler(method: str, name: str) -> Column:
     return F.min_by(position, F.when(some, F.struct(value, F.col("__pos"))))
 
 
-def _has_empty_bins(cube: Cube, period: Period, label: Column, time: AxisInfo) -> bool:
-    """Whether the time axis leaves a bin between its ends without a label."""
-    if not time.size:
-        return False
-    low, high = (period.bin(ntz(end), time.first) for end in (time.first, time.last))
-    counts = cube.axis("time").agg(F.count_distinct(label).alias("used"),
-                                   F.max(F.size(period.labels(low, high))).alias("every")).first()
-    return counts.used < counts.every
-
-
 def _empty_bins(cube: Cube, part: Part, rest: list[str], period: Period, label: Column,
                 time: AxisInfo) -> DataFrame:
     """Every cell at every bin that holds no time label; the bins are an expression, not data."""

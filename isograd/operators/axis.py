@@ -285,7 +285,7 @@ def positions(cube: Cube, dim: str, name: str) -> DataFrame:
     info = cube.known.get(dim)
     if info is not None and info.labels is not None:
         kind = cube.dim_type(dim).simpleString()
-        labels = _constant_labels(info, kind)
+        labels = constant_labels(info, kind)
         # one row that a single task unfolds: the labels are constants of the plan
         return cube.parts[0].df.sparkSession.range(0, 1, 1, 1).select(
             F.posexplode(labels).alias("__pos", dim)).select(
@@ -301,7 +301,7 @@ def positions(cube: Cube, dim: str, name: str) -> DataFrame:
         dim, (F.get(earlier, F.col("__part")) + F.col("__in")).cast("bigint").alias(name))
 
 
-def _constant_labels(info: AxisInfo, kind: str) -> Column:
+def constant_labels(info: AxisInfo, kind: str) -> Column:
     """The labels as a constant array, spelled as text to spare a call per label."""
     texts = (f"TIMESTAMP_NTZ'{v.isoformat(sep=' ')}'" if info.temporal else f"{float(v)!r}D"
              for v in info.labels)
@@ -312,7 +312,7 @@ def label_of(info: AxisInfo, position: Column) -> Column | None:
     """The label at a position as a constant lookup, when the labels are at hand."""
     if info.labels is None or info.temporal:
         return None
-    labels = _constant_labels(info, "double")
+    labels = constant_labels(info, "double")
     return F.element_at(labels, (position + 1).cast("int"))
 
 
