@@ -17,29 +17,31 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isograd.llm.notices import TEMPLATES
+
 #: Words of a shingle, percent of a template's shingles that a window must hold, chance of a miss.
 WORDS, PERCENT, MISS = 5, 80, 1e-6
 
-# Notices as they are printed.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": (
-        "you may not use this file except in compliance with the License. You may obtain a copy of "
-        "the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "bsd-3-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met:"),
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation"),
-    "mit": "Released under the MIT License.",
-    "mit-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        "and associated documentation files"),
-}
+#: Templates that a table may hold, and bytes of them that are sent to every task.
+MOST, SENT = 5_000, 64 << 20
+
+
+def read_templates(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (license, text), such as whole licences.
+
+    Rows without a licence or with fewer than five words are left out; several texts of one licence, equal
+    ones apart, get numbers. More than ``MOST`` rows fail: templates are parameters, not data.
+    """
+    rows = table.select("license", "text").where("license IS NOT NULL").distinct().limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} templates")
+    found: dict[str, str] = {}
+    seen: dict[str, int] = {}
+    for name, text in sorted((r.license, r.text or "") for r in rows):
+        if len(template_words(text)) >= WORDS:
+            seen[name] = seen.get(name, 0) + 1
+            found[name if seen[name] == 1 else f"{name}#{seen[name]}"] = text
+    return found
 
 
 def template_words(text: str) -> list[str]:
@@ -140,8 +142,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     count = F.element_at(F.map_from_arrays(F.array(*map(F.lit, lengths)),
                                            F.array(*(F.lit(_class(n)[2]) for n in lengths))),
                          F.col("length"))
-    met = signed(windows, "own", F.col("hashes")).join(
-        F.broadcast(signed(known, "known", count)), ["length", "seed", "least"])
+    signatures = signed(known, "known", count)
+    sizes = [len(template_words(t)) for t in templates.values()]
+    if sum(8 * n * _class(n)[2] for n in sizes) <= SENT:
+        signatures = F.broadcast(signatures)
+    met = signed(windows, "own", F.col("hashes")).join(signatures, ["length", "seed", "least"])
     matched = F.size(F.array_intersect("own", "known"))
     found = (met.select("doc_id", "license", "start", matched.alias("matched"),
                         F.size("known").alias("of_shingles"))
