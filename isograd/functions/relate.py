@@ -5,12 +5,16 @@ inside, on the border, or outside. The middle of a piece tells the class. Two ar
 piece of one border is inside the other area, or if a piece lies on both borders with both areas on the same
 side of it; every other test is made of such statements.
 
+A place is compared only with the literal edges that meet the bounds of its feature. Where none does, the whole
+feature lies on one side of the literal, and one vertex tells which.
+
 The expression is spelled as SQL text: it has some thousand nodes, and a Column call for each would take
 seconds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import count
 
@@ -23,6 +27,8 @@ from isograd.literals import Shape
 ALMOST = 0.5e-6
 #: Distance in degrees up to which the middle of a piece lies on a border.
 NEAR = 1e-9
+#: By so many degrees the bounds of a feature are widened before literal edges are looked for in them.
+MARGIN = 1e-6
 
 _numbers = count()
 Statement = Callable[[], str]
@@ -47,22 +53,62 @@ def _points(points) -> str:
     return f"CAST(array({inner}) AS array<struct<x:double,y:double>>)"
 
 
-def _literal_segments(runs) -> str:
-    inner = ", ".join(f"named_struct('x0', {a[0]!r}D, 'y0', {a[1]!r}D, 'x1', {b[0]!r}D, 'y1', {b[1]!r}D)"
-                      for run in runs for a, b in zip(run, run[1:]) if a != b)
-    return f"CAST(array({inner}) AS array<struct<x0:double,y0:double,x1:double,y1:double>>)"
+def _literal_segments(ends) -> str:
+    """Segments between pairs of places, with the measures that every comparison needs and their bounds."""
+    fields = ("x0", "y0", "x1", "y1", "dx", "dy", "length", "slack", "west", "south", "east", "north")
+
+    def segment(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        length = dx * dx + dy * dy
+        values = (*a, *b, dx, dy, length, NEAR * math.sqrt(length), min(a[0], b[0]), min(a[1], b[1]),
+                  max(a[0], b[0]), max(a[1], b[1]))
+        return "named_struct(" + ", ".join(f"'{f}', {v!r}D" for f, v in zip(fields, values)) + ")"
+
+    return (f"CAST(array({', '.join(segment(a, b) for a, b in ends)}) AS "
+            f"array<struct<{','.join(f'{f}:double' for f in fields)}>>)")
 
 
 def _own_segments(coords: str) -> str:
-    """All edges of the runs that have a length; a run of one vertex has none."""
+    """All edges of the runs that have a length, with their measures; a run of one vertex has none."""
     def edges(run):
         each = _higher("transform", f"sequence(0, size({run}) - 2)", lambda i: (
             f"named_struct('x0', {run}[{i}].x, 'y0', {run}[{i}].y, "
-            f"'x1', {run}[{i} + 1].x, 'y1', {run}[{i} + 1].y)"))
+            f"'x1', {run}[{i} + 1].x, 'y1', {run}[{i} + 1].y, 'dx', {run}[{i} + 1].x - {run}[{i}].x, "
+            f"'dy', {run}[{i} + 1].y - {run}[{i}].y)"))
         long = _higher("filter", each, lambda e: f"{e}.x0 <> {e}.x1 OR {e}.y0 <> {e}.y1")
         return f"IF(size({run}) > 1, {long}, array())"
 
-    return f"flatten({_higher('transform', coords, edges)})"
+    def measured(e):
+        length = f"({e}.dx * {e}.dx + {e}.dy * {e}.dy)"
+        kept = ", ".join(f"'{f}', {e}.{f}" for f in ("x0", "y0", "x1", "y1", "dx", "dy"))
+        return f"named_struct({kept}, 'length', {length}, 'slack', {NEAR!r}D * sqrt({length}))"
+
+    return _higher("transform", f"flatten({_higher('transform', coords, edges)})", measured)
+
+
+def _bounds(vertices: str) -> str:
+    """The widened bounds of vertices, their middle and half sizes, and whether they have any extent."""
+    west, east = f"array_min({vertices}.x)", f"array_max({vertices}.x)"
+    south, north = f"array_min({vertices}.y)", f"array_max({vertices}.y)"
+    exact = f"named_struct('west', {west}, 'south', {south}, 'east', {east}, 'north', {north})"
+    return _let(exact, lambda e: (
+        f"named_struct('west', {e}.west - {MARGIN!r}D, 'south', {e}.south - {MARGIN!r}D, "
+        f"'east', {e}.east + {MARGIN!r}D, 'north', {e}.north + {MARGIN!r}D, "
+        f"'x', ({e}.west + {e}.east) / 2, 'y', ({e}.south + {e}.north) / 2, "
+        f"'wide', ({e}.east - {e}.west) / 2 + {MARGIN!r}D, 'high', ({e}.north - {e}.south) / 2 + {MARGIN!r}D, "
+        f"'extent', {e}.west < {e}.east OR {e}.south < {e}.north)"))
+
+
+def _meets(e: str, box: str) -> str:
+    """Whether a literal segment meets a box: their bounds do, and the box isn't on one side of its line."""
+    return (f"({e}.west <= {box}.east AND {e}.east >= {box}.west AND {e}.south <= {box}.north "
+            f"AND {e}.north >= {box}.south AND abs({e}.dx * ({box}.y - {e}.y0) - {e}.dy * ({box}.x - {e}.x0)) "
+            f"<= {box}.wide * abs({e}.dy) + {box}.high * abs({e}.dx))")
+
+
+def _within_box(points: str, box: str) -> str:
+    return _higher("filter", points, lambda p: (
+        f"{p}.x >= {box}.west AND {p}.x <= {box}.east AND {p}.y >= {box}.south AND {p}.y <= {box}.north"))
 
 
 def _own_ends(coords: str) -> str:
@@ -81,12 +127,9 @@ def _own_ends(coords: str) -> str:
 
 def _near(x: str, y: str, e: str) -> str:
     """Whether a point is within NEAR of a segment."""
-    dx, dy = f"({e}.x1 - {e}.x0)", f"({e}.y1 - {e}.y0)"
-    along = f"(({x} - {e}.x0) * {dx} + ({y} - {e}.y0) * {dy})"
-    length = f"({dx} * {dx} + {dy} * {dy})"
-    slack = f"({NEAR!r}D * sqrt({length}))"
-    return (f"(abs({dx} * ({y} - {e}.y0) - {dy} * ({x} - {e}.x0)) <= {slack} "
-            f"AND {along} >= -{slack} AND {along} <= {length} + {slack})")
+    along = f"(({x} - {e}.x0) * {e}.dx + ({y} - {e}.y0) * {e}.dy)"
+    return (f"(abs({e}.dx * ({y} - {e}.y0) - {e}.dy * ({x} - {e}.x0)) <= {e}.slack "
+            f"AND {along} >= -{e}.slack AND {along} <= {e}.length + {e}.slack)")
 
 
 def _on(x: str, y: str, segments: str) -> str:
@@ -102,7 +145,7 @@ def _odd(x: str, y: str, segments: str, flat: str = "false") -> str:
     def passes(e):
         def over(a, b, c, d):  # a ray along c, d from where a, b are
             return (f"(({e}.{b}0 <= {d}) != ({e}.{b}1 <= {d}) AND {c} < {e}.{a}0 + ({d} - {e}.{b}0) * "
-                    f"({e}.{a}1 - {e}.{a}0) / nullif({e}.{b}1 - {e}.{b}0, 0D))")
+                    f"{e}.d{a} / nullif({e}.d{b}, 0D))")
         hit = f"IF({flat}, {over('y', 'x', y, x)}, {over('x', 'y', x, y)})"
         return f"coalesce({hit}, false) AND NOT {_near(x, y, e)}"
 
@@ -111,17 +154,14 @@ def _odd(x: str, y: str, segments: str, flat: str = "false") -> str:
 
 def _cuts(s: str, others: str) -> str:
     """Where a segment meets others, as shares of its length strictly between 0 and 1."""
-    dx, dy = f"({s}.x1 - {s}.x0)", f"({s}.y1 - {s}.y0)"
-    length = f"({dx} * {dx} + {dy} * {dy})"
-
     def of(e):
-        ex, ey = f"({e}.x1 - {e}.x0)", f"({e}.y1 - {e}.y0)"
-        across = f"nullif({dx} * {ey} - {dy} * {ex}, 0D)"
-        t = f"(({e}.x0 - {s}.x0) * {ey} - ({e}.y0 - {s}.y0) * {ex}) / {across}"
-        u = f"(({e}.x0 - {s}.x0) * {dy} - ({e}.y0 - {s}.y0) * {dx}) / {across}"
+        across = f"nullif({s}.dx * {e}.dy - {s}.dy * {e}.dx, 0D)"
+        t = f"(({e}.x0 - {s}.x0) * {e}.dy - ({e}.y0 - {s}.y0) * {e}.dx) / {across}"
+        u = f"(({e}.x0 - {s}.x0) * {s}.dy - ({e}.y0 - {s}.y0) * {s}.dx) / {across}"
 
         def end(x, y):
-            return f"IF({_near(x, y, s)}, (({x} - {s}.x0) * {dx} + ({y} - {s}.y0) * {dy}) / {length}, NULL)"
+            return (f"IF({_near(x, y, s)}, (({x} - {s}.x0) * {s}.dx + ({y} - {s}.y0) * {s}.dy) / {s}.length, "
+                    f"NULL)")
 
         return (f"array(IF({u} BETWEEN 0D AND 1D, {t}, NULL), {end(f'{e}.x0', f'{e}.y0')}, "
                 f"{end(f'{e}.x1', f'{e}.y1')})")
@@ -130,8 +170,8 @@ def _cuts(s: str, others: str) -> str:
 
 
 def _place(s: str, t: str) -> str:
-    return (f"named_struct('x', {s}.x0 + {t} * ({s}.x1 - {s}.x0), 'y', {s}.y0 + {t} * ({s}.y1 - {s}.y0), "
-            f"'flat', abs({s}.y1 - {s}.y0) < abs({s}.x1 - {s}.x0))")
+    return (f"named_struct('x', {s}.x0 + {t} * {s}.dx, 'y', {s}.y0 + {t} * {s}.dy, "
+            f"'flat', abs({s}.dy) < abs({s}.dx))")
 
 
 def _middles(segments: str, others: str) -> str:
@@ -148,10 +188,14 @@ def _middles(segments: str, others: str) -> str:
     return f"flatten({_higher('transform', segments, of)})"
 
 
-def _classed(segments: str, area: str) -> str:
-    """The pieces of segments with their class in an area: on its border, or inside if odd."""
-    return _higher("transform", _middles(segments, area), lambda m: (
-        f"named_struct('on', {_on(f'{m}.x', f'{m}.y', area)}, 'odd', {_odd(f'{m}.x', f'{m}.y', area)}, "
+def _classed(segments: str, area: str, close: str | None = None) -> str:
+    """The pieces of segments with their class in an area: on its border, or inside if odd.
+
+    ``close``: those edges of the area that the segments can meet.
+    """
+    close = close or area
+    return _higher("transform", _middles(segments, close), lambda m: (
+        f"named_struct('on', {_on(f'{m}.x', f'{m}.y', close)}, 'odd', {_odd(f'{m}.x', f'{m}.y', area)}, "
         f"'x', {m}.x, 'y', {m}.y, 'flat', {m}.flat)"))
 
 
@@ -168,84 +212,110 @@ def _among(x: str, y: str, points: str) -> str:
 
 
 def _named(name: str, tests: dict[str, Statement]) -> str:
-    """A test from the statements of one kind of pair, only those needed; ``inner``: interiors meet."""
-    if name == "disjoint":
-        return f"NOT ({tests['intersects']()})"
+    """A test from the statements of one kind of pair, only those needed.
+
+    ``inner``: interiors meet; ``contact``: the shapes meet somewhere, given that interiors don't.
+    """
+    if name in ("intersects", "disjoint"):
+        return f"{'NOT ' if name == 'disjoint' else ''}({tests['inner']()} OR {tests['contact']()})"
     if name == "touches":
-        return f"(({tests['intersects']()}) AND NOT ({tests['inner']()}))"
+        return f"(NOT ({tests['inner']()}) AND ({tests['contact']()}))"
     return f"({tests[name]()})" if name in tests else "false"
 
 
-def _area_and_area(name: str, a: str, b: str, a_corners: str, b_corners: str) -> str:
+def _area_and_area(name: str, p: str, corners: str) -> str:
     if name in ("almost_equals", "crosses"):
         return "false"
+    own, border = f"{p}.segments", f"{p}.border"
 
-    def tests(r):
-        def one_side(p):
-            return (f"{_odd(f'{p}.x', f'{p}.y', a, f'{p}.flat')} = "
-                    f"{_odd(f'{p}.x', f'{p}.y', b, f'{p}.flat')}")
+    def tests(pieces):
+        def one_side(m):
+            return (f"{_odd(f'{m}.x', f'{m}.y', own, f'{m}.flat')} = "
+                    f"{_odd(f'{m}.x', f'{m}.y', border, f'{m}.flat')}")
 
         def shared(same):
-            return _any(f"{r}.a", lambda p: f"{p}.on AND {'' if same else 'NOT'} ({one_side(p)})")
+            return _any(pieces, lambda m: f"{m}.on AND {'' if same else 'NOT'} ({one_side(m)})")
 
-        def inner():
-            return f"{_inside(f'{r}.a')} OR {_inside(f'{r}.b')} OR {shared(True)}"
+        others = _classed(f"{p}.close", own)
 
-        def met():
-            on = _any(f"{r}.a", lambda p: f"{p}.on")
-            return f"{inner()} OR {on} OR {_some_on(a_corners, b)} OR {_some_on(b_corners, a)}"
+        def contact():
+            on = _any(pieces, lambda m: f"{m}.on")
+            return f"{on} OR {_some_on(f'{p}.vertices', f'{p}.close')} OR {_some_on(corners, own)}"
 
         return _named(name, {
-            "intersects": met, "inner": inner,
-            "within": lambda: f"NOT {_outside(f'{r}.a')} AND NOT {_inside(f'{r}.b')} AND NOT {shared(False)}",
-            "contains": lambda: f"NOT {_outside(f'{r}.b')} AND NOT {_inside(f'{r}.a')} "
-                                f"AND NOT {shared(False)}"})
+            "inner": lambda: f"{_inside(pieces)} OR {shared(True)} OR {_inside(others)}", "contact": contact,
+            "within": lambda: f"NOT {_outside(pieces)} AND NOT {shared(False)} AND NOT {_inside(others)}",
+            "contains": lambda: f"{_all_close(p)} AND NOT {_inside(pieces)} AND NOT {shared(False)} "
+                                f"AND NOT {_outside(others)}"})
+
+    return _let(_classed(own, border, f"{p}.close"), tests)
+
 
-    return _let(f"named_struct('a', {_classed(a, b)}, 'b', {_classed(b, a)})", tests)
+def _all_close(p: str) -> str:
+    """Whether no edge of the literal is outside of the feature's bounds, as must be if the feature holds it."""
+    return f"(size({p}.close) = size({p}.border))"
 
 
-def _line_and_area(name: str, line: str, area: str, vertices: str, corners: str, covers: str) -> str:
-    """``covers`` is the test that asks whether the area holds the line."""
+def _line_in_area(name: str, p: str, corners: str) -> str:
+    """A feature's line and literal polygons."""
+    own, close = f"{p}.segments", f"{p}.close"
+
     def tests(pieces):
-        def met():
-            on = _any(pieces, lambda p: f"{p}.on")
-            return f"{_inside(pieces)} OR {on} OR {_some_on(vertices, area)} OR {_some_on(corners, line)}"
+        on = _any(pieces, lambda m: f"{m}.on")
+        return _named(name, {
+            "inner": lambda: _inside(pieces),
+            "contact": lambda: f"{on} OR {_some_on(f'{p}.vertices', close)} OR {_some_on(corners, own)}",
+            "within": lambda: f"{_inside(pieces)} AND NOT {_outside(pieces)}",
+            "crosses": lambda: f"{_inside(pieces)} AND {_outside(pieces)}"})
 
-        return _named(name, {"intersects": met, "inner": lambda: _inside(pieces),
-                             covers: lambda: f"{_inside(pieces)} AND NOT {_outside(pieces)}",
-                             "crosses": lambda: f"{_inside(pieces)} AND {_outside(pieces)}"})
+    return _let(_classed(own, f"{p}.border", close), tests)
 
-    return _let(_classed(line, area), tests)
 
+def _area_and_line(name: str, p: str, corners: str) -> str:
+    """A feature's polygons and a literal line."""
+    own, close = f"{p}.segments", f"{p}.close"
 
-def _line_and_line(name: str, a: str, b: str, vertices: str, a_ends: str, b_ends: str) -> str:
-    def tests(r):
+    def tests(pieces):
+        on = _any(pieces, lambda m: f"{m}.on")
+        return _named(name, {
+            "inner": lambda: _inside(pieces),
+            "contact": lambda: f"{on} OR {_some_on(corners, own)} OR {_some_on(f'{p}.vertices', close)}",
+            "contains": lambda: f"{_all_close(p)} AND {_inside(pieces)} AND NOT {_outside(pieces)}",
+            "crosses": lambda: f"{_inside(pieces)} AND (NOT {_all_close(p)} OR {_outside(pieces)})"})
+
+    return _let(_classed(close, own), tests)
+
+
+def _line_and_line(name: str, p: str) -> str:
+    a, b, a_ends, b_ends = f"{p}.segments", f"{p}.close", f"{p}.ends", f"{p}.stops"
+
+    def tests(pieces):
         def overlap():
-            return _any(f"{r}.a", lambda m: _on(f"{m}.x", f"{m}.y", b))
+            return _any(pieces, lambda m: _on(f"{m}.x", f"{m}.y", b))
 
         def contacts():
-            here = _higher("filter", vertices, lambda v: _on(f"{v}.x", f"{v}.y", b))
-            return f"concat({r}.met, {here})"
+            here = _higher("filter", f"{p}.vertices", lambda v: _on(f"{v}.x", f"{v}.y", b))
+            return f"concat({met}, {here})"
 
         def between():
-            return _any(contacts(), lambda p: f"NOT {_among(f'{p}.x', f'{p}.y', a_ends)} "
-                                              f"AND NOT {_among(f'{p}.x', f'{p}.y', b_ends)}")
+            return _any(contacts(), lambda c: f"NOT {_among(f'{c}.x', f'{c}.y', a_ends)} "
+                                              f"AND NOT {_among(f'{c}.x', f'{c}.y', b_ends)}")
 
-        def covered(pieces, line):
-            return _higher("forall", pieces, lambda m: _on(f"{m}.x", f"{m}.y", line))
+        def covered(middles, line):
+            return _higher("forall", middles, lambda m: _on(f"{m}.x", f"{m}.y", line))
 
         return _named(name, {
-            "intersects": lambda: f"{overlap()} OR size({contacts()}) > 0",
-            "inner": lambda: f"{overlap()} OR {between()}",
+            "inner": lambda: f"{overlap()} OR {between()}", "contact": lambda: f"size({contacts()}) > 0",
             "crosses": lambda: f"NOT {overlap()} AND {between()}",
-            "within": lambda: covered(f"{r}.a", b), "contains": lambda: covered(f"{r}.b", a)})
+            "within": lambda: covered(pieces, b),
+            "contains": lambda: f"{_all_close(p)} AND {covered(_middles(b, a), a)}"})
 
     def places(s):
         return _higher("transform", _cuts(s, b), lambda t: (
             f"named_struct('x', {_place(s, t)}.x, 'y', {_place(s, t)}.y)"))
 
     met = f"flatten({_higher('transform', a, places)})"
-    return _let(f"named_struct('a', {_middles(a, b)}, 'b', {_middles(b, a)}, 'met', {met})", tests)
+    return _let(_middles(a, b), tests)
 
 
 def _points_and(name: str, vertices: str, inside: Callable[[str], str], on: Callable[[str], str]) -> str:
@@ -254,7 +324,7 @@ def _points_and(name: str, vertices: str, inside: Callable[[str], str], on: Call
         some_in = _any(found, lambda c: f"{c}.inner")
         some_out = _any(found, lambda c: f"NOT {c}.inner AND NOT {c}.on")
         return _named(name, {
-            "intersects": lambda: _any(found, lambda c: f"{c}.inner OR {c}.on"), "inner": lambda: some_in,
+            "inner": lambda: some_in, "contact": lambda: _any(found, lambda c: f"{c}.on"),
             "within": lambda: f"{some_in} AND NOT {some_out}", "crosses": lambda: f"{some_in} AND {some_out}"})
 
     return _let(_higher("transform", vertices, lambda v: (
@@ -269,12 +339,11 @@ def _against_point(name: str, p: str, x: float, y: float) -> tuple[str, str, str
 
     def area(c):
         inner = f"NOT {c}.on AND {c}.odd"
-        return _named(name, {"intersects": lambda: f"{c}.on OR {c}.odd", "inner": lambda: inner,
-                             "contains": lambda: inner})
+        return _named(name, {"inner": lambda: inner, "contact": lambda: f"{c}.on", "contains": lambda: inner})
 
     def line(c):
         inner = f"{c}.on AND NOT {c}.ends"
-        return _named(name, {"intersects": lambda: f"{c}.on", "inner": lambda: inner, "contains": lambda: inner})
+        return _named(name, {"inner": lambda: inner, "contact": lambda: f"{c}.on", "contains": lambda: inner})
 
     if name == "contains":
         many = _any(f"{p}.vertices", is_at)
@@ -320,42 +389,66 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
     """
     runs = [[(float(x), float(y)) for x, y in run] for run in literal.rings]
     listed = [p for run in runs for p in run]
+    many_points = literal.kind in ("POINT", "MULTIPOINT")
+    edges = [(p, p) for p in listed] if many_points else [
+        (a, b) for run in runs for a, b in zip(run, run[1:]) if a != b]
     open_line = literal.kind == "LINESTRING" and runs[0][0] != runs[0][-1]
-    parts = (f"named_struct('vertices', flatten(g.coords), 'segments', {_own_segments('g.coords')}, "
-             f"'ends', {_own_ends('g.coords')}, 'border', {_literal_segments(runs)}, "
-             f"'corners', {_points(listed)}, "
-             f"'stops', {_points([runs[0][0], runs[0][-1]] if open_line else [])})")
-
-    def test(p):
-        if name == "almost_equals":
-            kinds = {"POINT": "'Point', 'MultiPoint'", "LINESTRING": "'LineString', 'MultiLineString'",
-                     "POLYGON": "'Polygon', 'MultiPolygon'"}[literal.kind.removeprefix("MULTI")]
-            close = _higher("forall", f"sequence(0, {len(listed) - 1})", lambda i: (
-                f"hypot({p}.vertices[{i}].x - {p}.corners[{i}].x, "
-                f"{p}.vertices[{i}].y - {p}.corners[{i}].y) <= {ALMOST!r}D"))
-            return f"IF(g.type IN ({kinds}) AND size({p}.vertices) = {len(listed)}, {close}, false)"
-        own, border = f"{p}.segments", f"{p}.border"
-        vertices, corners, stops = f"{p}.vertices", f"{p}.corners", f"{p}.stops"
-        if literal.kind == "POINT":
-            area, line, many = _against_point(name, p, *listed[0])
-        elif literal.kind == "MULTIPOINT":
-            area, line, many = _against_points(name, p)
-        elif literal.kind == "LINESTRING":
-            area = _line_and_area(name, border, own, corners, vertices, "contains")
-            line = _line_and_line(name, own, border, vertices, f"{p}.ends", stops)
-            many = _points_and(name, vertices, lambda v: (
-                f"{_on(f'{v}.x', f'{v}.y', border)} AND NOT {_among(f'{v}.x', f'{v}.y', stops)}"),
-                lambda v: _among(f"{v}.x", f"{v}.y", stops))
-        else:
-            area = _area_and_area(name, own, border, vertices, corners)
-            line = _line_and_area(name, own, border, vertices, corners, "within")
-            many = _points_and(name, vertices, lambda v: (
-                f"NOT {_on(f'{v}.x', f'{v}.y', border)} AND {_odd(f'{v}.x', f'{v}.y', border)}"),
-                lambda v: _on(f"{v}.x", f"{v}.y", border))
-        return (f"CASE WHEN size({vertices}) = 0 THEN false "
-                f"WHEN g.type IN ('Polygon', 'MultiPolygon') THEN {area} "
-                f"WHEN g.type IN ('LineString', 'MultiLineString') THEN {line} "
-                f"WHEN g.type IN ('Point', 'MultiPoint') THEN {many} END")
-
-    found = F.call_function("transform", F.array(shape), F.expr(f"g -> {_let(parts, test)}"))
+    border = _literal_segments(edges)
+    kinds = {"POINT": "'Point', 'MultiPoint'", "LINESTRING": "'LineString', 'MultiLineString'",
+             "POLYGON": "'Polygon', 'MultiPolygon'"}
+
+    def apart(v):
+        """The test of a feature whose bounds no edge of the literal meets, from one of its vertices."""
+        if not literal.is_area:
+            return str(name == "disjoint").lower()
+        inside = _odd(f"{v}.x", f"{v}.y", border)
+        return {"intersects": inside, "within": inside, "disjoint": f"(NOT {inside})"}.get(name, "false")
+
+    def compared(box, close):
+        ends = "" if literal.is_area else f", 'ends', {_own_ends('g.coords')}"
+        parts = (f"named_struct('vertices', flatten(g.coords), 'segments', {_own_segments('g.coords')}, "
+                 f"'border', {border}, 'close', {close}, 'corners', {_points(listed)}, "
+                 f"'stops', {_points([runs[0][0], runs[0][-1]] if open_line else [])}{ends})")
+
+        def test(p):
+            near, vertices, stops = f"{p}.close", f"{p}.vertices", f"{p}.stops"
+            corners = _within_box(f"{p}.corners", box)
+            if literal.kind == "POINT":
+                area, line, many = _against_point(name, p, *listed[0])
+            elif literal.kind == "MULTIPOINT":
+                area, line, many = _against_points(name, p)
+            elif literal.kind == "LINESTRING":
+                area, line = _area_and_line(name, p, corners), _line_and_line(name, p)
+                many = _points_and(name, vertices, lambda v: (
+                    f"{_on(f'{v}.x', f'{v}.y', near)} AND NOT {_among(f'{v}.x', f'{v}.y', stops)}"),
+                    lambda v: _among(f"{v}.x", f"{v}.y", stops))
+            else:
+                area, line = _area_and_area(name, p, corners), _line_in_area(name, p, corners)
+                many = _points_and(name, vertices, lambda v: (
+                    f"NOT {_on(f'{v}.x', f'{v}.y', near)} AND {_odd(f'{v}.x', f'{v}.y', border)}"),
+                    lambda v: _on(f"{v}.x", f"{v}.y", near))
+            return (f"CASE WHEN g.type IN ({kinds['POLYGON']}) THEN {area} "
+                    f"WHEN g.type IN ({kinds['LINESTRING']}) THEN {line} "
+                    f"WHEN g.type IN ({kinds['POINT']}) THEN {many} END")
+
+        return _let(parts, test)
+
+    def placed(box):
+        def near(close):
+            return (f"IF(size({close}) = 0 AND {box}.extent AND g.type IN ({', '.join(kinds.values())}), "
+                    f"{apart('flatten(g.coords)[0]')}, {compared(box, close)})")
+
+        return (f"CASE WHEN {box}.west IS NULL THEN false ELSE "
+                f"{_let(_higher('filter', border, lambda e: _meets(e, box)), near)} END")
+
+    def equal(vertices):
+        close = _higher("forall", f"sequence(0, {len(listed) - 1})", lambda i: (
+            f"hypot({vertices}[{i}].x - {_points(listed)}[{i}].x, "
+            f"{vertices}[{i}].y - {_points(listed)}[{i}].y) <= {ALMOST!r}D"))
+        return (f"IF(g.type IN ({kinds[literal.kind.removeprefix('MULTI')]}) "
+                f"AND size({vertices}) = {len(listed)}, {close}, false)")
+
+    test = _let("flatten(g.coords)", equal) if name == "almost_equals" else _let(
+        _bounds("flatten(g.coords)"), placed)
+    found = F.call_function("transform", F.array(shape), F.expr(f"g -> {test}"))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(False))

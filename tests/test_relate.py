@@ -1,7 +1,9 @@
 """Geometric tests of lines, polygons and multi-part features, answers worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from isograd.functions import relate
 from isograd.functions.geo import PREDICATES, shape_predicate
 from isograd.operators.geometry import GEOMETRY_TYPE
 
@@ -128,3 +130,58 @@ def test_slanted_borders(spark):
                                f"id int, g {GEOMETRY_TYPE}")
     for r in df.select("id", *(shape_predicate(p, df.g, tilted).alias(p) for p in PREDICATES)).collect():
         assert {p for p in PREDICATES if r[p]} == set(shapes[r.id][2].split()), shapes[r.id]
+
+
+@pytest.fixture
+def uncompared(monkeypatch):
+    """A geometry that is compared edge by edge with the literal fails the query."""
+    monkeypatch.setattr(relate, "_own_segments", lambda coords: (
+        "CAST(raise_error('compared') AS array<struct<x0:double,y0:double,x1:double,y1:double,dx:double,"
+        "dy:double,length:double,slack:double>>)"))
+
+
+SOME = ("intersects", "disjoint", "within", "touches")
+
+
+def held(spark, kind, runs, literal):
+    """Which of some tests hold for each shape."""
+    shapes = [(i, (kind, [[(float(x), float(y)) for x, y in run]])) for i, run in enumerate(runs)]
+    df = spark.createDataFrame(shapes, f"id int, g {GEOMETRY_TYPE}")
+    rows = df.select("id", *(shape_predicate(p, df.g, literal).alias(p) for p in SOME)).orderBy("id").collect()
+    return [" ".join(p for p in SOME if r[p]) for r in rows]
+
+
+@pytest.mark.parametrize("literal, corners, expected", [
+    (HOLED, [(1, 1), (4, 4), (-5, 4)], ["intersects within", "disjoint", "disjoint"]),
+    (HOOK, [(4.5, 4), (2, 4)], ["intersects within", "disjoint"]),
+    (PARTS, [(4.2, 1), (6.5, 1)], ["disjoint", "intersects within"]),
+    (LINE, [(2, 2)], ["disjoint"]), (POINTS, [(2.6, 1)], ["disjoint"]),
+])
+def test_polygons_away_from_edges_are_not_compared(spark, uncompared, literal, corners, expected):
+    """Even where the feature lies inside the bounds of the literal."""
+    runs = [box(x, y, x + 1, y + 0.75) for x, y in corners]
+    assert held(spark, "Polygon", runs, literal) == expected
+
+
+def test_polygons_on_an_edge_are_compared(spark, uncompared):
+    for x in (8.5, 8, -1.0000001):  # across, on, and almost on the border
+        with pytest.raises(Exception, match="compared"):
+            held(spark, "Polygon", [box(x, 1, x + 1, 2)], HOLED)
+
+
+def test_boxes_around_a_holed_region(spark):
+    """All boxes of a lattice, also with corners next to the border, by comparing bounds."""
+    places = [-1.0, 0.0, 1e-7, 2.0, 3.0, 5.0, 6.0 - 1e-7, 6.0, 7.5, 9.0, 10.0]
+    spans = [(a, b) for a in places for b in places if a < b]
+    rows = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in spans for y in spans)]
+    df = spark.createDataFrame([(i, ("Polygon", [box(x[0], y[0], x[1], y[1])])) for i, x, y in rows],
+                               f"id int, g {GEOMETRY_TYPE}").repartition(8)
+    names = ("intersects", "within", "contains", "touches")
+    got = {r.id: tuple(r)[1:] for r in df.select(
+        "id", *(shape_predicate(p, df.g, HOLED).alias(p) for p in names)).collect()}
+    for i, x, y in rows:
+        met = all(a <= 9 and b >= 0 for a, b in (x, y)) and not all(a > 3 and b < 6 for a, b in (x, y))
+        inner = all(a < 9 and b > 0 for a, b in (x, y)) and not all(a >= 3 and b <= 6 for a, b in (x, y))
+        within = all(a >= 0 and b <= 9 for a, b in (x, y)) and not all(a < 6 and b > 3 for a, b in (x, y))
+        holds = all(a <= 0 and b >= 9 for a, b in (x, y))
+        assert got[i] == (met, within, holds, met and not inner), (x, y)
