@@ -185,3 +185,31 @@ def test_boxes_around_a_holed_region(spark):
         within = all(a >= 0 and b <= 9 for a, b in (x, y)) and not all(a < 6 and b > 3 for a, b in (x, y))
         holds = all(a <= 0 and b >= 9 for a, b in (x, y))
         assert got[i] == (met, within, holds, met and not inner), (x, y)
+
+
+def test_lines_away_from_edges_are_not_compared(spark, uncompared):
+    """Even next to a border or in a hole."""
+    steep = [[(x, 1.0), (x + 0.5, 1.5), (x, 1.75)] for x in (1, 4, 4.25, 9.1, 9.00001)]
+    assert held(spark, "LineString", [*steep, [(4, 4), (5, 5)], [(-9, -9), (-1, 20)]], HOLED) == [
+        "intersects within"] * 3 + ["disjoint"] * 4
+    for run in ([(8, 1), (9.5, 1)], [(9, 1), (9, 2)], [(9.0000001, 1), (9.5, 2)]):  # across, on, almost on
+        with pytest.raises(Exception, match="compared"):
+            held(spark, "LineString", [run], HOLED)
+
+
+def test_lines_around_a_holed_region(spark):
+    """Level lines, also with ends next to the border, by comparing bounds."""
+    places = [-1.0, 0.0, 1e-7, 2.0, 3.0, 5.0, 6.0 - 1e-7, 6.0, 7.5, 9.0, 10.0]
+    rows = [(a, b, y) for a in places for b in places if a < b for y in (-1.0, 0.0, 1.0, 3.0, 4.5, 8.9, 9.5)]
+    got = held(spark, "LineString", [[(a, y), (b, y)] for a, b, y in rows], HOLED)
+    for (a, b, y), tests in zip(rows, got):
+        hole = 3 < y < 6
+        meets = 0 <= y <= 9 and a <= 9 and b >= 0 and not (hole and a > 3 and b < 6)
+        inner = 0 < y < 9 and a < 9 and b > 0 and not (hole and a >= 3 and b <= 6)
+        whole = a >= 0 and b <= 9 and not (hole and a < 6 and b > 3)
+        holds = {"intersects": meets, "disjoint": not meets, "within": inner and whole,
+                 "touches": meets and not inner}
+        if y == 3.0:  # along the border of the hole
+            holds["within"] = 0 <= a and b <= 9 and not (a >= 3 and b <= 6)
+            holds["touches"] = meets and ((a >= 3 and b <= 6) or a >= 9 or b <= 0)
+        assert tests == " ".join(p for p in SOME if holds[p]), (a, b, y)
