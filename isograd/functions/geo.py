@@ -7,13 +7,14 @@ rings are folded over a constant array.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isograd import rings
-from isograd.functions.relate import ALMOST, relation
+from isograd.functions.relate import ALMOST, relations
 from isograd.literals import Ring, Shape, geometry, signed_area
 from isograd.model import ValidationError
 
@@ -166,12 +167,20 @@ def _point_against_polygon(name: str, x: Column, y: Column, shape: Shape) -> Col
     return tests.get(name, F.lit(False))
 
 
-def shape_predicate(name: str, shape: Column, region) -> Column:
-    """A test of line, polygon and multi-part features against a literal geometry; no geometry: False."""
-    if name not in PREDICATES:
-        raise ValidationError(f'unknown geometric test "{name}"')
+def shape_predicates(names: Sequence[str], shape: Column, region) -> Column:
+    """Tests of line, polygon and multi-part features against a literal geometry as a struct; no geometry: False."""
+    for name in names:
+        if name not in PREDICATES:
+            raise ValidationError(f'unknown geometric test "{name}"')
     literal = geometry(region)
-    return F.lit(False) if literal is None else relation(name, shape, literal)
+    if literal is None:
+        return F.struct(*(F.lit(False).alias(name) for name in names))
+    return relations(names, shape, literal)
+
+
+def shape_predicate(name: str, shape: Column, region) -> Column:
+    """One of these tests."""
+    return shape_predicates([name], shape, region)[name]
 
 
 def great_circle_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

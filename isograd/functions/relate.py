@@ -15,7 +15,7 @@ seconds.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import count
 
 from pyspark.sql import Column
@@ -88,9 +88,12 @@ def _own_segments(coords: str) -> str:
 
 def _bounds(vertices: str) -> str:
     """The widened bounds of vertices, their middle and half sizes, and whether they have any extent."""
-    west, east = f"array_min({vertices}.x)", f"array_max({vertices}.x)"
-    south, north = f"array_min({vertices}.y)", f"array_max({vertices}.y)"
-    exact = f"named_struct('west', {west}, 'south', {south}, 'east', {east}, 'north', {north})"
+    sides = {"west": "least({a}.west, {v}.x)", "south": "least({a}.south, {v}.y)",
+             "east": "greatest({a}.east, {v}.x)", "north": "greatest({a}.north, {v}.y)"}
+    a, v = f"v{next(_numbers)}", f"v{next(_numbers)}"
+    wider = ", ".join(f"'{side}', {value.format(a=a, v=v)}" for side, value in sides.items())
+    none = f"CAST(NULL AS struct<{','.join(f'{side}:double' for side in sides)}>)"
+    exact = f"aggregate({vertices}, {none}, ({a}, {v}) -> named_struct({wider}))"
     return _let(exact, lambda e: (
         f"named_struct('west', {e}.west - {MARGIN!r}D, 'south', {e}.south - {MARGIN!r}D, "
         f"'east', {e}.east + {MARGIN!r}D, 'north', {e}.north + {MARGIN!r}D, "
@@ -223,9 +226,18 @@ def _named(name: str, tests: dict[str, Statement]) -> str:
     return f"({tests[name]()})" if name in tests else "false"
 
 
-def _area_and_area(name: str, p: str, corners: str) -> str:
-    if name in ("almost_equals", "crosses"):
-        return "false"
+def _struct(names: Sequence[str], test: Callable[[str], str]) -> str:
+    fields = (f"{name!r}, coalesce({test(name)}, false)" for name in names)
+    return f"named_struct({', '.join(fields)})"
+
+
+def _each(names: Sequence[str], tests: dict[str, Statement]) -> str:
+    return _struct(names, lambda name: _named(name, tests))
+
+
+def _area_and_area(names: Sequence[str], p: str, corners: str) -> str:
+    if set(names) == {"crosses"}:
+        return _struct(names, lambda name: "false")
     own, border = f"{p}.segments", f"{p}.border"
 
     def tests(pieces):
@@ -242,7 +254,7 @@ def _area_and_area(name: str, p: str, corners: str) -> str:
             on = _any(pieces, lambda m: f"{m}.on")
             return f"{on} OR {_some_on(f'{p}.vertices', f'{p}.close')} OR {_some_on(corners, own)}"
 
-        return _named(name, {
+        return _each(names, {
             "inner": lambda: f"{_inside(pieces)} OR {shared(True)} OR {_inside(others)}", "contact": contact,
             "within": lambda: f"NOT {_outside(pieces)} AND NOT {shared(False)} AND NOT {_inside(others)}",
             "contains": lambda: f"{_all_close(p)} AND NOT {_inside(pieces)} AND NOT {shared(False)} "
@@ -256,13 +268,13 @@ def _all_close(p: str) -> str:
     return f"(size({p}.close) = size({p}.border))"
 
 
-def _line_in_area(name: str, p: str, corners: str) -> str:
+def _line_in_area(names: Sequence[str], p: str, corners: str) -> str:
     """A feature's line and literal polygons."""
     own, close = f"{p}.segments", f"{p}.close"
 
     def tests(pieces):
         on = _any(pieces, lambda m: f"{m}.on")
-        return _named(name, {
+        return _each(names, {
             "inner": lambda: _inside(pieces),
             "contact": lambda: f"{on} OR {_some_on(f'{p}.vertices', close)} OR {_some_on(corners, own)}",
             "within": lambda: f"{_inside(pieces)} AND NOT {_outside(pieces)}",
@@ -271,13 +283,13 @@ def _line_in_area(name: str, p: str, corners: str) -> str:
     return _let(_classed(own, f"{p}.border", close), tests)
 
 
-def _area_and_line(name: str, p: str, corners: str) -> str:
+def _area_and_line(names: Sequence[str], p: str, corners: str) -> str:
     """A feature's polygons and a literal line."""
     own, close = f"{p}.segments", f"{p}.close"
 
     def tests(pieces):
         on = _any(pieces, lambda m: f"{m}.on")
-        return _named(name, {
+        return _each(names, {
             "inner": lambda: _inside(pieces),
             "contact": lambda: f"{on} OR {_some_on(corners, own)} OR {_some_on(f'{p}.vertices', close)}",
             "contains": lambda: f"{_all_close(p)} AND {_inside(pieces)} AND NOT {_outside(pieces)}",
@@ -286,7 +298,7 @@ def _area_and_line(name: str, p: str, corners: str) -> str:
     return _let(_classed(close, own), tests)
 
 
-def _line_and_line(name: str, p: str) -> str:
+def _line_and_line(names: Sequence[str], p: str) -> str:
     a, b, a_ends, b_ends = f"{p}.segments", f"{p}.close", f"{p}.ends", f"{p}.stops"
 
     def tests(pieces):
@@ -304,7 +316,7 @@ def _line_and_line(name: str, p: str) -> str:
         def covered(middles, line):
             return _higher("forall", middles, lambda m: _on(f"{m}.x", f"{m}.y", line))
 
-        return _named(name, {
+        return _each(names, {
             "inner": lambda: f"{overlap()} OR {between()}", "contact": lambda: f"size({contacts()}) > 0",
             "crosses": lambda: f"NOT {overlap()} AND {between()}",
             "within": lambda: covered(pieces, b),
@@ -382,11 +394,13 @@ def _against_points(name: str, p: str) -> tuple[str, str, str]:
             turned(lambda c: f"({near(c)} AND NOT {end(c)})", end), many)
 
 
-def relation(name: str, shape: Column, literal: Shape) -> Column:
-    """A geometric test of a geometry column's shapes against literal points, a line, or polygons.
+def relations(names: Sequence[str], shape: Column, literal: Shape) -> Column:
+    """Geometric tests of a geometry column's shapes against literal points, a line, or polygons, as one struct.
 
-    A shape without vertices: False. Places within 1e-9 degrees of a border lie on it.
+    The tests share bounds, edges and pieces. A shape without vertices: False. Places within 1e-9 degrees of a
+    border lie on it.
     """
+    compares = [name for name in names if name != "almost_equals"]
     runs = [[(float(x), float(y)) for x, y in run] for run in literal.rings]
     listed = [p for run in runs for p in run]
     many_points = literal.kind in ("POINT", "MULTIPOINT")
@@ -398,11 +412,14 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
              "POLYGON": "'Polygon', 'MultiPolygon'"}
 
     def apart(v):
-        """The test of a feature whose bounds no edge of the literal meets, from one of its vertices."""
+        """The tests of a feature whose bounds no edge of the literal meets, from one of its vertices."""
         if not literal.is_area:
-            return str(name == "disjoint").lower()
-        inside = _odd(f"{v}.x", f"{v}.y", border)
-        return {"intersects": inside, "within": inside, "disjoint": f"(NOT {inside})"}.get(name, "false")
+            return _struct(compares, lambda name: str(name == "disjoint").lower())
+        sides = {"intersects": "{}", "within": "{}", "disjoint": "NOT {}"}
+        if not sides.keys() & set(compares):
+            return _struct(compares, lambda name: "false")
+        return _let(v, lambda first: _let(_odd(f"{first}.x", f"{first}.y", border), lambda inside: (
+            _struct(compares, lambda name: sides.get(name, "false").format(inside)))))
 
     def compared(box, close):
         ends = "" if literal.is_area else f", 'ends', {_own_ends('g.coords')}"
@@ -413,20 +430,20 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
         def test(p):
             near, vertices, stops = f"{p}.close", f"{p}.vertices", f"{p}.stops"
             corners = _within_box(f"{p}.corners", box)
-            if literal.kind == "POINT":
-                area, line, many = _against_point(name, p, *listed[0])
-            elif literal.kind == "MULTIPOINT":
-                area, line, many = _against_points(name, p)
+            if many_points:
+                found = {name: _against_point(name, p, *listed[0]) if literal.kind == "POINT"
+                         else _against_points(name, p) for name in compares}
+                area, line, many = (_struct(compares, lambda name, i=i: found[name][i]) for i in range(3))
             elif literal.kind == "LINESTRING":
-                area, line = _area_and_line(name, p, corners), _line_and_line(name, p)
-                many = _points_and(name, vertices, lambda v: (
+                area, line = _area_and_line(compares, p, corners), _line_and_line(compares, p)
+                many = _struct(compares, lambda name: _points_and(name, vertices, lambda v: (
                     f"{_on(f'{v}.x', f'{v}.y', near)} AND NOT {_among(f'{v}.x', f'{v}.y', stops)}"),
-                    lambda v: _among(f"{v}.x", f"{v}.y", stops))
+                    lambda v: _among(f"{v}.x", f"{v}.y", stops)))
             else:
-                area, line = _area_and_area(name, p, corners), _line_in_area(name, p, corners)
-                many = _points_and(name, vertices, lambda v: (
+                area, line = _area_and_area(compares, p, corners), _line_in_area(compares, p, corners)
+                many = _struct(compares, lambda name: _points_and(name, vertices, lambda v: (
                     f"NOT {_on(f'{v}.x', f'{v}.y', near)} AND {_odd(f'{v}.x', f'{v}.y', border)}"),
-                    lambda v: _on(f"{v}.x", f"{v}.y", near))
+                    lambda v: _on(f"{v}.x", f"{v}.y", near)))
             return (f"CASE WHEN g.type IN ({kinds['POLYGON']}) THEN {area} "
                     f"WHEN g.type IN ({kinds['LINESTRING']}) THEN {line} "
                     f"WHEN g.type IN ({kinds['POINT']}) THEN {many} END")
@@ -438,7 +455,7 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
             return (f"IF(size({close}) = 0 AND {box}.extent AND g.type IN ({', '.join(kinds.values())}), "
                     f"{apart('flatten(g.coords)[0]')}, {compared(box, close)})")
 
-        return (f"CASE WHEN {box}.west IS NULL THEN false ELSE "
+        return (f"CASE WHEN {box}.west IS NULL THEN {_struct(compares, lambda name: 'false')} ELSE "
                 f"{_let(_higher('filter', border, lambda e: _meets(e, box)), near)} END")
 
     def equal(vertices):
@@ -448,7 +465,13 @@ def relation(name: str, shape: Column, literal: Shape) -> Column:
         return (f"IF(g.type IN ({kinds[literal.kind.removeprefix('MULTI')]}) "
                 f"AND size({vertices}) = {len(listed)}, {close}, false)")
 
-    test = _let("flatten(g.coords)", equal) if name == "almost_equals" else _let(
-        _bounds("flatten(g.coords)"), placed)
+    same = _let("flatten(g.coords)", equal)
+    if compares:
+        test = _let(_bounds("flatten(g.coords)"), placed)
+        if len(compares) < len(names):
+            test = _let(test, lambda found: _struct(names, lambda name: (
+                f"{found}.{name}" if name in compares else same)))
+    else:
+        test = _struct(names, lambda name: same)
     found = F.call_function("transform", F.array(shape), F.expr(f"g -> {test}"))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(False))
+    return F.coalesce(F.get(found, F.lit(0)), F.struct(*(F.lit(False).alias(name) for name in names)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from isograd.functions.geo import (
     PREDICATES,
     great_circle_distance,
     point_predicate,
-    shape_predicate,
+    shape_predicates,
 )
 from isograd.functions.quantile import GROUP_ROWS, quantiles
 from isograd.model import ValidationError, null_if_nan
@@ -36,31 +37,41 @@ def data_frame_max(df: DataFrame, var: str, order: str) -> DataFrame:
 
 def feature_predicate(df: DataFrame, name: str, region) -> Column:
     """A geometric test of the features of a table: points, and other shapes in ``geometry``."""
-    has_points = {"lon", "lat"} <= set(df.columns)
-    point = point_predicate(name, F.col("lon"), F.col("lat"), region) if has_points else None
+    return feature_predicates(df, [name], region)[name]
+
+
+def feature_predicates(df: DataFrame, names: Sequence[str], region) -> Column:
+    """Several tests as one struct: selected as a column, it compares a shape once for all of them."""
+    shape = F.col("geometry")
+    spot = shape["coords"][0][0]
+    place = (F.col("lon"), F.col("lat")) if {"lon", "lat"} <= set(df.columns) else (spot["x"], spot["y"])
+    point = F.struct(*(point_predicate(name, *place, region).alias(name) for name in names))
     if "geometry" not in df.columns:
         return point
-    shape = F.col("geometry")
     other = shape["type"].isNotNull() & (shape["type"] != "Point")
-    spot = shape["coords"][0][0]
-    own = point_predicate(name, spot["x"], spot["y"], region) if point is None else point
-    return (F.when(is_collection(shape), _collection_predicate(name, shape, region))
-            .when(other, shape_predicate(name, shape, region)).otherwise(own))
+    return (F.when(is_collection(shape), _collection_predicates(names, shape, region))
+            .when(other, shape_predicates(names, shape, region)).otherwise(point))
+
 
+def _collection_predicates(names: Sequence[str], shape: Column, region) -> Column:
+    """Tests of a collection by its members: all of them for within and disjoint, one else."""
+    known = [name for name in names if name in ("within", "disjoint", "intersects")]
 
-def _collection_predicate(name: str, shape: Column, region) -> Column:
-    """A test of a collection by its members: all of them for within and disjoint, one else."""
     def member(m: Column) -> Column:
         spot = m["coords"][0][0]
-        return F.when(m["type"] == "Point", point_predicate(name, spot["x"], spot["y"], region)
-                      ).otherwise(shape_predicate(name, m, region))
-
-    found = members(shape)
-    if name in ("within", "disjoint"):
-        return F.forall(found, member) & ((F.size(found) > 0) | F.lit(name == "disjoint"))
-    if name == "intersects":
-        return F.exists(found, member)
-    return F.raise_error(F.lit(f"{name} is not built for collections")).cast("boolean")
+        point = F.struct(*(point_predicate(name, spot["x"], spot["y"], region).alias(name) for name in known))
+        return F.when(m["type"] == "Point", point).otherwise(shape_predicates(known, m, region))
+
+    def test(name: str, tested: Column) -> Column:
+        if name not in known:
+            return F.raise_error(F.lit(f"{name} is not built for collections")).cast("boolean")
+        if name == "intersects":
+            return F.exists(tested, lambda t: t[name])
+        return F.forall(tested, lambda t: t[name]) & ((F.size(tested) > 0) | F.lit(name == "disjoint"))
+
+    found = F.transform(members(shape), member) if known else F.array()
+    return F.transform(F.array(found), lambda tested: (
+        F.struct(*(test(name, tested).alias(name) for name in names))))[0]
 
 
 def _place(df: DataFrame) -> tuple[Column, Column]:

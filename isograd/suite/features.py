@@ -288,9 +288,9 @@ met AS (SELECT p.id, p.id % 3 = 0 AS area, bool_or(p.hit) OR any_value(c.hit)
 
 def _tested(spark, sf_dir, kind: str) -> DataFrame:
     region = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*_REGION, _REGION[0]]) + "))"
-    rows = shapes(spark, sf_dir).where(F.col("geometry.type") == kind)
-    return rows.select("id", *(features.feature_predicate(rows, name, region).alias(name)
-                               for name in ("intersects", "disjoint", "within")))
+    rows = shapes(spark, sf_dir).where(F.col("geometry.type") == kind).repartition("id")
+    tests = features.feature_predicates(rows, ("intersects", "disjoint", "within"), region)
+    return rows.select("id", tests.alias("tests")).select("id", "tests.*")
 
 
 @case("p11_predicates_polygon_features", f"""WITH {_MEETS} SELECT id, meets AS intersects,

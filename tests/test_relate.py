@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from isograd.functions import relate
-from isograd.functions.geo import PREDICATES, shape_predicate
+from isograd.functions.geo import PREDICATES, shape_predicate, shape_predicates
+from isograd.operators import features
 from isograd.operators.geometry import GEOMETRY_TYPE
+from isograd.suite.features import line_features
 
 SQUARE = "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"
 HOLED = "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"
@@ -213,3 +215,39 @@ def test_lines_around_a_holed_region(spark):
             holds["within"] = 0 <= a and b <= 9 and not (a >= 3 and b <= 6)
             holds["touches"] = meets and ((a >= 3 and b <= 6) or a >= 9 or b <= 0)
         assert tests == " ".join(p for p in SOME if holds[p]), (a, b, y)
+
+
+@pytest.mark.parametrize("literal", [SQUARE, LINE, POINT, POINTS])
+def test_all_tests_as_one_struct(spark, literal):
+    cases = [(i, (kind, [[(float(x), float(y)) for x, y in run] for run in runs]), expected)
+             for i, (kind, runs, against, expected) in enumerate(CASES) if against == literal]
+    df = spark.createDataFrame([*cases, (-1, None, "")], f"id int, g {GEOMETRY_TYPE}, expected string")
+    out = df.select("expected", shape_predicates(PREDICATES, df.g, literal).alias("tests"))
+    assert cases
+    for r in out.select("expected", "tests.*").collect():
+        assert {p for p in PREDICATES if r[p]} == set(r.expected.split())
+
+
+def test_several_tests_compare_a_shape_once(spark, monkeypatch):
+    """Also those of a collection's members."""
+    bounds, made = relate._bounds, []
+    monkeypatch.setattr(relate, "_bounds", lambda vertices: made.append(vertices) or bounds(vertices))
+    line = ("LineString", [[(1.0, 1.0), (2.0, 1.0)]])
+    df = spark.createDataFrame([(line,)], f"geometry {GEOMETRY_TYPE}")
+    names = ("intersects", "disjoint", "within")
+    out = df.select(features.feature_predicates(df, names, SQUARE).alias("tests"))
+    assert tuple(out.select("tests.*").first()) == (True, False, True)
+    assert len(made) <= 4  # of the shape and of a member, which Spark's lambda may be asked for again
+
+
+def test_lines_of_one_file_are_dealt_over_tasks(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        lines = line_features(spark, "/root/testdata/sf0.001")
+        assert lines.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
