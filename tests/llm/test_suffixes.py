@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from isograd.llm import suffixes
 from isograd.llm.grouping import suffix_array
 from isograd.llm.suffixes import remove_repeats, repeat_digest
 from tests.llm.conftest import prose
@@ -69,3 +72,81 @@ def test_text_keeps_whole_characters_and_columns(docs_of, odd):
 
 def test_empty(docs_of):
     assert repeat_digest(docs_of([])).count() == 0
+
+
+def surroundings(rows, width):
+    """Of all anchors of the rows: document, place, hash and surroundings."""
+    data = [text.encode() for _, text in rows]
+    offsets = np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64)
+    joined = np.frombuffer(b"".join(data), np.uint8)
+    place, h, left, right = suffixes.anchors(joined, offsets, width)[:4]
+    text = np.searchsorted(offsets, place, side="right") - 1
+    grid = place[:, None] + np.arange(suffixes.GRAM - width, width)
+    context = joined[np.clip(grid, 0, len(joined) - 1)] + np.uint8(1)
+    context[(grid < left[:, None]) | (grid >= right[:, None])] = 0
+    return (np.array([r[0] for r in rows])[text], np.zeros(len(text), np.uint32),
+            (place - offsets[text]).astype(np.uint32), h.astype(np.uint32), context)
+
+
+def removed(rows, entries, width):
+    gone = {doc: [False] * len(text.encode()) for doc, text in rows}
+    for doc, _, low, high in zip(*(c.tolist() for c in suffixes.covered_ranges(*entries, width))):
+        gone[doc][low:high] = [True] * (high - low)
+    return {doc: sum(g) for doc, g in gone.items()}
+
+
+@pytest.mark.parametrize("width", [21, 33, 50])
+def test_anchors_of_many_surroundings_are_sorted_in_parts(monkeypatch, width):
+    rng = random.Random(8)
+    passage = prose(9, 30)
+    rows = [(doc, prose(rng.randint(0, 10 ** 6), 5) + passage + prose(rng.randint(0, 10 ** 6), 5))
+            for doc in range(150)]
+    rows += [(200 + k, "ab" * k + passage[:k] * 9 + "die " * k) for k in range(40)]
+    entries = surroundings(rows, width)
+    sizes = []
+
+    def arrays(text):
+        sizes.append(len(text))
+        return suffix_array(text)
+
+    monkeypatch.setattr(suffixes, "suffix_array", arrays)
+    monkeypatch.setattr(suffixes, "SYMBOLS", 500, raising=False)
+    monkeypatch.setattr(suffixes, "HOT", 10, raising=False)
+    want = {r[0]: r[2] for r in brute(rows, width)}
+    assert removed(rows, entries, width) == {doc: want[doc] for doc, _ in rows}
+    assert len(sizes) > 5 and max(sizes) < sum(sizes) / 4
+
+
+def test_surroundings_without_long_repeats_are_not_asked_for(docs_of):
+    shared = prose(70, 12)[:24]
+    rows = [(doc, prose(100 + doc, 30) + shared + prose(500 + doc, 30)) for doc in range(60)]
+    passage = prose(71, 20)
+    rows += [(100 + k, prose(900 + k, 30) + passage + prose(950 + k, 30)) for k in range(2)]
+    docs = docs_of(rows)
+    asked = {}
+    for row in (suffixes._find_occurrences(docs, 50, 3).groupBy("bucket")
+                .applyInArrow(suffixes._meet(50, 3), suffixes._PACKET)
+                .where(F.col("kind") == suffixes.REQUESTS).collect()):
+        for doc in suffixes.unpack(row.data)[0].tolist():
+            asked[doc] = asked.get(doc, 0) + 1
+    assert asked and set(asked) == {100, 101}
+    assert sorted(tuple(r) for r in repeat_digest(docs, 50).collect()) == brute(rows, 50)
+
+
+def test_buckets_do_not_grow_with_the_partitions(spark, docs_of, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(docs, width, buckets):
+        raise Seen(buckets)
+
+    monkeypatch.setattr(suffixes, "_find_occurrences", seen)
+    monkeypatch.setattr(suffixes, "SMALLEST", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100000")
+    try:
+        with pytest.raises(Seen) as found:
+            remove_repeats(docs_of([(1, prose(1, 2000))]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found.value.args[0] <= 256
